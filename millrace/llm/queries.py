@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import quality_rules
+from millrace.llm import quality_rules, secrets
 from millrace.llm.text import documents
 
 QUERIES: dict = {}
@@ -26,3 +26,16 @@ def query(name: str, oracle: str | None = None):
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.quality_rules(documents(spark, sf_dir).select("doc_id", "text"))
     return out.drop("text")
+
+
+@query("op2_secret_scan", secrets.ORACLE)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    base = F.filter("secret_spans", lambda s: s["rank"] < len(secrets.BASE_RULES))
+    count = lambda n: F.size(F.filter("secret_spans", lambda s: s["rank"] == n)).cast("long")
+    return found.select(
+        "doc_id",
+        *(count(n).alias(f"n_{r.kind}") for n, r in enumerate(secrets.BASE_RULES)),
+        F.sha2(secrets.spans_text(base), 256).alias("base_sha256"),
+        secrets.spans_text(F.col("secret_spans")).alias("spans"),
+    )
