@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import quality_rules, secrets
+from millrace.llm import mixing, quality_rules, secrets
 from millrace.llm.text import documents
 
 QUERIES: dict = {}
@@ -39,3 +39,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secrets.spans_text(base), 256).alias("base_sha256"),
         secrets.spans_text(F.col("secret_spans")).alias("spans"),
     )
+
+
+@query("op10_source_mixing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,3 +34,11 @@ def fresh(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed and kept in the shared checkpoint folder, its lineage cut."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-"))
+    return df.checkpoint()
