@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import mixing, quality_rules, secrets
+from millrace.llm import bpe, mixing, quality_rules, secrets
 from millrace.llm.text import documents
 
 QUERIES: dict = {}
@@ -45,3 +46,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op9_bpe_round_trip")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    out = bpe.round_trip(documents(spark, sf_dir).select("doc_id", "text"), path)
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
