@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, mixing, quality_rules, secrets
+from millrace.llm import bpe, fingerprints, mixing, quality_rules, secrets
 from millrace.llm.text import documents
 
 QUERIES: dict = {}
@@ -53,3 +53,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     out = bpe.round_trip(documents(spark, sf_dir).select("doc_id", "text"), path)
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query("op6_fingerprints")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_pairs(documents(spark, sf_dir))
