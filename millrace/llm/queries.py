@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, fingerprints, mixing, quality_rules, secrets
+from millrace.llm import bpe, fingerprints, mixing, pii, quality_rules, secrets
 from millrace.llm.text import documents
 
 QUERIES: dict = {}
@@ -58,3 +58,15 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_fingerprints")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_pairs(documents(spark, sf_dir))
+
+
+@query("op8_pii")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("pii_spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *(count(k).alias(f"n_{k}") for k in pii.BASE_KINDS),
+        F.sha2(pii.spans_text(F.filter("pii_spans", lambda s: s["base"])), 256).alias("base_sha256"),
+        pii.spans_text(F.col("pii_spans")).alias("spans"),
+    )
