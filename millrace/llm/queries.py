@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, fingerprints, mixing, pii, quality_rules, secrets
-from millrace.llm.text import documents
+from millrace.llm import bpe, fingerprints, language, mixing, pii, quality_rules, secrets
+from millrace.llm.text import documents, fold_is
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -70,3 +70,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.spans_text(F.filter("pii_spans", lambda s: s["base"])), 256).alias("base_sha256"),
         pii.spans_text(F.col("pii_spans")).alias("spans"),
     )
+
+
+@query("op3_language_id")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = fold_is(F.col("doc_id"), 5, 0)
+    model = language.fit(docs, F.col("doc_id").isNotNull() & ~held_out)
+    return language.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
