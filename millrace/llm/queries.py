@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, fingerprints, language, mixing, pii, quality_model, quality_rules, secrets
+from millrace.llm import bpe, fingerprints, language, mixing, near_dedup, pii, quality_model, quality_rules, secrets
 from millrace.llm.text import documents, fold_is
 
 QUERIES: dict = {}
@@ -86,3 +86,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold_is(F.col("doc_id"), 5, 0)
     model = quality_model.fit(docs, documents(spark, sf_dir, "labels"), F.col("doc_id").isNotNull() & ~held_out)
     return quality_model.predict(docs.select("*", held_out.alias("held_out")), model).drop("text")
+
+
+@query("op5_near_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), words=2)
