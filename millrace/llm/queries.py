@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, fingerprints, language, mixing, near_dedup, pii, quality_model, quality_rules, secrets
+from millrace.llm import bpe, fingerprints, language, language_model, mixing, near_dedup, pii, quality_model, quality_rules, secrets
 from millrace.llm.text import documents, fold_is
 
 QUERIES: dict = {}
@@ -91,3 +91,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_near_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), words=2)
+
+
+@query("op4_lm_scores")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold_is(F.col("doc_id"), 7, 2)
+    scored = language_model.score(documents(spark, sf_dir), F.col("doc_id").isNotNull() & ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
