@@ -36,7 +36,9 @@ from millrace.llm.text import FOLD_BYTES, stored
 #: Words with vectors, including the end of a text and the class of all others.
 VOCABULARY, SIZE = 1024, 32
 OTHER, END = 0, 1
-NOISE, BATCH, RATE = 64, 2048, 0.08
+NOISE, BATCH, RATE = 64, 2048, 0.06
+#: An event seen more often is split, so that none outweighs a batch.
+HEAVY = 4
 #: Copies that are averaged in one task.
 FAN_IN = 32
 
@@ -99,11 +101,13 @@ class LogBilinear:
         return self.inward[first] @ self.place[0] + self.inward[second] @ self.place[1]
 
     def train(self, first: np.ndarray, second: np.ndarray, word: np.ndarray, count: np.ndarray, seed: int = 1) -> None:
-        """One pass of noise-contrastive estimation over counted events, in a seeded order, with Adagrad steps."""
+        """One pass of noise-contrastive estimation over counted events, in a seeded order, with Adagrad steps that shrink to nothing."""
         rng = np.random.default_rng(seed)
-        order = rng.permutation(len(word))
+        times = np.ceil(count / HEAVY).astype(np.int64)
+        order = rng.permutation(np.repeat(np.arange(len(word)), times))
+        count = (count / times).astype(np.float32)
         share = np.log(NOISE * self.noise).astype(np.float32)
-        past = [np.full_like(p, 1e-2) for p in self.parts()]
+        past = [np.full_like(p, 1e-8) for p in self.parts()]
         for begun in range(0, len(order), BATCH):
             rows = order[begun : begun + BATCH]
             a, b, w = first[rows], second[rows], word[rows]
@@ -123,7 +127,7 @@ class LogBilinear:
             ]
             for p, g, h in zip(self.parts(), grads, past, strict=True):
                 h += g * g
-                p += np.float32(RATE) * g / np.sqrt(h)
+                p += np.float32(RATE * (1 - begun / len(order))) * g / np.sqrt(h)
 
     def log10(self, first: np.ndarray, second: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Normalised log10 probabilities; each distinct context meets the whole vocabulary once."""

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.text import n_words, settled
+from millrace.llm.text import WORD, n_words, settled
 
 #: Words in a block.
 BLOCK = 16
@@ -128,3 +128,15 @@ def mix(
     part = F.least(F.col("size"), F.greatest(F.lit(0), over - (F.col("_end") - F.col("size"))))
     taken = F.when(F.col("size") > 0, passes * F.col("size") + part).otherwise(F.lit(0))
     return joined.select(*rest, "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def materialize(mixed: DataFrame, text: str = "text") -> DataFrame:
+    """The documents that a mix takes: a row for each whole repeat, and one cut after the words taken from a last, partial one."""
+    columns = [c for c in mixed.columns if c not in ("size", "source_size", "target", "taken")]
+    whole = F.floor(F.col("taken") / F.col("size"))
+    part = F.col("taken") - whole * F.col("size")
+    turns = F.sequence(F.lit(1).cast("long"), whole + F.when(part > 0, 1).otherwise(0))
+    out = mixed.where("taken > 0").select("*", F.explode(turns).alias("_turn"))
+    begun = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, part.cast("int")), "")
+    cut = F.when(F.col("_turn") <= whole, F.col(text)).otherwise(begun)
+    return out.select(*(cut.alias(c) if c == text else F.col(c) for c in columns))
