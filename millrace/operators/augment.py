@@ -29,32 +29,49 @@ def _place(key: Column, salt: str, n: Column) -> Column:
     return F.pmod(hash_int(key, salt), n)
 
 
+def _given(body, **values: Column) -> Column:
+    """``body`` over a struct of values: they are computed once a row, not once an element of what the body walks."""
+    return F.get(F.transform(F.array(F.struct(*(v.alias(k) for k, v in values.items()))), body), F.lit(0))
+
+
 def swapped(words: Column, key: Column) -> Column:
     """Two words change places."""
-    i, j = _place(key, "swap1:", F.size(words)), _place(key, "swap2:", F.size(words))
-    return F.transform(words, lambda w, at: F.when(at == i, F.get(words, j.cast("int"))).when(at == j, F.get(words, i.cast("int"))).otherwise(w))
+
+    def body(s: Column) -> Column:
+        return F.transform(s["w"], lambda w, at: F.when(at == s["i"], F.get(s["w"], s["j"])).when(at == s["j"], F.get(s["w"], s["i"])).otherwise(w))
+
+    n = F.size(words)
+    return _given(body, w=words, i=_place(key, "swap1:", n).cast("int"), j=_place(key, "swap2:", n).cast("int"))
 
 
 def synonym(words: Column, key: Column) -> Column:
     """One word, if it has synonyms, becomes one of them."""
-    at = _place(key, "syn:", F.size(words))
     table = F.create_map(*(x for w, s in SYNONYMS.items() for x in (F.lit(w), F.array(*map(F.lit, s)))))
-    options = F.try_element_at(table, F.lower(F.get(words, at.cast("int"))))
-    chosen = F.get(options, _place(key, "pick:", F.size(options)).cast("int"))
-    return F.transform(words, lambda w, i: F.when((i == at) & options.isNotNull(), chosen).otherwise(w))
+
+    def body(s: Column) -> Column:
+        options = F.try_element_at(table, F.lower(F.get(s["w"], s["at"])))
+        chosen = F.get(options, F.pmod(s["pick"], F.size(options)).cast("int"))
+        changed = F.concat(F.slice(s["w"], F.lit(1), s["at"]), F.array(chosen), F.slice(s["w"], s["at"] + 2, F.size(s["w"])))
+        return F.when(options.isNotNull(), changed).otherwise(s["w"])
+
+    return _given(body, w=words, at=_place(key, "syn:", F.size(words)).cast("int"), pick=hash_int(key, "pick:"))
 
 
 def inserted(words: Column, key: Column) -> Column:
     """A common word comes in somewhere."""
-    at = _place(key, "ins:", F.size(words) + 1).cast("int")
     word = F.get(F.array(*map(F.lit, INSERTED)), _place(key, "word:", F.lit(len(INSERTED))).cast("int"))
-    return F.concat(F.slice(words, F.lit(1), at), F.array(word), F.slice(words, at + 1, F.size(words)))
+    body = lambda s: F.concat(F.slice(s["w"], F.lit(1), s["at"]), F.array(s["word"]), F.slice(s["w"], s["at"] + 1, F.size(s["w"])))
+    return _given(body, w=words, at=_place(key, "ins:", F.size(words) + 1).cast("int"), word=word)
 
 
 def deleted(words: Column, key: Column) -> Column:
     """A word goes, if there are more than two."""
-    at = _place(key, "del:", F.size(words))
-    return F.when(F.size(words) > 2, F.filter(words, lambda w, i: i != at)).otherwise(words)
+
+    def body(s: Column) -> Column:
+        left = F.concat(F.slice(s["w"], F.lit(1), s["at"]), F.slice(s["w"], s["at"] + 2, F.size(s["w"])))
+        return F.when(F.size(s["w"]) > 2, left).otherwise(s["w"])
+
+    return _given(body, w=words, at=_place(key, "del:", F.size(words)).cast("int"))
 
 
 OPERATIONS = {"swap": swapped, "synonym": synonym, "insert": inserted, "delete": deleted}
@@ -62,11 +79,11 @@ OPERATIONS = {"swap": swapped, "synonym": synonym, "insert": inserted, "delete":
 
 def texts(df: DataFrame, text: str, key: str, probability: float = 0.1) -> DataFrame:
     """The originals (generated false) and one generated row each; each operation befalls a row with ``probability``."""
-    words = words_of(F.col(text))
+    made = df.withColumn("_words", words_of(F.col(text)))
     for name, change in OPERATIONS.items():
-        hit = (hash_unit(F.col(key), f"{name}?:") < probability) & (F.size(words) >= 2)
-        words = F.when(hit, change(words, F.col(key))).otherwise(words)
-    made = df.withColumn(text, F.array_join(words, " ")).withColumn("generated", F.lit(True))
+        hit = (hash_unit(F.col(key), f"{name}?:") < probability) & (F.size("_words") >= 2)
+        made = made.withColumn("_words", F.when(hit, change(F.col("_words"), F.col(key))).otherwise(F.col("_words")))
+    made = made.withColumn(text, F.array_join("_words", " ")).drop("_words").withColumn("generated", F.lit(True))
     return df.withColumn("generated", F.lit(False)).unionByName(made)
 
 

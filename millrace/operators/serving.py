@@ -26,7 +26,7 @@ def errors_by(df: DataFrame, kind: str) -> DataFrame:
 def rolling_mean(df: DataFrame, value: str, order: list[str], width: int = 1000, by: list[str] = []) -> DataFrame:
     """``df`` with the mean of the last ``width`` rows, in each group of ``by``."""
     frame = W.partitionBy(*by).orderBy(*order).rowsBetween(1 - width, 0)
-    return df.withColumn("rolling_mean", half_up(F.avg(value).over(frame)))
+    return df.withColumn("rolling_mean", F.avg(value).over(frame))
 
 
 def rate_limited(df: DataFrame, client: str, time: str, key: str, limit: int, window_s: float) -> DataFrame:

@@ -1,0 +1,73 @@
+"""Queries for the model registry and for fitted models; fitted results have no SQL form."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from millrace.functions.columns import half_up
+from millrace.operators import metrics, models
+from millrace.plans.registry import query
+
+ROWS = ", ".join(f"('{e.name}', '{e.tasks[0]}', {e.priority}, [{', '.join(chr(39) + t + chr(39) for t in e.tags)}], {e.least}, {n})" for n, e in enumerate(models.REGISTRY.values()))
+REGISTRY = f"r(name, task, priority, tags, least, place) AS (VALUES {ROWS})"
+
+
+@query("registry_stats", f"WITH {REGISTRY} SELECT 'task' AS kind, task AS value, count(*) AS n FROM r GROUP BY task UNION ALL SELECT 'tag', tag, count(*) FROM (SELECT unnest(tags) AS tag FROM r) GROUP BY tag")
+def _(t):
+    return models.registry_stats(models.registry_table(t("region").sparkSession))
+
+
+@query("model_autoselect", f"WITH {REGISTRY} SELECT name, priority + CASE WHEN list_contains(tags, 'linear') THEN 10 ELSE 0 END AS score FROM r WHERE task = 'classification' AND least <= 50")
+def _(t):
+    return models.ranked_models(models.registry_table(t("region").sparkSession), "classification", 50, "linear")
+
+
+FEATURES = ["n_chars", "n_words", "n_marks"]
+
+
+def labelled(t):
+    stats = t("documents").select("doc_id", F.col("n_chars").cast("double").alias("n_chars"), F.size(F.split("text", " ")).cast("double").alias("n_words"), F.length(F.regexp_replace("text", r"[^!|#$%&*]", "")).cast("double").alias("n_marks"))
+    return stats.join(t("labels").select("doc_id", F.col("quality").cast("double").alias("y")), "doc_id")
+
+
+def evaluated(t, name: str):
+    out = models.out_of_fold(labelled(t), name, FEATURES, "y", "doc_id", 3)
+    return metrics.binary(out, "y", "prediction", 1.0)
+
+
+@query("fit_random_forest")
+def _(t):
+    return evaluated(t, "random_forest_classifier")
+
+
+@query("fit_logistic")
+def _(t):
+    return evaluated(t, "logistic_regression")
+
+
+@query("fit_gbt")
+def _(t):
+    d = labelled(t)
+    model = models.fit(d, "gradient_boosting_classifier", FEATURES, "y")
+    return metrics.accuracy(models.predict(model, d, "doc_id", "y"), "y", "prediction")
+
+
+@query("fit_linear", "WITH f AS (SELECT regr_slope(l_extendedprice, l_quantity) AS a, regr_intercept(l_extendedprice, l_quantity) AS b FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, round(a * l_quantity + b, 4) AS prediction FROM lineitem, f")
+def _(t):
+    d = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
+    out = models.fit(d, "linear_regression", ["l_quantity"], "l_extendedprice").transform(d)
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", half_up(F.col("prediction"), 4).alias("prediction"))
+
+
+@query("stacking")
+def _(t):
+    d = labelled(t)
+    model = models.stacked(d, ["logistic_regression", "decision_tree_classifier"], "logistic_regression", FEATURES, "y", "doc_id", 3)
+    weights = models.importance(model, ["logistic_regression", "decision_tree_classifier"])
+    return t("region").sparkSession.createDataFrame(weights, "model string, weight double")
+
+
+@query("kmeans")
+def _(t):
+    d = labelled(t)
+    return models.clusters(d, FEATURES, 3).transform(d).groupBy("prediction").agg(F.count("*").alias("n"))
