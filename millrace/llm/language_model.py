@@ -51,15 +51,17 @@ def _encode(batches):
     for number_of, batch in enumerate(batches):
         chunk = f"{task}-{number_of}"
         keys, learn = batch.column("doc_id").to_pylist(), batch.column("learn").to_pylist()
-        texts = [(t or "").encode().translate(FOLD_BYTES).split() for t in batch.column("text").to_pylist()]
-        every, known = Counter(), Counter()
-        for words, able in zip(texts, learn, strict=True):
-            every.update(words)
-            if able:
-                known.update(words)
+        texts = [(t or "").encode().translate(FOLD_BYTES) for t in batch.column("text").to_pylist()]
+        known, rest = Counter(), Counter()
+        for t, able in zip(texts, learn, strict=True):
+            (known if able else rest).update(t.split())
+        every = known + rest
         number = {w: n for n, (w, _) in enumerate(every.most_common())}  # small numbers for frequent words
-        ids = [np.array([number[w] for w in words], np.int32).tobytes() for words in texts]
-        del texts
+        ids = []
+        for t in texts:
+            words = t.split()
+            ids.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)).tobytes())
+        del texts, every, rest
         d, v = len(keys), len(number)
         none = lambda kind, n: pa.nulls(n, kind)
         yield pa.RecordBatch.from_arrays(
@@ -176,28 +178,38 @@ def _events(texts: list[np.ndarray], classes: np.ndarray) -> tuple[np.ndarray, n
     return two, one, word, begin
 
 
-def _by_chunk(texts: pa.Table, words: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """The texts' numbers, and the count and the class of each number."""
+def _numbers(texts: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_py(), np.int32) for x in texts.column("ids")]
+
+
+def _by_number(words: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The count and the class of each of a chunk's numbers."""
     at = words.column("id").to_numpy()
-    counts, classes = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    counts, classes = np.zeros(len(at), np.int64), np.zeros(len(at), np.int16)
     counts[at], classes[at] = words.column("c").to_numpy(), words.column("class").to_numpy()
-    return [np.frombuffer(x.as_py(), np.int32) for x in texts.column("ids")], counts, classes
+    return counts, classes
 
 
 def _trainer(shared):
+    """A row for each chunk: its copy of the model, and the counts and classes of its numbers, packed for scoring."""
+
     def run(key, texts: pa.Table, words: pa.Table) -> pa.Table:
-        ids, _, classes = _by_chunk(texts, words)
+        counts, classes = _by_number(words)
         learn = texts.column("learn").to_pylist()
-        able = sorted((t for t, yes in zip(ids, learn, strict=True) if yes), key=lambda t: t.tobytes())
+        able = sorted((t for t, yes in zip(_numbers(texts), learn, strict=True) if yes), key=lambda t: t.tobytes())
         model, weight = LogBilinear(shared.value["unigram"]), 0.0
         if able:
             two, one, word, _ = _events(able, classes)
-            k = len(model.bias)
-            events, count = np.unique((two * k + one) * k + word, return_counts=True)
+            weight, k = float(len(word)), len(model.bias)
+            joined = (two * k + one) * k + word
+            del two, one, word, able
+            events, count = np.unique(joined, return_counts=True)
             model.train(events // k // k, events // k % k, events % k, count.astype(np.float32))
-            weight = float(len(word))
         packed = model.packed().astype(np.float64) * weight
-        return pa.table({"chunk": pa.array([texts.column("chunk")[0].as_py() if len(texts) else ""]), "weight": pa.array([weight]), "packed": pa.array([packed.tobytes()], pa.binary())})
+        return pa.table({
+            "chunk": texts.column("chunk")[:1], "weight": pa.array([weight]), "packed": pa.array([packed.tobytes()], pa.binary()),
+            "counts": pa.array([counts.tobytes()], pa.binary()), "classes": pa.array([classes.tobytes()], pa.binary()),
+        })
 
     return run
 
@@ -209,11 +221,12 @@ def _summed(key, copies: pa.Table) -> pa.Table:
 
 
 COPIES = "chunk string, weight double, packed binary"
+TRAINED = COPIES + ", counts binary, classes binary"
 
 
 def average(copies: DataFrame) -> np.ndarray | None:
     """The weighted mean of the copies, summed in groups of FAN_IN until so few are left that they may come to the driver."""
-    copies = stored(copies.where("weight > 0"))
+    copies = copies.where("weight > 0")
     n = copies.count()
     while n > FAN_IN:
         groups = -(-n // FAN_IN)
@@ -227,11 +240,9 @@ SCORED = "doc_id bigint, learn boolean, n_tokens bigint, n_known bigint, base_sc
 
 
 def _scorer(shared):
-    def run(key, texts: pa.Table, words: pa.Table) -> pa.Table:
-        known = shared.value
-        ids, counts, classes = _by_chunk(texts, words)
-        if not ids:
-            return pa.table({n: pa.array([], t) for n, t in zip([x.split()[0] for x in SCORED.split(", ")], (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)})
+    def run(key, texts: pa.Table, trained: pa.Table) -> pa.Table:
+        known, ids = shared.value, _numbers(texts)
+        counts, classes = np.frombuffer(trained.column("counts")[0].as_py(), np.int64), np.frombuffer(trained.column("classes")[0].as_py(), np.int16)
         n_all, n_words, ends = known["tokens"], known["distinct"], known["texts"]
         base = np.log10((counts + 1) / (n_all + n_words + 1))
         apart = np.where(classes == OTHER, np.log10((counts + 1) / (known["other_tokens"] + known["other_distinct"] + 1)), 0.0)
@@ -266,13 +277,14 @@ def score(df: DataFrame, learn: Column, key: str = "doc_id", text: str = "text")
         "unigram": mass / mass.sum(), "tokens": total[0] + ends, "distinct": total[1] + (ends > 0), "texts": ends,
         "other_tokens": total[0] - sum(r["c"] for r in top), "other_distinct": total[1] - len(top),
     }
-    classes = spark.createDataFrame([(r["word"], n + 2) for n, r in enumerate(top)], "w string, class int")
-    classed = counted.join(F.broadcast(classes), counted.word == classes.w, "left").select(F.col("word").alias("w"), "c", F.coalesce("class", F.lit(OTHER)).alias("class"))
+    numbered = spark.createDataFrame([(r["word"], n + 2) for n, r in enumerate(top)], "w string, class int")
+    classed = counted.join(F.broadcast(numbered), counted.word == numbered.w, "left").select(F.col("word").alias("w"), "c", F.coalesce("class", F.lit(OTHER)).alias("class"))
     looked_up = stored(words.join(classed, words.word == classed.w).select("chunk", "id", "c", "class"))
     rows = encoded.where("word IS NULL").select("chunk", "doc_id", "learn", "ids")
-    together = lambda: rows.groupBy("chunk").cogroup(looked_up.groupBy("chunk"))
     assert k <= VOCABULARY
-    weights = average(together().applyInArrow(_trainer(spark.sparkContext.broadcast(facts)), COPIES))
+    by_chunk = rows.groupBy("chunk")
+    trained = stored(by_chunk.cogroup(looked_up.groupBy("chunk")).applyInArrow(_trainer(spark.sparkContext.broadcast(facts)), TRAINED))
+    weights = average(trained.select("chunk", "weight", "packed"))
     facts = facts | {"weights": weights if weights is not None else LogBilinear(facts["unigram"]).packed()}
-    scored = together().applyInArrow(_scorer(spark.sparkContext.broadcast(facts)), SCORED)
+    scored = by_chunk.cogroup(trained.select("chunk", "counts", "classes").groupBy("chunk")).applyInArrow(_scorer(spark.sparkContext.broadcast(facts)), SCORED)
     return scored.withColumn("train_tokens", F.lit(facts["tokens"]).cast("long"))
