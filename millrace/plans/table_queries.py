@@ -455,9 +455,9 @@ def _(t):
     return out.select("l_orderkey", "l_linenumber", *(half_up(F.col(c)).alias(c) for c in out.columns[2:]))
 
 
-@query("seasonal_means", "SELECT hour(ts)::INTEGER AS period, count(value) AS n, round(sum(value) / count(value) - sum(sum(value)) OVER () / sum(count(value)) OVER (), 6) AS seasonal FROM events GROUP BY hour(ts)")
+@query("seasonal_means", "SELECT hour(ts)::INTEGER AS period, count(value) AS n, round(sum(sqrt(abs(value))) / count(value) - sum(sum(sqrt(abs(value)))) OVER () / sum(count(value)) OVER (), 6) AS seasonal FROM events GROUP BY hour(ts)")
 def _(t):
-    return features.seasonal(t("events"), "value", F.hour("ts"))
+    return features.seasonal(t("events").withColumn("root", F.sqrt(F.abs("value"))), "root", F.hour("ts"))
 
 
 @query("drift_psi", "WITH c AS (SELECT floor(n_chars / 500) AS b, count(*) FILTER (doc_id % 2 = 0)::DOUBLE AS e, count(*) FILTER (doc_id % 2 = 1)::DOUBLE AS a FROM documents GROUP BY 1), p AS (SELECT greatest(e / sum(e) OVER (), 1e-4) AS e, greatest(a / sum(a) OVER (), 1e-4) AS a FROM c) SELECT round(sum((a - e) * ln(a / e)), 6) AS psi FROM p")

@@ -44,7 +44,7 @@ def _(t):
     return text.drop_short(t("documents").select("doc_id", F.expr(BLANKED).alias("text")), "text").select("doc_id")
 
 
-SHOUTED = "CASE WHEN doc_id % 11 = 0 THEN concat('  ', upper(text)) ELSE text END"
+SHOUTED = "CASE WHEN doc_id % 11 = 0 THEN concat('  ', translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')) ELSE text END"
 
 
 @query("text_dedup_first", f"WITH u AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id + 1000000, {SHOUTED} FROM documents) SELECT min(doc_id) AS doc_id FROM u GROUP BY lower({STRIPPED.format(v='text')})")
