@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+from array import array
 from dataclasses import dataclass
 from itertools import chain
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 #: What splits text into pieces before merging: the vocabulary's own pattern, frequent pieces first and without backtracking.
 PIECES = r" ?\p{L}++|'(?:[stmd]|re|ve|ll)| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"
 #: Encoded pieces that a task remembers between batches; beyond it the memory starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -139,7 +140,7 @@ class Encoder:
         if len(self.known) > REMEMBERED:
             self.known = {}
         new = sorted(set(chain.from_iterable(split)).difference(self.known, self.bpe.special))
-        self.known.update(zip(new, merge_pieces(new, self.bpe), strict=True))
+        self.known.update(zip(new, (array("i", ids) for ids in merge_pieces(new, self.bpe)), strict=True))  # compact: a partition has many
         self.known.update({t: [i] for t, i in self.bpe.special.items()})
         return split
 
@@ -156,7 +157,7 @@ def decode_ids(ids: list[int] | None, bpe: Bpe) -> str:
 
 
 #: Texts that are encoded at once, in characters, so that ids of few texts are in memory.
-STEP = 4_000_000
+STEP = 500_000
 
 
 def _steps(texts: list[str | None]):

@@ -48,6 +48,8 @@ EMPTY = 0xFFFF
 SLACK = 0.15
 #: Leaders that a class verifies in step 2.
 LEADERS = 3
+#: Texts that are signed at once.
+STEP = 500
 #: Sides of a block in step 3.
 FEW, MANY = 64, 512
 #: For each bucket, the order in which it looks for another to borrow from.
@@ -105,20 +107,23 @@ SIGNATURE = "struct<n_shingles:bigint,set_key:binary,registers:binary,bands:arra
 
 
 def _signed(k: int):
-    def run(texts: pa.Array) -> pa.Array:
-        hasher = Hasher()
+    def few(texts: pa.Array, hasher: Hasher) -> pa.Array:
         sizes, keys, tables = [], [], []
         for t in texts:
             s = hasher.shingles(t.as_py(), k)
             sizes.append(len(s))
             keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
             tables.append(registers(s))
-        table = filled(np.stack(tables)) if tables else np.zeros((0, BUCKETS), np.uint16)
-        flat = bands(table)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(table) + 1, dtype=np.int32) * BANDS), pa.array(flat.ravel()))
+        table = filled(np.stack(tables))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(table) + 1, dtype=np.int32) * BANDS), pa.array(bands(table).ravel()))
         binary = pa.array([row.tobytes() for row in table], pa.binary())
         return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), binary, lists], ["n_shingles", "set_key", "registers", "bands"])
 
+    def run(texts: pa.Array) -> pa.Array:
+        hasher, empty = Hasher(), pa.array([], pa.struct([("n_shingles", pa.int64()), ("set_key", pa.binary()), ("registers", pa.binary()), ("bands", pa.list_(pa.field("item", pa.int64())))]))
+        parts = [few(texts[at : at + STEP], hasher) for at in range(0, len(texts), STEP)]
+        return pa.concat_arrays(parts) if parts else empty
+
     return F.arrow_udf(run, SIGNATURE)
 
 
