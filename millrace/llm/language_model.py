@@ -40,7 +40,7 @@ NOISE, BATCH, RATE = 64, 2048, 0.06
 #: An event seen more often is split, so that none outweighs a batch.
 HEAVY = 4
 #: Copies that are averaged in one task.
-FAN_IN = 32
+FAN_IN = 8
 
 ENCODED = "chunk string, doc_id bigint, learn boolean, n_words bigint, ids binary, word string, id int, n bigint"
 
@@ -168,11 +168,12 @@ def _events(texts: list[np.ndarray], classes: np.ndarray) -> tuple[np.ndarray, n
     """For all tokens of some texts: the words two and one before, the word, and the place where each text's tokens begin."""
     sizes = np.array([len(t) + 1 for t in texts])
     begin = np.concatenate(([0], np.cumsum(sizes)))[:-1].astype(np.int64)
-    word = np.full(int(sizes.sum()), END, np.int64)
+    word = np.full(int(sizes.sum()), END, np.int32)  # events of three words below 1024 fit in 32 bits
     inside = np.ones(len(word), bool)
     inside[begin + sizes - 1] = False
     word[inside] = classes[np.concatenate(texts)] if len(classes) else 0
-    one, two = np.concatenate(([END], word[:-1])), np.concatenate(([END, END], word[:-2]))[: len(word)]
+    one, two = np.full_like(word, END), np.full_like(word, END)
+    one[1:], two[2:] = word[:-1], word[:-2]
     one[begin], two[begin] = END, END
     two[begin[sizes > 1] + 1] = END
     return two, one, word, begin
