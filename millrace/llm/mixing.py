@@ -26,8 +26,8 @@ from millrace.llm.text import WORD, n_words, settled
 
 #: Words in a block.
 BLOCK = 16
-#: Shards of each source; hot sources are split as finely as any.
-SHARDS = 256
+#: Documents of a shard, about, and shards of a source at most. A shard cuts one document at most, and hot sources have many.
+SHARD_ROWS, MOST_SHARDS = 512, 65_536
 #: How often a document is taken at most.
 MAX_REPEATS = 3
 SEED = 17
@@ -54,7 +54,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, repeats: int = MAX_REPEATS) -> Da
         .withColumn("rest", F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
         .withColumn("open", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
         .withColumn("share", F.col("rest") / F.col("open"))
-        .withColumn("level", F.min(F.when(F.col("cap") >= F.col("weight") * F.col("share"), F.struct(F.col("cap") / F.col("weight"), "share"))).over(every)["share"])
+        .withColumn("place", F.row_number().over(by_need))
+        .withColumn("level", F.min(F.when(F.col("cap") >= F.col("weight") * F.col("share"), F.struct("place", "share"))).over(every)["share"])
         .select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("weight") * F.col("level"), F.col("cap"))).alias("target"))
     )
 
@@ -97,12 +98,15 @@ def seeded(key: Column, seed: int) -> Column:
 
 def mix(
     df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
-    block: int = BLOCK, shards: int = SHARDS, seed: int = SEED, weights=WEIGHTS, repeats: int = MAX_REPEATS,
+    block: int = BLOCK, shard_rows: int = SHARD_ROWS, seed: int = SEED, weights=WEIGHTS, repeats: int = MAX_REPEATS,
 ) -> DataFrame:
     """``df`` with size, source_size, target and taken."""
     new = ("size", "source_size", "target", "taken")
     rest = [c for c in df.columns if c.lower() not in new]
-    sized = df.select(*rest, n_words(F.col(text)).alias("size"), F.pmod(seeded(F.col(key), seed), F.lit(shards)).alias("_shard"))
+    # A row for each source; whether it is small enough to broadcast is for Spark to see.
+    split = df.groupBy(F.col(source).alias("_split")).agg(F.least(F.lit(MOST_SHARDS), F.ceil(F.count("*") / shard_rows)).cast("long").alias("_shards"))
+    sharded = df.select(*rest).join(split, F.col(source).eqNullSafe(F.col("_split")))
+    sized = sharded.select(*rest, n_words(F.col(text)).alias("size"), F.pmod(seeded(F.col(key), seed), F.col("_shards")).alias("_shard"))
     blocks = lambda words: F.ceil(words * repeats / block).cast("long")
     shard = settled(sized.groupBy(F.col(source).alias("source"), "_shard").agg(F.sum("size").alias("_shard_size")))
     per_source = targets(shard.groupBy("source").agg(F.sum("_shard_size").alias("source_size")), weights, repeats)
