@@ -105,8 +105,9 @@ def mix(
     rest = [c for c in df.columns if c.lower() not in new]
     # A row for each source; whether it is small enough to broadcast is for Spark to see.
     split = df.groupBy(F.col(source).alias("_split")).agg(F.least(F.lit(MOST_SHARDS), F.ceil(F.count("*") / shard_rows)).cast("long").alias("_shards"))
-    sharded = df.select(*rest).join(split, F.col(source).eqNullSafe(F.col("_split")))
-    sized = sharded.select(*rest, n_words(F.col(text)).alias("size"), F.pmod(seeded(F.col(key), seed), F.col("_shards")).alias("_shard"))
+    counted = df.select(*rest, n_words(F.col(text)).alias("size"))  # before the join, which then need not move texts
+    sharded = counted.join(split, F.col(source).eqNullSafe(F.col("_split")))
+    sized = sharded.select(*rest, "size", F.pmod(seeded(F.col(key), seed), F.col("_shards")).alias("_shard"))
     blocks = lambda words: F.ceil(words * repeats / block).cast("long")
     shard = settled(sized.groupBy(F.col(source).alias("source"), "_shard").agg(F.sum("size").alias("_shard_size")))
     per_source = targets(shard.groupBy("source").agg(F.sum("_shard_size").alias("source_size")), weights, repeats)
