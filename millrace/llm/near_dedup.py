@@ -21,7 +21,7 @@ Links are never spread out as all pairs of a group:
 Two sets of similarity 0.8 share no band with a chance of about 3 in a million.
 
 Defined results: texts without words, or null, have no shingles and stand
-alone; rows that share a key are one document; rows without a key stand alone,
+alone; rows that share a key are one document of all their texts; rows without a key stand alone,
 with a null component, and are kept; an empty table gives an empty result;
 other columns are carried along, and a column whose name is one of the result's
 is replaced.
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.components import components
 from millrace.llm.shingles import BASE, Hasher, mixed, overlap
-from millrace.llm.text import settled
+from millrace.llm.text import settled, stored
 
 WORDS, THRESHOLD = 5, 0.8
 BUCKETS, MANTISSA = 256, 10
@@ -186,17 +186,17 @@ def _blocks(threshold: float):
 
 def classes(signed: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
     """(set_key, component): the smallest document reachable from each class of equal sets. Settled."""
-    reps = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rid"))
-    reps = settled(reps)
-    whole = signed.join(reps, (signed.set_key == reps.set_key) & (signed.doc_id == reps.rid)).select("rid", "n_shingles", "registers", "bands")
-    member = settled(whole.select("rid", F.explode("bands").alias("key")).distinct())
+    able = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
+    # All documents of a class have the same signature, so any one's will do.
+    reps = stored(able.groupBy("set_key").agg(F.min("doc_id").alias("rid"), F.any_value(F.struct("n_shingles", "registers", "bands")).alias("s")).select("set_key", "rid", "s.*"))
+    member = reps.select("rid", F.explode("bands").alias("key"))
     seeded = F.struct(F.xxhash64("key", "rid").alias("h"), F.col("rid").alias("leader"))
     buckets = settled(member.groupBy("key").agg(F.count("*").alias("n"), F.min(seeded)["leader"].alias("leader")).where("n > 1"))
-    shared = settled(member.join(buckets, "key").select("key", "rid", "leader"))
+    shared = settled(member.join(buckets, "key").select("key", "rid", "leader").distinct())
     involved = shared.select("rid").distinct()
     hashed = F.arrow_udf(_hashes(k), "binary")
     sets = settled(texts.join(involved, texts.doc_id == involved.rid).select("rid", hashed("text").alias("shingles")).groupBy("rid", "shingles").agg(F.lit(1).alias("_")).drop("_"))
-    regs = whole.select("rid", "n_shingles", "registers")
+    regs = reps.select("rid", "n_shingles", "registers")
     side = lambda df, x: df.select(*(F.col(c).alias(f"{c}_{x}") for c in df.columns))
     pairs = settled(shared.where("rid <> leader").select(F.col("rid").alias("u"), F.col("leader").alias("v")).distinct())
     ru, rv = side(regs, "u"), side(regs, "v")
@@ -205,11 +205,15 @@ def classes(signed: DataFrame, texts: DataFrame, k: int, threshold: float) -> Da
     best = F.slice(F.sort_array(F.collect_list(F.struct("est", "v")), False), 1, LEADERS)  # at most BANDS in the list
     chosen = settled(est.groupBy("u").agg(best.alias("best")).select("u", F.explode("best").alias("b")).select("u", "b.v"))
     edges = settled(_check(chosen, sets, threshold))
+    several = settled(able.groupBy("doc_id").agg(F.min("set_key").alias("a"), F.max("set_key").alias("b")).where("a <> b").select("doc_id"))
+    if not several.isEmpty():  # a document of several texts ties their classes
+        tied = able.select("doc_id", "set_key").join(several, "doc_id").join(reps.select("set_key", "rid"), "set_key").select(F.col("doc_id").alias("u"), F.col("rid").alias("v"))
+        edges = settled(edges.unionAll(tied.where("u <> v").distinct()))
     labels = components(edges)
     more = _minorities(shared, labels, sets, threshold)
     if not more.isEmpty():
         labels = components(edges.unionAll(more))
-    return settled(reps.join(labels, reps.rid == labels.node, "left").select("set_key", F.coalesce("component", "rid").alias("component")))
+    return settled(reps.select("set_key", "rid").join(labels, F.col("rid") == labels.node, "left").select("set_key", F.coalesce("component", "rid").alias("component")))
 
 
 def _hashes(k: int):
@@ -254,7 +258,7 @@ def _minorities(shared: DataFrame, labels: DataFrame, sets: DataFrame, threshold
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """``df`` with n_shingles, component_id and kept (whether the row's key is its component's)."""
     texts = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = settled(texts.select("doc_id", _signed(words)("text").alias("s")).select("doc_id", "s.*"))
+    signed = stored(texts.select("doc_id", _signed(words)("text").alias("s")).select("doc_id", "s.*"))
     found = classes(signed, texts, words, threshold)
     of = signed.select("doc_id", "n_shingles", "set_key").join(found.withColumnRenamed("set_key", "_set"), F.col("set_key") == F.col("_set"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

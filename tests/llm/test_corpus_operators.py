@@ -108,6 +108,12 @@ def test_near_dedup_odd(odd, none):
     assert sorted(r.doc_id or 0 for r in kept) == [0, 1, 2, 3, 4, 5, 5, 7, 8]
 
 
+def test_a_document_of_several_texts_ties_their_classes(spark):
+    rows = [(7, "a b c d e f"), (7, "x y z u v w"), (3, "x y z u v w"), (9, "a b c d e f"), (7, "third text of seven"), (1, "third text of seven"), (5, "other words here")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(7, 1), (3, 1), (9, 1), (1, 1), (5, 5)} and len(got) == len(rows)
+
+
 def test_fingerprints_odd(spark, odd, none):
     got = fingerprints.edited_pairs(odd).collect()
     assert len(got) == len(ODD)
