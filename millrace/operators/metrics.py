@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.functions.columns import half_up
+from millrace.functions.columns import half_up, only_row
 
 EPS = 1e-15
 #: Primary metric and direction by kind of task.
@@ -22,6 +22,8 @@ T95 = [
     2.120, 2.110, 2.101, 2.093, 2.086, 2.080, 2.074, 2.069, 2.064, 2.060, 2.056, 2.052, 2.048, 2.045, 2.042,
 ]
 Z95 = 1.960
+#: Ranges that ordered scores are cut into.
+RANGES = 4096
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -83,14 +85,35 @@ def _by_score(df: DataFrame, positive: Column, score: Column, by: list[Column] =
     return df.groupBy(*by, score.alias("score")).agg(F.count("*").alias("n"), F.sum(positive.cast("long")).alias("pos"))
 
 
+def cumulative(df: DataFrame, order: str, values: list[str], by: list[str] = []) -> DataFrame:
+    """``df`` with ``upto_v`` (the sum of v over rows of ``order`` as low or lower) and ``all_v`` for each value.
+
+    Orders may be as many as rows, so no task walks them all: they are cut into
+    ``RANGES`` ranges, the ranges' sums accumulate, and rows accumulate within
+    their range.
+    """
+    ends = only_row(df.agg(F.min(order).alias("lo"), F.max(order).alias("hi")))
+    spread = F.nullif(ends["hi"] - ends["lo"], F.lit(0.0))
+    placed = df.withColumn("_range", F.coalesce(F.floor((F.col(order) - ends["lo"]) / spread * RANGES), F.lit(0)).cast("int"))
+    sums = placed.groupBy(*by, "_range").agg(*(F.sum(v).alias(v) for v in values))
+    along, every = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, 0), W.partitionBy(*by)
+    before = sums.select(
+        *(F.col(c).alias(f"_by{n}") for n, c in enumerate(by)), F.col("_range").alias("_r"),
+        *(x for v in values for x in ((F.sum(v).over(along) - F.col(v)).alias(f"_before_{v}"), F.sum(v).over(every).alias(f"all_{v}"))),
+    )
+    same = F.col("_range") == F.col("_r")
+    for n, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{n}"))
+    inner = W.partitionBy(*by, "_range").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    held = placed.withColumns({f"_in_{v}": F.sum(v).over(inner) for v in values})
+    return held.join(before, same).select(*df.columns, *((F.col(f"_before_{v}") + F.col(f"_in_{v}")).alias(f"upto_{v}") for v in values), *(f"all_{v}" for v in values))
+
+
 def auc(df: DataFrame, positive: Column, score: Column, by: list[Column] = [], names: list[str] = []) -> DataFrame:
     """(by..., auc): the chance that a positive's score is above a negative's, ties counting half."""
-    c = _by_score(df, positive, score, by)
-    below = W.partitionBy(*names).orderBy("score").rowsBetween(W.unboundedPreceding, -1)
-    neg = F.col("n") - F.col("pos")
-    wins = F.col("pos") * (F.coalesce(F.sum(neg).over(below), F.lit(0)) + neg / 2)
-    won = c.withColumn("wins", wins)
-    return won.groupBy(*names).agg(half_up(F.try_divide(F.sum("wins"), F.sum("pos").cast("double") * F.sum(neg))).alias("auc"))
+    c = _by_score(df, positive, score, by).withColumn("neg", F.col("n") - F.col("pos"))
+    won = cumulative(c, "score", ["neg"], names).withColumn("wins", F.col("pos") * (F.col("upto_neg") - F.col("neg") / 2))
+    return won.groupBy(*names).agg(half_up(F.try_divide(F.sum("wins"), F.sum("pos").cast("double") * F.sum("neg"))).alias("auc"))
 
 
 def auc_ovr(df: DataFrame, truth: str, classes: list, scores: list[str]) -> DataFrame:
@@ -141,26 +164,25 @@ def losses(df: DataFrame, truth: str, score: str) -> DataFrame:
     )
 
 
+def _from_highest(df: DataFrame, positive: Column, score: Column) -> DataFrame:
+    """Each distinct score with the positives and negatives at it (``pos``, ``neg``), from it on (``tp``, ``fp``) and in all."""
+    c = _by_score(df, positive, score).withColumn("neg", F.col("n") - F.col("pos"))
+    from_ = lambda v: F.col(f"all_{v}") - F.col(f"upto_{v}") + F.col(v)
+    return cumulative(c, "score", ["pos", "neg"]).withColumns({"tp": from_("pos"), "fp": from_("neg")})
+
+
 def roc_curve(df: DataFrame, positive: Column, score: Column) -> DataFrame:
     """(threshold, tpr, fpr) for every distinct score, from the highest."""
-    c = _by_score(df, positive, score)
-    upto = W.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    every = W.partitionBy()
-    neg = F.col("n") - F.col("pos")
-    return c.select(
-        F.col("score").alias("threshold"), half_up(F.try_divide(F.sum("pos").over(upto), F.sum("pos").over(every))).alias("tpr"),
-        half_up(F.try_divide(F.sum(neg).over(upto), F.sum(neg).over(every))).alias("fpr"),
-    )
+    rate = lambda a, b: half_up(F.try_divide(F.col(a), F.col(b)))
+    return _from_highest(df, positive, score).select(F.col("score").alias("threshold"), rate("tp", "all_pos").alias("tpr"), rate("fp", "all_neg").alias("fpr"))
 
 
 def pr_curve(df: DataFrame, positive: Column, score: Column) -> DataFrame:
     """(threshold, precision, recall, step) for every distinct score; the steps add up to the average precision."""
-    c = _by_score(df, positive, score)
-    order = W.orderBy(F.desc("score"))
-    upto = order.rowsBetween(W.unboundedPreceding, 0)
-    points = c.select("score", ratio(F.sum("pos").over(upto), F.sum("n").over(upto)).alias("precision"), ratio(F.sum("pos").over(upto), F.sum("pos").over(W.partitionBy())).alias("recall"))
-    gain = F.col("recall") - F.coalesce(F.lag("recall").over(order), F.lit(0.0))
-    return points.select(F.col("score").alias("threshold"), half_up(F.col("precision")).alias("precision"), half_up(F.col("recall")).alias("recall"), half_up(gain * F.col("precision"), 9).alias("step"))
+    points = _from_highest(df, positive, score)
+    precision, recall = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("all_pos"))
+    gain = recall - ratio(F.col("tp") - F.col("pos"), F.col("all_pos"))
+    return points.select(F.col("score").alias("threshold"), half_up(precision).alias("precision"), half_up(recall).alias("recall"), half_up(gain * precision, 9).alias("step"))
 
 
 def cv_summary(df: DataFrame, metric: str = "metric", value: str = "value") -> DataFrame:
@@ -206,3 +228,22 @@ def consistent(a: DataFrame, b: DataFrame, key: str, value: str, rtol: float = 1
     gap = F.abs(F.col("x") - F.col("y"))
     close = F.count_if(gap <= atol + rtol * F.abs("y"))
     return joined.agg(F.count("*").alias("n"), close.alias("n_close"), half_up(F.max(gap), 9).alias("worst"), (close == F.count(F.lit(1))).alias("passed"))
+
+
+def for_task(task: str) -> list[tuple[str, bool]]:
+    """The metrics of a task with their directions (True: higher is better), the primary one first."""
+    if task == "regression":
+        return [("rmse", False), ("mae", False), ("mse", False), ("r2", True), ("mape", False), ("median_ae", False), ("explained_variance", True)]
+    return [("accuracy", True), ("precision", True), ("recall", True), ("f1", True)]
+
+
+def evaluate(df: DataFrame, task: str, truth: str, pred: str) -> DataFrame:
+    """(metric, value, higher_is_better, is_primary) of a task; classes are weighted by support."""
+    if task == "regression":
+        wide = regression(df, truth, pred)
+    else:
+        scores = averages(df, truth, pred).where("average = 'weighted'")
+        wide = scores.select(only_row(accuracy(df, truth, pred))["accuracy"].alias("accuracy"), "precision", "recall", "f1")
+    names = for_task(task)
+    rows = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"), F.lit(up).alias("higher_is_better"), F.lit(n == 0).alias("is_primary")) for n, (m, up) in enumerate(names)))
+    return wide.select(F.inline(rows))

@@ -176,6 +176,14 @@ def _(t):
     return metrics.consistent(a, b, "event_id", "value")
 
 
+MULTI_WEIGHTED = f"WITH {PER_CLASS}, w AS (SELECT (SELECT round(avg(CAST(y = yhat AS DOUBLE)), 6) FROM m) AS accuracy, " + ", ".join(f"round(sum({n} * support) / sum(support), 6) AS {n}" for n in NAMES) + " FROM r)"
+
+
+@query("metric_table", MULTI_WEIGHTED + " " + " UNION ALL ".join(f"SELECT '{m}' AS metric, {m} AS value, {str(up).lower()} AS higher_is_better, {str(n == 0).lower()} AS is_primary FROM w" for n, (m, up) in enumerate(metrics.for_task("classification"))))
+def _(t):
+    return metrics.evaluate(multi(t), "classification", "y", "yhat")
+
+
 # Ensembles
 
 VOTERS = ("a:", "b:", "c:")

@@ -206,3 +206,32 @@ def test_models(spark):
     out = models.out_of_fold(df, "decision_tree_classifier", ["a", "b"], "y", "k", 3)
     assert out.count() == 200 and out.where("prediction = y").count() > 190
     assert [r.name for r in models.ranked_models(models.registry_table(spark), "regression", 1000, "linear").limit(2).collect()] == ["linear_regression", "ridge"]
+
+
+def test_formatting(spark):
+    from millrace.functions.formatting import human_bytes, human_duration
+
+    sizes = {0: "0.0 B", 1023: "1023.0 B", 1536: "1.5 KB", 5 * 1024**3: "5.0 GB"}
+    assert {n: value(spark, human_bytes(F.col("n")), n=n) for n in sizes} == sizes
+    times = {2.25: "2.25s", 65.0: "1m 5.0s", 3725.5: "1h 2m 5.5s"}
+    assert {n: value(spark, human_duration(F.col("n")), n=n) for n in times} == times
+
+
+def test_cumulative_in_groups(spark):
+    rows = [(g, float(s), s + 1) for g in ("a", None) for s in range(10)] + [("one", 5.0, 7)]
+    got = metrics.cumulative(spark.createDataFrame(rows, "g string, s double, v long"), "s", ["v"], ["g"]).collect()
+    assert {(r.g, r.s): (r.upto_v, r.all_v) for r in got} == {(g, float(s)): ((s + 1) * (s + 2) // 2, 55) for g in ("a", None) for s in range(10)} | {("one", 5.0): (7, 7)}
+
+
+def test_train_from_table_to_metrics(spark, tmp_path):
+    from millrace import api
+
+    rows = [(i, float(i % 10), None if i % 13 == 0 else float(i % 7), "high" if i % 10 > 4 else "low") for i in range(400)]
+    df = spark.createDataFrame(rows, "k long, a double, b double, y string")
+    got = api.train(spark, df, "y", "k", model="decision_tree_classifier")
+    assert got.task == "classification" and got.features == ["a", "b"]
+    assert {r.metric: r.value for r in got.metrics.collect()}["accuracy"] == 1.0
+    assert [r.category for r in got.issues.collect()] == ["missing"]
+    api.deploy(got, str(tmp_path / "model"))
+    assert api.PipelineModel.load(str(tmp_path / "model")).stages
+    assert api.detect_task(df, "a") == "classification" and api.detect_task(df.withColumn("z", F.col("k") * 0.5), "z") == "regression"
