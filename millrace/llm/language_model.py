@@ -215,7 +215,7 @@ def _trainer(shared):
     return run
 
 
-def _summed(key, copies: pa.Table) -> pa.Table:
+def _summed(copies: pa.Table) -> pa.Table:
     copies = copies.sort_by([("weight", "ascending"), ("chunk", "ascending")])
     total = sum(np.frombuffer(p.as_py(), np.float64) for p in copies.column("packed"))
     return pa.table({"chunk": copies.column("chunk")[:1].cast(pa.string()), "weight": pa.array([sum(copies.column("weight").to_pylist())]), "packed": pa.array([total.tobytes()], pa.binary())})

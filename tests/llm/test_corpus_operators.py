@@ -252,6 +252,14 @@ def test_log_bilinear_model_learns_and_is_normalised():
     assert (10 ** model.log10(np.full(9, 3), np.full(9, 4), every)).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_copies_average_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "FAN_IN", 3)
+    rows = [(f"c{n}", float(n), (np.array([1.0, n]) * n).tobytes()) for n in range(20)]
+    got = language_model.average(spark.createDataFrame(rows, language_model.COPIES))
+    weights = np.arange(20.0)
+    assert got == pytest.approx([1.0, (weights * weights).sum() / weights.sum()])
+
+
 def shingle_set(text, k):
     words = (text or "").encode().lower().split()
     n = min(k, len(words))
