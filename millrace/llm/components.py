@@ -17,11 +17,12 @@ def components(edges: DataFrame) -> DataFrame:
     in a minimum that is combined before the shuffle.
     """
     both = settled(edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct())
-    labels = settled(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("component")))
+    labels = both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("component"))
     while True:
+        labels = settled(labels)
         near = both.join(labels, both.v == labels.node).groupBy(F.col("u").alias("at")).agg(F.min("component").alias("near"))
-        lower = settled(labels.join(near, labels.node == near.at).select("node", F.col("component").alias("was"), F.least("component", "near").alias("component")))
+        lower = labels.join(near, labels.node == near.at).select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
         if lower.where("was <> component").isEmpty():
             return labels
         roots = lower.select(F.col("node").alias("root"), F.col("component").alias("further"))
-        labels = settled(lower.join(roots, lower.component == roots.root).select("node", F.col("further").alias("component")))
+        labels = lower.join(roots, lower.component == roots.root).select("node", F.col("further").alias("component"))

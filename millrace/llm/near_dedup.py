@@ -198,14 +198,14 @@ def classes(signed: DataFrame, texts: DataFrame, k: int, threshold: float) -> Da
     sets = settled(texts.join(involved, texts.doc_id == involved.rid).select("rid", hashed("text").alias("shingles")).groupBy("rid", "shingles").agg(F.lit(1).alias("_")).drop("_"))
     regs = reps.select("rid", "n_shingles", "registers")
     side = lambda df, x: df.select(*(F.col(c).alias(f"{c}_{x}") for c in df.columns))
-    pairs = settled(shared.where("rid <> leader").select(F.col("rid").alias("u"), F.col("leader").alias("v")).distinct())
+    pairs = shared.where("rid <> leader").select(F.col("rid").alias("u"), F.col("leader").alias("v")).distinct()
     ru, rv = side(regs, "u"), side(regs, "v")
     est = pairs.join(ru, pairs.u == ru.rid_u).join(rv, F.col("v") == rv.rid_v)
     est = est.select("u", "v", _estimated()("registers_u", "registers_v", "n_shingles_u", "n_shingles_v").alias("est")).where(F.col("est") >= threshold - SLACK)
     best = F.slice(F.sort_array(F.collect_list(F.struct("est", "v")), False), 1, LEADERS)  # at most BANDS in the list
-    chosen = settled(est.groupBy("u").agg(best.alias("best")).select("u", F.explode("best").alias("b")).select("u", "b.v"))
+    chosen = est.groupBy("u").agg(best.alias("best")).select("u", F.explode("best").alias("b")).select("u", "b.v")
     edges = settled(_check(chosen, sets, threshold))
-    several = settled(able.groupBy("doc_id").agg(F.min("set_key").alias("a"), F.max("set_key").alias("b")).where("a <> b").select("doc_id"))
+    several = able.groupBy("doc_id").agg(F.min("set_key").alias("a"), F.max("set_key").alias("b")).where("a <> b").select("doc_id")
     if not several.isEmpty():  # a document of several texts ties their classes
         tied = able.select("doc_id", "set_key").join(several, "doc_id").join(reps.select("set_key", "rid"), "set_key").select(F.col("doc_id").alias("u"), F.col("rid").alias("v"))
         edges = settled(edges.unionAll(tied.where("u <> v").distinct()))
@@ -234,7 +234,7 @@ def _check(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 def _minorities(shared: DataFrame, labels: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Step 3: links across the components of a bucket. Settled."""
-    placed = settled(shared.join(labels, shared.rid == labels.node, "left").select("key", "rid", F.coalesce("component", "rid").alias("comp")))
+    placed = shared.join(labels, shared.rid == labels.node, "left").select("key", "rid", F.coalesce("component", "rid").alias("comp"))
     sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
     mixed_ = settled(
         sizes.groupBy(F.col("key").alias("k"))
