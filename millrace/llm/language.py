@@ -23,7 +23,6 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Whole texts that the classifiers learn from, about; every language has the same share.
@@ -88,12 +87,14 @@ class Model:
 
 
 def sample(df: DataFrame, learn: Column, key: str, text: str, lang: str) -> DataFrame:
-    """About SAMPLE learnable rows, as many of each language, by a hash of the key."""
+    """About SAMPLE learnable rows, as many of each language, by a hash of the key; texts aren't shuffled."""
     able = df.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    counts = able.groupBy(F.col("l").alias("of")).agg(F.count("*").alias("n"))  # a row for each language
-    share = counts.select("of", (F.lit(float(SAMPLE)) / F.col("n") / F.count("*").over(W.partitionBy())).alias("share"))
+    counts = able.groupBy("l").agg(F.count("*").alias("n")).collect()  # a row for each language, as the model has
+    if not counts:
+        return able
+    share = F.create_map(*(x for r in counts for x in (F.lit(r["l"]), F.lit(SAMPLE / r["n"] / len(counts)))))
     unit = F.pmod(F.xxhash64(F.lit(3), "k"), F.lit(1 << 30)) / float(1 << 30)
-    return able.join(share, (F.col("l") == F.col("of")) & (unit < F.col("share"))).select("k", "t", "l")
+    return able.where(unit < F.element_at(share, F.col("l")))
 
 
 def fit(df: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", steps: int = 150) -> Model:
