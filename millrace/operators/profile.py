@@ -85,3 +85,15 @@ def resource_summary(df: DataFrame, value: str, time: str, by: str) -> DataFrame
         half_up(F.coalesce(F.stddev_samp(value), F.lit(0.0))).alias("std"),
         (F.unix_micros(F.max(F.col(time).cast("timestamp"))) - F.unix_micros(F.min(F.col(time).cast("timestamp")))).alias("duration_us"), F.count("*").alias("samples"),
     )
+
+
+def channel_stats(df: DataFrame, image: str, least_std: float = 1e-8) -> DataFrame:
+    """(channel, mean, std) of images held as rows of pixels of channels; every pixel counts."""
+    pixels = df.select(F.explode(F.flatten(image)).alias("pixel")).select(F.posexplode("pixel").alias("channel", "v"))
+    return pixels.groupBy("channel").agg(half_up(F.avg("v")).alias("mean"), half_up(F.greatest(F.stddev_pop("v"), F.lit(least_std))).alias("std"))
+
+
+def durations(df: DataFrame, samples: str, rate: Column) -> DataFrame:
+    """Mean, least and most seconds of sampled clips."""
+    s = F.try_divide(F.size(samples), rate)
+    return df.agg(half_up(F.avg(s)).alias("mean"), half_up(F.min(s)).alias("min"), half_up(F.max(s)).alias("max"))

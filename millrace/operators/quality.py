@@ -117,3 +117,18 @@ def summary(found: DataFrame) -> DataFrame:
     """(errors, warnings, infos, is_valid) of issue rows."""
     of = lambda s: F.count_if(F.col("severity") == s)
     return found.agg(of("error").alias("errors"), of("warning").alias("warnings"), of("info").alias("infos"), (of("error") == 0).alias("is_valid"))
+
+
+def within(df: DataFrame, column: str, low=None, high=None, allowed: list | None = None) -> DataFrame:
+    """Values under ``low``, over ``high`` or not among ``allowed``; missing values aren't judged."""
+    bad = F.lit(False)
+    bad = bad | (F.col(column) < low) if low is not None else bad
+    bad = bad | (F.col(column) > high) if high is not None else bad
+    bad = bad | ~F.col(column).isin(allowed) if allowed is not None else bad
+    n = F.count_if(bad)
+    return issues(df, [_issue(F.when(n > 0, "error"), "out_of_range", column, n, F.count(F.lit(1)))])
+
+
+def first_rows(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The first ``n`` rows by key, for rules that are to look at no more."""
+    return df.orderBy(key).limit(n)

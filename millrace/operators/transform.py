@@ -112,3 +112,8 @@ class TabularPreprocessor:
         scaler = StandardScaler(self.numeric).fit(base)
         out, base = scaler.transform(out), scaler.transform(base)
         return clean.clip(out, self.numeric, "iqr", fitted_on=base) if self.clip_outliers else out
+
+
+def unit_pixels(image: Column) -> Column:
+    """Byte pixels (rows of pixels of channels) from 0 to 1."""
+    return F.transform(image, lambda row: F.transform(row, lambda pixel: F.transform(pixel, lambda v: v / 255.0)))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions.columns import half_up
 from millrace.operators import augment, clean, features, profile, quality, split, transform
 from millrace.plans.registry import query
+from millrace.sources import readers
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 HOLED = ["l_quantity", "l_discount"]
@@ -105,6 +106,22 @@ def _(t):
     return profile.resource_summary(t("events"), "value", "ts", "event_type")
 
 
+@query("profile_channels", "WITH p AS (SELECT unnest(embedding)::DOUBLE AS v, (generate_subscripts(embedding, 1) - 1) % 4 AS channel FROM embeddings) SELECT channel::INTEGER AS channel, round(avg(v), 6) AS mean, round(greatest(stddev_pop(v), 1e-8), 6) AS std FROM p GROUP BY channel")
+def _(t):
+    row = lambda r: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda c: F.slice(F.col("embedding").cast("array<double>"), r * 16 + c * 4 + 1, F.lit(4)))
+    return profile.channel_stats(t("embeddings").select(F.transform(F.sequence(F.lit(0), F.lit(3)), row).alias("image")), "image")
+
+
+@query("profile_durations", "WITH d AS (SELECT len(embedding) / (8.0::DOUBLE + vec_id % 5) AS s FROM embeddings) SELECT round(avg(s), 6) AS mean, round(min(s), 6) AS min, round(max(s), 6) AS max FROM d")
+def _(t):
+    return profile.durations(t("embeddings"), "embedding", 8.0 + F.col("vec_id") % 5)
+
+
+@query("rows_at", "SELECT event_id, value FROM events WHERE event_id IN (SELECT doc_id * 3 FROM documents)")
+def _(t):
+    return readers.rows_at(t("events").select("event_id", "value"), "event_id", t("documents").select((F.col("doc_id") * 3).alias("event_id")))
+
+
 # Quality rules
 
 ISSUE = "{severity} AS severity, '{category}' AS category, '{feature}' AS feature, ({n})::BIGINT AS n, round(({n})::DOUBLE / nullif({of}, 0), 6) AS ratio"
@@ -153,6 +170,14 @@ def _(t):
     return quality.missing_target(holed(t), "l_returnflag")
 
 
+RANGE = "count(*) FILTER (value < 0 OR value > 150)"
+
+
+@query("quality_range", issue(f"CASE WHEN {RANGE} > 0 THEN 'error' END", "out_of_range", "value", RANGE, "count(*)", "events"))
+def _(t):
+    return quality.within(t("events"), "value", 0, 150)
+
+
 BLANKED = "b AS (SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN '' WHEN doc_id % 77 = 0 THEN NULL ELSE text END AS text FROM documents)"
 
 

@@ -161,3 +161,15 @@ def flattened(df: DataFrame, separator: str = ".") -> DataFrame:
             yield from leaves(f.dataType, here) if isinstance(f.dataType, T.StructType) else [here]
 
     return df.select(*(F.col(".".join(f"`{p}`" for p in leaf)).alias(separator.join(leaf)) for leaf in leaves(df.schema, [])))
+
+
+def rows_at(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows whose key is among ``keys`` (a table with a column of that name)."""
+    return df.join(keys.select(key).distinct(), key, "left_semi")
+
+
+def require_rows(df: DataFrame, least: int) -> DataFrame:
+    """``df``, or an error if it has fewer rows; no more than ``least`` are read."""
+    if df.limit(least).count() < least:
+        raise EngineError(f"fewer than {least} rows")
+    return df

@@ -235,3 +235,24 @@ def test_train_from_table_to_metrics(spark, tmp_path):
     api.deploy(got, str(tmp_path / "model"))
     assert api.PipelineModel.load(str(tmp_path / "model")).stages
     assert api.detect_task(df, "a") == "classification" and api.detect_task(df.withColumn("z", F.col("k") * 0.5), "z") == "regression"
+
+
+def test_streamed_limiter_agrees_with_the_batch(spark, tmp_path):
+    from millrace.streaming import limiter
+
+    table = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    table.orderBy("ts").coalesce(1).write.parquet(str(tmp_path / "in"))
+    live = stream.event_stream(spark, str(tmp_path / "in"), table.schema)
+    got = stream.run_available(limiter.rate_limited(live, "user_id", "ts", "event_id", 2, 86_400), "limited", str(tmp_path / "ck"), "append")
+    want = serving.rate_limited(table, "user_id", "ts", "event_id", 2, 86_400)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_small_guards(spark):
+    df = spark.createDataFrame([(1, 5.0), (2, 200.0)], "k int, v double")
+    assert [(r.category, r.n) for r in quality.within(df, "v", 0, 150).collect()] == [("out_of_range", 1)]
+    assert quality.within(df, "k", allowed=[1, 2]).count() == 0 and quality.first_rows(df, "k", 1).first().k == 1
+    assert readers.require_rows(df, 2) is df
+    with pytest.raises(readers.EngineError):
+        readers.require_rows(df, 3)
+    assert value(spark, transform.unit_pixels(F.col("i")), i=[[[255, 0]]]) == [[[1.0, 0.0]]]
