@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 WINDOW = 7
 MOST_CHUNKS = 64
-#: Signatures must share so many characters in a row; else they are alike by chance.
+#: Signatures must share so many characters in a row (short ones a quarter of theirs); else they are alike by chance.
 COMMON = 4
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 
@@ -86,10 +86,11 @@ def _alike(a: str, b: str) -> float:
     """1 less the edit distance (insertions and deletions) over both lengths."""
     if a == b:
         return 1.0
-    if min(len(a), len(b)) < COMMON:
+    if not a or not b:
         return 0.0
-    grams = {a[i : i + COMMON] for i in range(len(a) - COMMON + 1)}
-    if not any(b[i : i + COMMON] in grams for i in range(len(b) - COMMON + 1)):
+    run = max(1, min(COMMON, len(a) // 4, len(b) // 4))
+    grams = {a[i : i + run] for i in range(len(a) - run + 1)}
+    if not any(b[i : i + run] in grams for i in range(len(b) - run + 1)):
         return 0.0
     return 2.0 * _common(a, b) / (len(a) + len(b))
 
