@@ -13,10 +13,10 @@ is one of the ledger's is replaced.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,7 +65,10 @@ POLICIES = {
 CURRENT = "v3"
 
 
-def measure_text(text: str | None, upper=re.compile(r"[A-ZÀ-ÖØ-Þ]"), letter=re.compile(r"[^\W\d_]")) -> tuple[int, ...]:
+UPPER, LETTERS = regex.compile(r"[A-ZÀ-ÖØ-Þ]+"), regex.compile(r"\p{L}+")
+
+
+def measure_text(text: str | None) -> tuple[int, ...]:
     """The measurements of one whole text, in the order of MEASURES."""
     if not text:
         return (0,) * len(MEASURES)
@@ -95,8 +98,8 @@ def measure_text(text: str | None, upper=re.compile(r"[A-ZÀ-ÖØ-Þ]"), letter=
         repeated,
         covered,
         lines,
-        len(letter.findall(text)),
-        len(upper.findall(text)),
+        sum(map(len, LETTERS.findall(text))),
+        sum(map(len, UPPER.findall(text))),
         text.count("!"),
     )
 
