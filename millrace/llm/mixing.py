@@ -93,7 +93,9 @@ def apportion(parties: DataFrame, group: list[str], party: str, votes: str, seat
 
 
 def seeded(key: Column, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), key)
+    """60 bits of the md5 of seed and key, which any engine can make."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
 def mix(
@@ -145,3 +147,44 @@ def materialize(mixed: DataFrame, text: str = "text") -> DataFrame:
     begun = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, part.cast("int")), "")
     cut = F.when(F.col("_turn") <= whole, F.col(text)).otherwise(begun)
     return out.select(*(cut.alias(c) if c == text else F.col(c) for c in columns))
+
+
+# The same mix in SQL, by ranking every block's quotient.
+ORACLE = rf"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    ('0x' || substr(md5('{SEED}:' || doc_id::VARCHAR), 1, 15))::BIGINT AS h, ('0x' || substr(md5('{SEED + 1}:' || doc_id::VARCHAR), 1, 15))::BIGINT AS o FROM documents
+), k AS (
+  SELECT source, least({MOST_SHARDS}, ceil(count(*) / {SHARD_ROWS}.0))::BIGINT AS shards, sum(size)::BIGINT AS source_size FROM d GROUP BY source
+), r AS (
+  SELECT *, {list(WEIGHTS)}[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1]::DOUBLE AS w, ({MAX_REPEATS} * source_size)::DOUBLE AS cap FROM k
+), f AS (
+  SELECT *, row_number() OVER need AS place, sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER before, 0) AS rest, sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS open
+  FROM r WINDOW need AS (ORDER BY cap / w, source NULLS LAST), before AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), l AS (
+  SELECT arg_min(rest / open, place) FILTER (cap >= w * (rest / open)) AS level FROM f
+), t AS (
+  SELECT source, shards, source_size, least(cap, coalesce(w * level, cap)) AS target FROM f, l
+), all_seats AS (
+  SELECT round(sum(target) / {BLOCK})::BIGINT AS n FROM t
+), sq AS (
+  SELECT source, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, source NULLS LAST, k) AS place
+  FROM (SELECT source, target, unnest(generate_series(0, (source_size * {MAX_REPEATS} / {BLOCK})::BIGINT + 2)) AS k FROM t)
+), s AS (
+  SELECT t.source, t.source_size, t.target, least((SELECT count(*) FROM sq, all_seats WHERE sq.source IS NOT DISTINCT FROM t.source AND place <= n), ceil(source_size * {MAX_REPEATS} / {BLOCK}.0)::BIGINT) AS seats FROM t
+), h AS (
+  SELECT d.source, h % shards AS shard, sum(size)::BIGINT AS shard_size FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source GROUP BY ALL
+), hq AS (
+  SELECT source, shard, row_number() OVER (PARTITION BY source ORDER BY shard_size::DOUBLE / (2 * k + 1) DESC, shard, k) AS place
+  FROM (SELECT source, shard, shard_size, unnest(generate_series(0, (shard_size * {MAX_REPEATS} / {BLOCK})::BIGINT + 2)) AS k FROM h WHERE shard_size > 0)
+), hn AS (
+  SELECT hq.source, hq.shard, count(*) AS n FROM hq JOIN s ON hq.source IS NOT DISTINCT FROM s.source WHERE hq.place <= s.seats GROUP BY hq.source, hq.shard
+), q AS (
+  SELECT h.source, h.shard, h.shard_size, s.source_size, s.target, {BLOCK} * least(coalesce(hn.n, 0), ceil(h.shard_size * {MAX_REPEATS} / {BLOCK}.0)::BIGINT) AS words
+  FROM h JOIN s ON h.source IS NOT DISTINCT FROM s.source LEFT JOIN hn ON hn.source IS NOT DISTINCT FROM h.source AND hn.shard = h.shard
+), p AS (
+  SELECT d.doc_id, d.size, q.source_size, q.target, least({MAX_REPEATS}, words // nullif(shard_size, 0)) AS passes, words, shard_size, sum(size) OVER (PARTITION BY d.source, h % shards ORDER BY o, d.doc_id, size ROWS UNBOUNDED PRECEDING) - size AS begun
+  FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source JOIN q ON q.source IS NOT DISTINCT FROM d.source AND q.shard = h % k.shards
+)
+SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN passes * size + least(size, greatest(0, CASE WHEN passes < {MAX_REPEATS} THEN words - passes * shard_size ELSE 0 END - begun)) ELSE 0 END::BIGINT AS taken FROM p
+"""

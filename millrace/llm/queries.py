@@ -42,7 +42,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op10_source_mixing")
+@query("op10_source_mixing", mixing.ORACLE)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -88,7 +88,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.predict(docs.select("*", held_out.alias("held_out")), model).drop("text")
 
 
-@query("op5_near_dedup")
+@query("op5_near_dedup", near_dedup.ORACLE)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), words=2)
 
