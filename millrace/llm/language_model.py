@@ -6,12 +6,16 @@ Counting, and looking counts up, is then a matter of dictionaries, each of
 which names a word once a chunk rather than once an occurrence.
 
 The model predicts a word from the two before it: their vectors, each through
-its own matrix, add up to the vector that the next word's should be like. The
-``VOCABULARY`` most frequent words have vectors; all others share one, and one
-of them then has its part of the others' counts. Each chunk trains its own copy
-by noise-contrastive estimation over all its learnable texts; the copies'
-weighted mean is the model. Scores come from batched matrix products and are
-normalised over the vocabulary.
+its own matrix, add up to the vector that the next word's should be like. Every word
+seen ``LEAST`` times has vectors, so that the model grows with the words, and of
+a small corpus the ``VOCABULARY`` most frequent have them anyway; all others
+share one, and one of them then has its part of the others' counts. Words are
+ranked and lie in clusters of about the square root of their number; a word's
+probability is its cluster's times its own within the cluster, so that products
+stay of bounded width. In each of ``ROUNDS`` rounds each chunk trains its own
+copy, from the mean of the last round, by noise-contrastive estimation over all
+its learnable texts; a word's vectors are averaged over the copies that met it.
+Scores come from batched matrix products and are normalised over all words.
 
 Defined results: a null text counts as empty and is one end token; texts
 without a key are scored but not learnt from; repeated rows are texts of their
@@ -33,14 +37,23 @@ from pyspark.sql import functions as F
 
 from millrace.llm.text import FOLD_BYTES, stored
 
-#: Words with vectors, including the end of a text and the class of all others.
+#: Words that have vectors at least, as far as there are so many, including the end of a text and the class of all others.
 VOCABULARY, SIZE = 1024, 32
+#: Occurrences from which on any word has vectors: as many as the numbers of its two vectors.
+LEAST = 2 * SIZE
+#: Averaged rounds, each over all learnable texts.
+ROUNDS = 2
 OTHER, END = 0, 1
-NOISE, BATCH, RATE = 64, 2048, 0.06
+#: Noise clusters of a batch, and noise words of an event within its cluster.
+NOISE, WITHIN = 64, 4
+BATCH, RATE = 2048, 0.06
 #: An event seen more often is split, so that none outweighs a batch.
 HEAVY = 4
-#: Copies that are averaged in one task.
+#: Copies that are averaged in one task; for words' vectors, words of a slice and slices that are averaged in one task.
 FAN_IN = 8
+SLICE, SLICES = 1024, 64
+#: Tokens that are scored at a time.
+PIECE = 1 << 20
 
 ENCODED = "chunk string, doc_id bigint, learn boolean, n_words bigint, ids binary, word string, id int, n bigint"
 
@@ -76,99 +89,132 @@ def _encode(batches):
 
 
 class LogBilinear:
-    """The model's parameters: word vectors in and out, a matrix for each place of the context, and a bias for each word."""
+    """The model's parameters: word vectors in and out, biases, a matrix for each place of the context, and a vector and a bias for each cluster."""
 
     def __init__(self, unigram: np.ndarray, seed: int = 3):
         rng, k = np.random.default_rng(seed), len(unigram)
         small = lambda *shape: rng.normal(0, 0.05, shape).astype(np.float32)
+        self.width = math.ceil(math.sqrt(k))
+        self.below = np.concatenate(([0.0], np.cumsum(unigram)))
+        self.edges = np.minimum(np.arange(0, k + self.width, self.width), k)
+        self.shares = np.add.reduceat(unigram, self.edges[:-1])
+        self.inside = np.log(unigram / self.shares[np.arange(k) // self.width]).astype(np.float32)
         self.inward, self.outward = small(k, SIZE), small(k, SIZE)
+        self.bias = self.inside.copy()
         self.place = np.stack([np.eye(SIZE, dtype=np.float32), np.eye(SIZE, dtype=np.float32) * np.float32(0.5)]) + small(2, SIZE, SIZE)
-        self.bias = np.log(unigram).astype(np.float32)
-        self.noise = unigram
+        self.top, self.top_bias = small(len(self.shares), SIZE), np.log(self.shares).astype(np.float32)
 
     def parts(self) -> list[np.ndarray]:
-        return [self.inward, self.outward, self.place, self.bias]
+        """What is no word's own."""
+        return [self.place, self.top, self.top_bias]
 
     def packed(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.parts()])
 
-    def load(self, flat: np.ndarray) -> LogBilinear:
+    def load(self, flat: np.ndarray, words: np.ndarray) -> LogBilinear:
         at = 0
         for p in self.parts():
             p[...] = flat[at : at + p.size].reshape(p.shape)
             at += p.size
+        self.inward, self.outward, self.bias = words[:, :SIZE].copy(), words[:, SIZE:-1].copy(), words[:, -1].copy()
         return self
 
+    def words(self) -> np.ndarray:
+        return np.concatenate([self.inward, self.outward, self.bias[:, None]], 1)
+
     def predicted(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         return self.inward[first] @ self.place[0] + self.inward[second] @ self.place[1]
 
-    def train(self, first: np.ndarray, second: np.ndarray, word: np.ndarray, count: np.ndarray, seed: int = 1) -> None:
-        """One pass of noise-contrastive estimation over counted events, in a seeded order, with Adagrad steps that shrink to nothing."""
+    def train(self, first: np.ndarray, second: np.ndarray, word: np.ndarray, count: np.ndarray, seed: int = 1, begin: float = 0, end: float = 1) -> None:
+        """One pass of noise-contrastive estimation over counted events, in a seeded order, with Adagrad steps that shrink as the passes, of which this is the part from ``begin`` to ``end``, near their end."""
         rng = np.random.default_rng(seed)
         times = np.ceil(count / HEAVY).astype(np.int64)
-        order = rng.permutation(np.repeat(np.arange(len(word)), times))
+        order = rng.permutation(np.repeat(np.arange(len(word), dtype=np.int32), times))
         count = (count / times).astype(np.float32)
-        share = np.log(NOISE * self.noise).astype(np.float32)
-        past = [np.full_like(p, 1e-8) for p in self.parts()]
+        share = np.log(NOISE * self.shares).astype(np.float32)
+        inside = self.inside + np.float32(math.log(WITHIN))
+        past = [np.full_like(p, 1e-8) for p in (self.inward, self.outward, self.bias, *self.parts())]
         for begun in range(0, len(order), BATCH):
             rows = order[begun : begun + BATCH]
             a, b, w = first[rows], second[rows], word[rows]
+            g = w // self.width
             weight = count[rows] / count[rows].mean()
-            q, out = self.predicted(a, b), self.outward[w]
-            drawn = rng.choice(len(self.noise), NOISE, p=self.noise)
-            true = (1 - _sigmoid((q * out).sum(1) + self.bias[w] - share[w])) * weight
-            false = -_sigmoid(q @ self.outward[drawn].T + self.bias[drawn] - share[drawn]) * weight[:, None]
+            q, out, above = self.predicted(a, b), self.outward[w], self.top[g]
+            drawn = rng.choice(len(self.shares), NOISE, p=self.shares)
+            true = (1 - _sigmoid((q * above).sum(1) + self.top_bias[g] - share[g])) * weight
+            false = -_sigmoid(q @ self.top[drawn].T + self.top_bias[drawn] - share[drawn]) * weight[:, None]
+            low, high = self.edges[g], self.edges[g + 1]
+            point = self.below[low, None] + rng.random((len(rows), WITHIN)) * (self.below[high] - self.below[low])[:, None]
+            other = np.clip(np.searchsorted(self.below, point, "right") - 1, low[:, None], high[:, None] - 1)
+            others = self.outward[other]
+            right = (1 - _sigmoid((q * out).sum(1) + self.bias[w] - inside[w])) * weight
+            wrong = -_sigmoid((others @ q[:, :, None])[:, :, 0] + self.bias[other] - inside[other]) * weight[:, None]
             scale = np.float32(1 / len(rows))
-            to_q = (true[:, None] * out + false @ self.outward[drawn]) * scale
+            to_q = (true[:, None] * above + false @ self.top[drawn] + right[:, None] * out + (wrong[:, None] @ others)[:, 0]) * scale
             in_a, in_b = self.inward[a], self.inward[b]
-            grads = [
-                _scattered(np.concatenate([a, b]), np.concatenate([to_q @ self.place[0].T, to_q @ self.place[1].T]), self.inward.shape),
-                _scattered(np.concatenate([w, drawn]), np.concatenate([true[:, None] * q, false.T @ q]) * scale, self.outward.shape),
-                np.stack([in_a.T @ to_q, in_b.T @ to_q]),
-                (np.bincount(w, true, len(self.bias)) + np.bincount(drawn, false.sum(0), len(self.bias))).astype(np.float32) * scale,
+            met = np.concatenate([w, other.ravel()])
+            to_out = np.concatenate([right[:, None] * q, (wrong[:, :, None] * q[:, None]).reshape(-1, SIZE)]) * scale
+            to_bias = np.concatenate([right, wrong.ravel()])[:, None] * scale
+            at, sums = _scattered(met, np.concatenate([to_out, to_bias], 1))
+            clusters, cluster_sums = _scattered(np.concatenate([g, drawn]), np.concatenate([true[:, None] * q, false.T @ q]) * scale)
+            top = np.zeros_like(self.top)
+            top[clusters] = cluster_sums
+            steps = [
+                (self.inward, *_scattered(np.concatenate([a, b]), np.concatenate([to_q @ self.place[0].T, to_q @ self.place[1].T]))),
+                (self.outward, at, sums[:, :-1]),
+                (self.bias, at, sums[:, -1]),
+                (self.place, ..., np.stack([in_a.T @ to_q, in_b.T @ to_q])),
+                (self.top, ..., top),
+                (self.top_bias, ..., (np.bincount(g, true, len(self.top)) + np.bincount(drawn, false.sum(0), len(self.top))).astype(np.float32) * scale),
             ]
-            for p, g, h in zip(self.parts(), grads, past, strict=True):
-                h += g * g
-                p += np.float32(RATE * (1 - begun / len(order))) * g / np.sqrt(h)
+            rate = np.float32(RATE * (1 - begin - (end - begin) * begun / len(order)))
+            for (p, where, step), h in zip(steps, past, strict=True):
+                h[where] += step * step
+                p[where] += rate * step / np.sqrt(h[where])
 
     def log10(self, first: np.ndarray, second: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Normalised log10 probabilities; each distinct context meets the whole vocabulary once."""
+        """Normalised log10 probabilities: each distinct context meets all clusters, and each word all words of its cluster."""
         k = len(self.bias)
         context, where = np.unique(first.astype(np.int64) * k + second, return_inverse=True)
         out = np.empty(len(word))
         norm = np.empty(len(context), np.float32)
-        q = np.empty((len(context), SIZE), np.float32)
-        for at in range(0, len(context), 2048):
-            part = slice(at, at + 2048)
-            q[part] = self.predicted(context[part] // k, context[part] % k)
-            logits = q[part] @ self.outward.T + self.bias
-            top = logits.max(1)
-            norm[part] = top + np.log(np.exp(logits - top[:, None]).sum(1))
-        for at in range(0, len(word), 1 << 17):
-            part = slice(at, at + (1 << 17))
-            w, c = word[part], where[part]
-            out[part] = (np.einsum("ij,ij->i", q[c], self.outward[w]) + self.bias[w] - norm[c]) / math.log(10)
+        for at in range(0, len(context), BATCH):
+            part = slice(at, at + BATCH)
+            norm[part] = _log_sum(self.predicted(context[part] // k, context[part] % k) @ self.top.T + self.top_bias)
+        order = np.argsort(word // self.width, kind="stable")
+        ends = np.searchsorted(word[order] // self.width, np.arange(len(self.top) + 1))
+        for g in np.flatnonzero(np.diff(ends)):
+            low, high = self.edges[g], self.edges[g + 1]
+            for at in range(ends[g], ends[g + 1], BATCH):
+                rows = order[at : min(at + BATCH, ends[g + 1])]
+                q, w = self.predicted(first[rows], second[rows]), word[rows]
+                logits = q @ self.outward[low:high].T + self.bias[low:high]
+                own = logits[np.arange(len(rows)), w - low]
+                out[rows] = (own - _log_sum(logits) + q @ self.top[g] + self.top_bias[g] - norm[where[rows]]) / math.log(10)
         return out
 
 
+def _log_sum(logits: np.ndarray) -> np.ndarray:
+    top = logits.max(1)
+    return top + np.log(np.exp(logits - top[:, None]).sum(1))
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _scattered(rows: np.ndarray, values: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
-    """Sums of the values that go to each row."""
+def _scattered(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows, and the sums of the values that go to each."""
     order = np.argsort(rows, kind="stable")
     at, first = np.unique(rows[order], return_index=True)
-    out = np.zeros(shape, np.float32)
-    out[at] = np.add.reduceat(values[order], first)
-    return out
+    return at, np.add.reduceat(values[order], first)
 
 
 def _events(texts: list[np.ndarray], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For all tokens of some texts: the words two and one before, the word, and the place where each text's tokens begin."""
     sizes = np.array([len(t) + 1 for t in texts])
     begin = np.concatenate(([0], np.cumsum(sizes)))[:-1].astype(np.int64)
-    word = np.full(int(sizes.sum()), END, np.int32)  # events of three words below 1024 fit in 32 bits
+    word = np.full(int(sizes.sum()), END, np.int32)
     inside = np.ones(len(word), bool)
     inside[begin + sizes - 1] = False
     word[inside] = classes[np.concatenate(texts)] if len(classes) else 0
@@ -186,35 +232,116 @@ def _numbers(texts: pa.Table) -> list[np.ndarray]:
 def _by_number(words: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """The count and the class of each of a chunk's numbers."""
     at = words.column("id").to_numpy()
-    counts, classes = np.zeros(len(at), np.int64), np.zeros(len(at), np.int16)
+    counts, classes = np.zeros(len(at), np.int64), np.zeros(len(at), np.int32)
     counts[at], classes[at] = words.column("c").to_numpy(), words.column("class").to_numpy()
     return counts, classes
 
 
-def _trainer(shared):
-    """A row for each chunk: its copy of the model, and the counts and classes of its numbers, packed for scoring."""
+PREPARED = "chunk string, doc_id array<bigint>, learn array<boolean>, n_words array<bigint>, n_known array<bigint>, base array<double>, apart array<double>, ids binary"
+
+
+def _preparer(known: dict):
+    """A row for each chunk: its texts as numbers of the model's words, and what of the scores needs only counts."""
 
     def run(key, texts: pa.Table, words: pa.Table) -> pa.Table:
         counts, classes = _by_number(words)
-        learn = texts.column("learn").to_pylist()
-        able = sorted((t for t, yes in zip(_numbers(texts), learn, strict=True) if yes), key=lambda t: t.tobytes())
-        model, weight = LogBilinear(shared.value["unigram"]), 0.0
-        if able:
-            two, one, word, _ = _events(able, classes)
-            weight, k = float(len(word)), len(model.bias)
-            joined = (two * k + one) * k + word
-            del two, one, word, able
-            events, count = np.unique(joined, return_counts=True)
-            model.train(events // k // k, events // k % k, events % k, count.astype(np.float32))
-        packed = model.packed().astype(np.float64) * weight
-        return pa.table({
-            "chunk": texts.column("chunk")[:1], "weight": pa.array([weight]), "packed": pa.array([packed.tobytes()], pa.binary()),
-            "counts": pa.array([counts.tobytes()], pa.binary()), "classes": pa.array([classes.tobytes()], pa.binary()),
-        })
+        ids = _numbers(texts)
+        base = np.log10((counts + 1) / (known["tokens"] + known["distinct"] + 1))
+        apart = np.where(classes == OTHER, np.log10((counts + 1) / (known["other_tokens"] + known["other_distinct"] + 1)), 0.0)
+        base_end = math.log10((known["texts"] + 1) / (known["tokens"] + known["distinct"] + 1))
+        seen = (counts > 0).astype(np.int64)
+        sums = lambda v: [float(v[t].sum()) for t in ids]
+        flat = classes[np.concatenate(ids)] if len(classes) else np.empty(0, np.int32)
+        lists = {
+            "doc_id": texts.column("doc_id").to_pylist(), "learn": texts.column("learn").to_pylist(), "n_words": [len(t) for t in ids],
+            "n_known": [int(seen[t].sum()) + (known["texts"] > 0) for t in ids], "base": [b + base_end for b in sums(base)], "apart": sums(apart),
+        }
+        kinds = {"doc_id": pa.int64(), "learn": pa.bool_(), "n_words": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "apart": pa.float64()}
+        columns = {c: pa.array([v], pa.list_(kinds[c])) for c, v in lists.items()}
+        return pa.table({"chunk": texts.column("chunk")[:1], **columns, "ids": pa.array([flat.tobytes()], pa.binary())})
 
     return run
 
 
+def _texts(row: dict) -> list[np.ndarray]:
+    return np.split(np.frombuffer(row["ids"], np.int32), np.cumsum(row["n_words"])[:-1])
+
+
+def _rows(batches):
+    for batch in batches:
+        for n in range(batch.num_rows):
+            yield batch.slice(n, 1).to_pylist()[0]
+
+
+VECTORS = "chunk string, slice int, weight double, packed binary, ids binary, weights binary, moved binary"
+
+
+def _trainer(shared, n_round: int):
+    """For each chunk a row of what is no word's own (slice null), weighted, and rows with slices of how far the vectors of the words it met have moved."""
+
+    def run(batches):
+        known = shared.value
+        for row in _rows(batches):
+            able = [t for t, yes in zip(_texts(row), row["learn"], strict=True) if yes]
+            if not able:
+                continue
+            k = len(known["unigram"])
+            two, one, word, _ = _events(able, np.arange(k, dtype=np.int32))
+            weight = float(len(word))
+            met = np.bincount(word, minlength=k) + np.bincount(one, minlength=k) + np.bincount(two, minlength=k)
+            context, at = np.unique(two.astype(np.int64) * k + one, return_inverse=True)
+            events, count = np.unique(at * k + word, return_counts=True)
+            del two, one, at, able
+            context, word = context[events // k], (events % k).astype(np.int32)
+            del events
+            model = LogBilinear(known["unigram"]).load(known["weights"], known["words"])
+            model.train((context // k).astype(np.int32), (context % k).astype(np.int32), word, count.astype(np.float32), n_round + 1, n_round / ROUNDS, (n_round + 1) / ROUNDS)
+            rows = [(row["chunk"], None, weight, (model.packed().astype(np.float64) * weight).tobytes(), None, None, None)]
+            moved = (model.words() - known["words"]).astype(np.float16)
+            for low in range(0, k, SLICE):
+                ids = low + np.flatnonzero(met[low : low + SLICE])
+                if len(ids):
+                    rows.append((row["chunk"], low // SLICE, None, None, ids.astype(np.int32).tobytes(), met[ids].astype(np.float64).tobytes(), moved[ids].tobytes()))
+            for at in range(0, len(rows), 64):
+                columns = zip(*rows[at : at + 64], strict=True)
+                kinds = (pa.string(), pa.int32(), pa.float64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in VECTORS.split(", ")])
+
+    return run
+
+
+def _met(copies: pa.Table) -> pa.Table:
+    """A slice's words averaged over copies, each weighted by how often the copy met it."""
+    copies = copies.sort_by("chunk")
+    low = copies.column("slice")[0].as_py() * SLICE
+    total, weights = np.zeros((SLICE, 2 * SIZE + 1)), np.zeros(SLICE)
+    for i, w, m in zip(*(copies.column(c).to_pylist() for c in ("ids", "weights", "moved")), strict=True):
+        at, w = np.frombuffer(i, np.int32) - low, np.frombuffer(w, np.float64)
+        total[at] += w[:, None] * np.frombuffer(m, np.float16).reshape(len(at), -1)
+        weights[at] += w
+    at = np.flatnonzero(weights)
+    mean = (total[at] / weights[at, None]).astype(np.float16)
+    return pa.table({
+        "chunk": copies.column("chunk")[:1].cast(pa.string()), "slice": copies.column("slice")[:1].cast(pa.int32()),
+        "ids": pa.array([(at + low).astype(np.int32).tobytes()], pa.binary()), "weights": pa.array([weights[at].tobytes()], pa.binary()), "moved": pa.array([mean.tobytes()], pa.binary()),
+    })
+
+
+SLICED = "chunk string, slice int, ids binary, weights binary, moved binary"
+
+
+def moved(copies: DataFrame, words: np.ndarray, n_copies: int) -> np.ndarray:
+    """``words`` after the mean move of each over the copies that met it."""
+    copies = copies.where("slice IS NOT NULL").select(*[x.split()[0] for x in SLICED.split(", ")])
+    if n_copies > SLICES:
+        copies = copies.groupBy("slice", F.pmod(F.xxhash64("chunk"), F.lit(math.ceil(math.sqrt(n_copies)))).alias("g")).applyInArrow(_met, SLICED)
+    words = words.copy()
+    for r in copies.groupBy("slice").applyInArrow(_met, SLICED).select("ids", "moved").toLocalIterator():
+        at = np.frombuffer(r["ids"], np.int32)
+        words[at] += np.frombuffer(r["moved"], np.float16).reshape(len(at), -1)
+    return words
+
+
 def _summed(copies: pa.Table) -> pa.Table:
     copies = copies.sort_by([("weight", "ascending"), ("chunk", "ascending")])
     total = sum(np.frombuffer(p.as_py(), np.float64) for p in copies.column("packed"))
@@ -222,7 +349,6 @@ def _summed(copies: pa.Table) -> pa.Table:
 
 
 COPIES = "chunk string, weight double, packed binary"
-TRAINED = COPIES + ", counts binary, classes binary"
 
 
 def average(copies: DataFrame) -> np.ndarray | None:
@@ -241,23 +367,21 @@ SCORED = "doc_id bigint, learn boolean, n_tokens bigint, n_known bigint, base_sc
 
 
 def _scorer(shared):
-    def run(key, texts: pa.Table, trained: pa.Table) -> pa.Table:
-        known, ids = shared.value, _numbers(texts)
-        counts, classes = np.frombuffer(trained.column("counts")[0].as_py(), np.int64), np.frombuffer(trained.column("classes")[0].as_py(), np.int16)
-        n_all, n_words, ends = known["tokens"], known["distinct"], known["texts"]
-        base = np.log10((counts + 1) / (n_all + n_words + 1))
-        apart = np.where(classes == OTHER, np.log10((counts + 1) / (known["other_tokens"] + known["other_distinct"] + 1)), 0.0)
-        two, one, word, begin = _events(ids, classes)
-        likely = np.add.reduceat(LogBilinear(known["unigram"]).load(known["weights"]).log10(two, one, word), begin)
-        base_end = math.log10((ends + 1) / (n_all + n_words + 1))
-        sums = lambda v: np.array([v[t].sum() for t in ids], float)
-        seen = (counts > 0).astype(np.int64)
-        return pa.table({
-            "doc_id": texts.column("doc_id"), "learn": texts.column("learn"),
-            "n_tokens": pa.array([len(t) + 1 for t in ids], pa.int64()),
-            "n_known": pa.array([int(seen[t].sum()) + (ends > 0) for t in ids], pa.int64()),
-            "base_score": pa.array(sums(base) + base_end), "score": pa.array(likely + sums(apart)),
-        })
+    def run(batches):
+        known = shared.value
+        model = LogBilinear(known["unigram"]).load(known["weights"], known["words"])
+        classes = np.arange(len(known["unigram"]), dtype=np.int32)
+        for row in _rows(batches):
+            texts, likely = _texts(row), []
+            begin = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))[:-1] // PIECE
+            for piece in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(begin)) + 1):
+                two, one, word, at = _events([texts[n] for n in piece], classes)
+                likely.append(np.add.reduceat(model.log10(two, one, word), at))
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": pa.array(row["doc_id"], pa.int64()), "learn": pa.array(row["learn"], pa.bool_()),
+                "n_tokens": pa.array([n + 1 for n in row["n_words"]], pa.int64()), "n_known": pa.array(row["n_known"], pa.int64()),
+                "base_score": pa.array(row["base"], pa.float64()), "score": pa.array(np.concatenate(likely) + np.array(row["apart"])),
+            })
 
     return run
 
@@ -271,21 +395,25 @@ def score(df: DataFrame, learn: Column, key: str = "doc_id", text: str = "text")
     counted = stored(words.groupBy("word").agg(F.sum("n").alias("c")))
     ends = encoded.where("word IS NULL AND learn").count()
     total = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    top = counted.where("c > 0").orderBy(F.desc("c"), "word").limit(VOCABULARY - 2).collect()  # VOCABULARY bounds it
-    k = len(top) + 2
+    most = counted.where("c > 0").orderBy(F.desc("c"), "word").limit(VOCABULARY - 2)
+    top = most.unionAll(counted.where(F.col("c") >= LEAST)).distinct().orderBy(F.desc("c"), "word").collect()  # each was seen LEAST times, or is one of VOCABULARY
     mass = np.array([total[0] - sum(r["c"] for r in top) + 1, ends + 1, *(r["c"] for r in top)], float)
     facts = {
         "unigram": mass / mass.sum(), "tokens": total[0] + ends, "distinct": total[1] + (ends > 0), "texts": ends,
         "other_tokens": total[0] - sum(r["c"] for r in top), "other_distinct": total[1] - len(top),
     }
-    numbered = spark.createDataFrame([(r["word"], n + 2) for n, r in enumerate(top)], "w string, class int")
-    classed = counted.join(F.broadcast(numbered), counted.word == numbered.w, "left").select(F.col("word").alias("w"), "c", F.coalesce("class", F.lit(OTHER)).alias("class"))
+    numbered = spark.createDataFrame(pa.table({"w": pa.array([r["word"] for r in top], pa.string()), "class": pa.array(range(2, len(top) + 2), pa.int32())}))
+    classed = counted.join(numbered, counted.word == numbered.w, "left").select(F.col("word").alias("w"), "c", F.coalesce("class", F.lit(OTHER)).alias("class"))
     looked_up = stored(words.join(classed, words.word == classed.w).select("chunk", "id", "c", "class"))
     rows = encoded.where("word IS NULL").select("chunk", "doc_id", "learn", "ids")
-    assert k <= VOCABULARY
-    by_chunk = rows.groupBy("chunk")
-    trained = stored(by_chunk.cogroup(looked_up.groupBy("chunk")).applyInArrow(_trainer(spark.sparkContext.broadcast(facts)), TRAINED))
-    weights = average(trained.select("chunk", "weight", "packed"))
-    facts = facts | {"weights": weights if weights is not None else LogBilinear(facts["unigram"]).packed()}
-    scored = by_chunk.cogroup(trained.select("chunk", "counts", "classes").groupBy("chunk")).applyInArrow(_scorer(spark.sparkContext.broadcast(facts)), SCORED)
+    prepared = stored(rows.groupBy("chunk").cogroup(looked_up.groupBy("chunk")).applyInArrow(_preparer({n: v for n, v in facts.items() if n != "unigram"}), PREPARED))
+    model = LogBilinear(facts["unigram"])
+    shared = {"unigram": facts["unigram"], "weights": model.packed(), "words": model.words()}
+    for n_round in range(ROUNDS):
+        trained = stored(prepared.mapInArrow(_trainer(spark.sparkContext.broadcast(shared), n_round), VECTORS))
+        copies = trained.where("slice IS NULL").select("chunk", "weight", "packed")
+        if (weights := average(copies)) is None:
+            break
+        shared = shared | {"weights": weights, "words": moved(trained, shared["words"], copies.count())}
+    scored = prepared.mapInArrow(_scorer(spark.sparkContext.broadcast(shared)), SCORED)
     return scored.withColumn("train_tokens", F.lit(facts["tokens"]).cast("long"))

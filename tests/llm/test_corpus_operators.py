@@ -481,3 +481,14 @@ def test_corpus_query_equals_its_sql(spark, name):
 def test_native_operators_run_no_python(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def test_language_model_keeps_the_context_of_words_beyond_the_least_vocabulary(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "VOCABULARY", 8)
+    rng = np.random.default_rng(2)
+    rows = [(n, " ".join(f"a{i} b{i}" for i in rng.integers(0, 40, 40))) for n in range(2000)]
+    rows += [(5000 + i, f"a{i} b{i}") for i in range(40)] + [(6000 + i, f"a{i} b{(i + 7) % 40}") for i in range(40)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = language_model.score(texts, F.col("doc_id") < 5000)
+    mean = {r.kind: r.score for r in got.groupBy(F.floor(F.col("doc_id") / 1000).alias("kind")).agg(F.avg("score").alias("score")).collect()}
+    assert mean[5] > mean[6] + 0.2
