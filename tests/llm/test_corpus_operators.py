@@ -492,3 +492,20 @@ def test_language_model_keeps_the_context_of_words_beyond_the_least_vocabulary(s
     got = language_model.score(texts, F.col("doc_id") < 5000)
     mean = {r.kind: r.score for r in got.groupBy(F.floor(F.col("doc_id") / 1000).alias("kind")).agg(F.avg("score").alias("score")).collect()}
     assert mean[5] > mean[6] + 0.2
+
+
+@pytest.mark.parametrize("sign", [" at ", " AT ", " arroba ", " (at) ", " [AT] ", " (arroba) "])
+@pytest.mark.parametrize("dot", [".", " dot ", " DOT ", " punto "])
+def test_spelled_addresses_are_found_whatever_the_rest_of_the_text(sign, dot, detector=[]):
+    detector = detector or detector.append(pii.train()) or detector
+    address = f"jane.miller{sign}example{dot}com"
+    text = f"please mail {address} today"
+    want = [("email_text", 12, 12 + len(address))]
+    assert pii.more_spans(text, [], detector[0]) == want
+    assert pii.more_spans(text + ". Elsewhere, far from any address, a sentence ends in a dot and begins (at) noon", [], detector[0]) == want
+
+
+def test_a_place_is_no_spelled_address():
+    detector = pii.train()
+    for text in ("yesterday we met at noon.then he left", "people look at pictures dot by dot", "the band plays at home.nobody came"):
+        assert pii.more_spans(text, [], detector) == []
