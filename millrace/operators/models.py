@@ -37,7 +37,7 @@ def _clf(cls, **params):
 
 def _boosted(features: str, label: str) -> Estimator:
     """One against the rest, so that any number of classes will do."""
-    return C.OneVsRest(classifier=C.GBTClassifier(maxIter=20, stepSize=0.1, maxDepth=3, seed=SEED), featuresCol=features, labelCol=label)
+    return C.OneVsRest(classifier=C.GBTClassifier(maxIter=100, stepSize=0.1, maxDepth=3, seed=SEED), featuresCol=features, labelCol=label)
 
 
 REGISTRY = {

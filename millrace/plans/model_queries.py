@@ -31,7 +31,7 @@ def labelled(t):
 
 
 def evaluated(t, name: str):
-    out = models.out_of_fold(labelled(t), name, FEATURES, "y", "doc_id", 3)
+    out = models.out_of_fold(labelled(t), name, FEATURES, "y", "doc_id")
     return metrics.binary(out, "y", "prediction", 1.0)
 
 
@@ -62,7 +62,7 @@ def _(t):
 @query("stacking")
 def _(t):
     d = labelled(t)
-    model = models.stacked(d, ["logistic_regression", "decision_tree_classifier"], "logistic_regression", FEATURES, "y", "doc_id", 3)
+    model = models.stacked(d, ["logistic_regression", "decision_tree_classifier"], "logistic_regression", FEATURES, "y", "doc_id")
     weights = models.importance(model, ["logistic_regression", "decision_tree_classifier"])
     return t("region").sparkSession.createDataFrame(weights, "model string, weight double")
 
