@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.text import settled
+from millrace.llm.text import stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,10 +16,10 @@ def components(edges: DataFrame) -> DataFrame:
     logarithm of a path's length. No node's neighbours are gathered: they meet
     in a minimum that is combined before the shuffle.
     """
-    both = settled(edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct())
+    both = stored(edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct())
     labels = both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("component"))
     while True:
-        labels = settled(labels)
+        labels = stored(labels)
         near = both.join(labels, both.v == labels.node).groupBy(F.col("u").alias("at")).agg(F.min("component").alias("near"))
         lower = labels.join(near, labels.node == near.at).select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
         if lower.where("was <> component").isEmpty():

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.text import WORD, n_words, settled
+from millrace.llm.text import WORD, n_words, stored
 
 #: Words in a block.
 BLOCK = 16
@@ -111,7 +111,7 @@ def mix(
     sharded = counted.join(split, F.col(source).eqNullSafe(F.col("_split")))
     sized = sharded.select(*rest, "size", F.pmod(seeded(F.col(key), seed), F.col("_shards")).alias("_shard"))
     blocks = lambda words: F.ceil(words * repeats / block).cast("long")
-    shard = settled(sized.groupBy(F.col(source).alias("source"), "_shard").agg(F.sum("size").alias("_shard_size")))
+    shard = stored(sized.groupBy(F.col(source).alias("source"), "_shard").agg(F.sum("size").alias("_shard_size")))
     per_source = targets(shard.groupBy("source").agg(F.sum("_shard_size").alias("source_size")), weights, repeats)
     seats = (
         apportion(

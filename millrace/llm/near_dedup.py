@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.components import components
 from millrace.llm.shingles import BASE, Hasher, mixed, overlap
-from millrace.llm.text import settled, stored
+from millrace.llm.text import stored
 
 WORDS, THRESHOLD = 5, 0.8
 BUCKETS, MANTISSA = 256, 10
@@ -185,17 +185,17 @@ def _blocks(threshold: float):
 
 
 def classes(signed: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(set_key, component): the smallest document reachable from each class of equal sets. Settled."""
+    """(set_key, component): the smallest document reachable from each class of equal sets. Stored."""
     able = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
     # All documents of a class have the same signature, so any one's will do.
     reps = stored(able.groupBy("set_key").agg(F.min("doc_id").alias("rid"), F.any_value(F.struct("n_shingles", "registers", "bands")).alias("s")).select("set_key", "rid", "s.*"))
     member = reps.select("rid", F.explode("bands").alias("key"))
     seeded = F.struct(F.xxhash64("key", "rid").alias("h"), F.col("rid").alias("leader"))
-    buckets = settled(member.groupBy("key").agg(F.count("*").alias("n"), F.min(seeded)["leader"].alias("leader")).where("n > 1"))
-    shared = settled(member.join(buckets, "key").select("key", "rid", "leader").distinct())
+    buckets = stored(member.groupBy("key").agg(F.count("*").alias("n"), F.min(seeded)["leader"].alias("leader")).where("n > 1"))
+    shared = stored(member.join(buckets, "key").select("key", "rid", "leader").distinct())
     involved = shared.select("rid").distinct()
     hashed = F.arrow_udf(_hashes(k), "binary")
-    sets = settled(texts.join(involved, texts.doc_id == involved.rid).select("rid", hashed("text").alias("shingles")).groupBy("rid", "shingles").agg(F.lit(1).alias("_")).drop("_"))
+    sets = stored(texts.join(involved, texts.doc_id == involved.rid).select("rid", hashed("text").alias("shingles")).groupBy("rid", "shingles").agg(F.lit(1).alias("_")).drop("_"))
     regs = reps.select("rid", "n_shingles", "registers")
     side = lambda df, x: df.select(*(F.col(c).alias(f"{c}_{x}") for c in df.columns))
     pairs = shared.where("rid <> leader").select(F.col("rid").alias("u"), F.col("leader").alias("v")).distinct()
@@ -204,16 +204,16 @@ def classes(signed: DataFrame, texts: DataFrame, k: int, threshold: float) -> Da
     est = est.select("u", "v", _estimated()("registers_u", "registers_v", "n_shingles_u", "n_shingles_v").alias("est")).where(F.col("est") >= threshold - SLACK)
     best = F.slice(F.sort_array(F.collect_list(F.struct("est", "v")), False), 1, LEADERS)  # at most BANDS in the list
     chosen = est.groupBy("u").agg(best.alias("best")).select("u", F.explode("best").alias("b")).select("u", "b.v")
-    edges = settled(_check(chosen, sets, threshold))
+    edges = stored(_check(chosen, sets, threshold))
     several = able.groupBy("doc_id").agg(F.min("set_key").alias("a"), F.max("set_key").alias("b")).where("a <> b").select("doc_id")
     if not several.isEmpty():  # a document of several texts ties their classes
         tied = able.select("doc_id", "set_key").join(several, "doc_id").join(reps.select("set_key", "rid"), "set_key").select(F.col("doc_id").alias("u"), F.col("rid").alias("v"))
-        edges = settled(edges.unionAll(tied.where("u <> v").distinct()))
+        edges = stored(edges.unionAll(tied.where("u <> v").distinct()))
     labels = components(edges)
     more = _minorities(shared, labels, sets, threshold)
     if not more.isEmpty():
         labels = components(edges.unionAll(more))
-    return settled(reps.select("set_key", "rid").join(labels, F.col("rid") == labels.node, "left").select("set_key", F.coalesce("component", "rid").alias("component")))
+    return stored(reps.select("set_key", "rid").join(labels, F.col("rid") == labels.node, "left").select("set_key", F.coalesce("component", "rid").alias("component")))
 
 
 def _hashes(k: int):
@@ -233,10 +233,10 @@ def _check(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def _minorities(shared: DataFrame, labels: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Step 3: links across the components of a bucket. Settled."""
+    """Step 3: links across the components of a bucket. Stored."""
     placed = shared.join(labels, shared.rid == labels.node, "left").select("key", "rid", F.coalesce("component", "rid").alias("comp"))
     sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    mixed_ = settled(
+    mixed_ = stored(
         sizes.groupBy(F.col("key").alias("k"))
         .agg(F.sum("n").alias("total"), F.max(F.struct("n", "comp")).alias("main"), F.count("*").alias("comps"))
         .where("comps > 1")
@@ -252,7 +252,7 @@ def _minorities(shared: DataFrame, labels: DataFrame, sets: DataFrame, threshold
     carried = blocks.join(sets, "rid").select(F.xxhash64("block.key", "block.few", "block.many").alias("block"), "side", "rid", "comp", "shingles")
     parts = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = carried.repartition(parts, "block").sortWithinPartitions("block", "side", "rid")
-    return settled(dealt.mapInArrow(_blocks(threshold), "u bigint, v bigint").distinct())
+    return stored(dealt.mapInArrow(_blocks(threshold), "u bigint, v bigint").distinct())
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:

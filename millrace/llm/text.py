@@ -37,18 +37,41 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed and kept in the shared checkpoint folder, its lineage cut."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-"))
-    return df.checkpoint()
+def others(df: DataFrame, *replaced: str) -> list[str]:
+    """The names of ``df``'s columns but for the replaced ones, quoted for use in a select."""
+    gone = {c.lower() for c in replaced}
+    return [quoted(c) for c in df.columns if c.lower() not in gone]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: what spark.checkpoint.dir or the context names; of one's own only in a local session."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+        folder = tempfile.mkdtemp(prefix="millrace-")
+        context.setCheckpointDir(folder)
+    return folder
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as a Parquet table in the shared checkpoint folder and read again; smaller than ``settled`` for large tables."""
+    """``df`` written as a Parquet table in the shared folder and read again; its lineage is cut. ``drop`` deletes it."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-")
-    path = f"{folder.rstrip('/')}/millrace-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/millrace-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.millrace_folder = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes ``stored`` tables that nothing still to be computed reads."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.millrace_folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

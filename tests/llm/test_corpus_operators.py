@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import bpe, components, fingerprints, language, language_model, mixing, near_dedup, pii, quality_model, quality_rules, secrets, shingles
 from millrace.llm.queries import ORACLES, QUERIES
-from millrace.llm.text import fold_is
+from millrace.llm.text import FOLD_BYTES, fold_is
 
 SF = "/root/testdata/sf0.001"
 BPE_PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -240,24 +240,79 @@ def test_unigram_scores_brute_force(spark, documents):
 
 def test_log_bilinear_model_learns_and_is_normalised():
     rng = np.random.default_rng(0)
-    text = np.cumsum(rng.choice([1, 1, 1, 2], 60_000)) % 7 + 2  # each word nearly determines the next
-    classes = np.arange(9)
-    two, one, word, _ = language_model._events([text.astype(np.int32)], classes)
-    unigram = (np.bincount(word, minlength=9) + 1) / (len(word) + 9)
-    model = language_model.LogBilinear(unigram)
+    word = (np.cumsum(rng.choice([1, 1, 1, 2], 60_000)) % 7 + 2).astype(np.uint16)  # each word nearly determines the next
+    two, one = np.roll(word, 2), np.roll(word, 1)
+    mass = np.bincount(word, minlength=9) + 1.0
+    cluster = np.array([0, 0, 0, 1, 1, 1, 2, 2, 2])
+    model = language_model.LogBilinear(mass, cluster)
     for seed in range(10):
-        model.train(two, one, word, np.ones(len(word), np.float32), seed)
-    assert model.log10(two, one, word).mean() > np.log10(unigram[word]).mean() + 0.3
-    every = np.arange(9)
-    assert (10 ** model.log10(np.full(9, 3), np.full(9, 4), every)).sum() == pytest.approx(1, abs=1e-4)
+        model.train(two, one, word, seed)
+    model = language_model.LogBilinear(mass, cluster).load(model.rows()).ready()
+    assert model.log10(two, one, word).mean() > np.log10(mass / mass.sum())[word].mean() + 0.3
+    every = np.arange(9, dtype=np.uint16)
+    assert (10 ** model.log10(np.full(9, 3, np.uint16), np.full(9, 4, np.uint16), every)).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_scores_of_all_words_sum_to_one():
+    """Over words with vectors, rare words, an unknown word of each cluster and the end, after the same two words."""
+    import pyarrow as pa
+
+    frequent, rare = [(f"w{n}{e}", 50 + n) for n in range(20) for e in "abc"], [(f"r{n}{e}", n % 4) for n in range(30) for e in "abcd"]
+    vocabulary = language_model.Vocabulary(frequent, 7)
+    cluster = lambda w: vocabulary.rest[np.searchsorted(np.array(vocabulary.bounds, object), w.encode()[::-1], "right")]
+    rest = np.zeros(len(vocabulary.mass))
+    for c in vocabulary.rest:
+        held = [n for w, n in rare if cluster(w) == c]
+        rest[c], vocabulary.mass[c] = sum(held) + sum(n > 0 for n in held) + 1, sum(held) + 1
+    words = [*frequent, *((w, n) for w, n in rare if n)]
+    every = [(c, vocabulary.number.get(w, cluster(w)), w) for w, c in words] + [(0, c, "unknown") for c in vocabulary.rest]
+    table = pa.table({"id": pa.array(range(len(every)), pa.int32()), "c": pa.array([e[0] for e in every]), "class": pa.array([e[1] for e in every], pa.int32())})
+    texts = pa.table({"doc_id": pa.array(range(len(every))), "learn": pa.array([False] * len(every)), "n_words": pa.array([1] * len(every)), "ids": pa.array([np.int32(n).tobytes() for n in range(len(every))])})
+    known = {"tokens": 10**4, "distinct": 150, "texts": 7, "end": vocabulary.end, "rest": rest}
+    prepared = language_model._preparer(known)(None, texts, table)
+    member = np.array([np.frombuffer(x, np.uint16)[2] for x in prepared.column("ids").to_pylist()])
+    model = language_model.LogBilinear(vocabulary.mass, vocabulary.cluster)
+    model.top += np.random.default_rng(0).normal(0, 1, model.top.shape).astype(np.float32)
+    two, one = np.full(len(every) + 1, 3, np.uint16), np.full(len(every) + 1, 9, np.uint16)
+    log = model.ready().log10(two, one, np.append(member, vocabulary.end).astype(np.uint16))
+    assert (10 ** (log + np.append(prepared.column("apart").to_numpy(), 0))).sum() == pytest.approx(1, abs=1e-4)
+    assert len({*member}) > len(frequent)
+
+
+def test_model_does_not_depend_on_the_layout(spark):
+    rng = random.Random(4)
+    rows = [(n, " ".join(rng.choices(["red", "blue", "fish", "dog", "dish", "the", "a", f"r{n % 9}"], k=30))) for n in range(200)]
+    tables = [spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(rows[::-1], "doc_id long, text string").coalesce(1)]
+    one, two = ({r.doc_id: (r.base_score, r.score) for r in language_model.score(t, F.col("doc_id") % 5 > 0).collect()} for t in tables)
+    assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k], abs=1e-4) for k in one)
 
 
 def test_copies_average_in_groups(spark, monkeypatch):
-    monkeypatch.setattr(language_model, "FAN_IN", 3)
-    rows = [(f"c{n}", float(n), (np.array([1.0, n]) * n).tobytes()) for n in range(20)]
-    got = language_model.average(spark.createDataFrame(rows, language_model.COPIES))
-    weights = np.arange(20.0)
-    assert got == pytest.approx([1.0, (weights * weights).sum() / weights.sum()])
+    monkeypatch.setattr(language_model, "SLICES", 3)
+    monkeypatch.setattr(language_model, "SLICE", 2)
+    width = 2 * language_model.SIZE + 1
+    rng = np.random.default_rng(1)
+    moved, weights = rng.integers(-4, 4, (10, 4, width)).astype(np.float16), rng.integers(1, 5, (10, 4)).astype(np.float32)
+    rows = [(s, c, weights[c, 2 * s : 2 * s + 2].tobytes(), moved[c, 2 * s : 2 * s + 2].tobytes()) for c in range(10) for s in range(2)]
+    got = language_model.averaged(spark.createDataFrame(rows, language_model.COPIES), np.ones((4, width), np.float32), 10)
+    assert got == pytest.approx(1 + (weights[:, :, None] * moved.astype(float)).sum(0) / weights.sum(0)[:, None], abs=0.01)
+
+
+@pytest.mark.parametrize("sf,margin", [("sf0.01", 0.12), ("sf0.1", 0.3)])
+def test_held_out_scores_beat_the_unigram_base(spark, sf, margin):
+    got = QUERIES["op4_lm_scores"](spark, f"/root/testdata/{sf}").where("held_out")
+    r = got.agg((F.sum("score") / F.sum("n_tokens")).alias("model"), (F.sum("base_score") / F.sum("n_tokens")).alias("base")).first()
+    assert r.model > r.base + margin
+
+
+def test_words_are_split_as_defined():
+    import pyarrow as pa
+
+    texts = ["  a\tB\x0bc \r\n", "", " ", "x\x1cy z\u00a0w \u3000", "\u00c9 \x0c ok"]
+    many, words = language_model._words(pa.array(texts))
+    want = [t.encode().translate(FOLD_BYTES).split() for t in texts]
+    assert many.tolist() == [len(w) for w in want]
+    assert [w.encode() for w in words.to_pylist()] == [w for ws in want for w in ws]
 
 
 def shingle_set(text, k):
@@ -483,14 +538,17 @@ def test_native_operators_run_no_python(spark, name):
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
 
 
-def test_language_model_keeps_the_context_of_words_beyond_the_least_vocabulary(spark, monkeypatch):
-    monkeypatch.setattr(language_model, "VOCABULARY", 8)
+def test_language_model_keeps_the_context_of_rare_words(spark):
+    """Words without vectors of their own are told apart by their endings."""
     rng = np.random.default_rng(2)
-    rows = [(n, " ".join(f"a{i} b{i}" for i in rng.integers(0, 40, 40))) for n in range(2000)]
-    rows += [(5000 + i, f"a{i} b{i}") for i in range(40)] + [(6000 + i, f"a{i} b{(i + 7) % 40}") for i in range(40)]
+    word = lambda end: "".join(rng.choice(list("abcdefghij"), 6)) + end
+    common = [[w + end for w in ("jam", "fam", "kin", "bor", "sal", "tin", "por", "vic")] for end in ("ing", "ous")]
+    pair = lambda: f"{rng.choice(common[0])} {rng.choice(common[1])}" if rng.random() < 0.5 else f"{word('ing')} {word('ous')}"
+    rows = [(n, " ".join(pair() for _ in range(40))) for n in range(400)]
+    rows += [(5000 + i, f"{word('ing')} {word('ous')}") for i in range(40)] + [(6000 + i, f"{word('ing')} {word('ing')}") for i in range(40)]
     texts = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     got = language_model.score(texts, F.col("doc_id") < 5000)
-    mean = {r.kind: r.score for r in got.groupBy(F.floor(F.col("doc_id") / 1000).alias("kind")).agg(F.avg("score").alias("score")).collect()}
+    mean = {r.kind: r.score - r.base for r in got.groupBy(F.floor(F.col("doc_id") / 1000).alias("kind")).agg(F.avg("score").alias("score"), F.avg("base_score").alias("base")).collect()}
     assert mean[5] > mean[6] + 0.2
 
 
