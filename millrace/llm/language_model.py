@@ -46,9 +46,9 @@ from pyspark.sql import functions as F
 from millrace.llm.text import drop, stored
 
 #: Text of a chunk, in bytes.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 24 << 20
 #: Occurrences from which on a word has vectors (fewer are enough while no more than FEW words have any), and words that may have them.
-LEAST, FEW, MOST = 64, 4096, 65_000
+LEAST, FEW, MOST = 64, 4096, 50_000
 SIZE = 16
 #: Noise clusters of a batch, and noise words of an event within its cluster.
 NOISE, WITHIN = 32, 2
@@ -60,7 +60,7 @@ SEGMENT, PIECE = 1 << 20, 1 << 18
 #: Rows of a slice of the parameters, and slices that are averaged in one task.
 SLICE, SLICES = 1024, 64
 
-ENCODED = "chunk string, doc_id bigint, learn boolean, n_words bigint, ids binary, word string, id int, n bigint"
+ENCODED = "chunk bigint, doc_id bigint, learn boolean, n_words bigint, ids binary, word string, id int, n bigint"
 
 
 def _names(schema: str) -> list[str]:
@@ -93,7 +93,7 @@ def _encode(batches):
     for batch in batches:
         texts = batch.column("text").fill_null("")
         for part in _slices(pc.binary_length(texts).to_numpy(zero_copy_only=False), CHUNK_BYTES):
-            chunk, d = f"{task}-{chunks}", part.stop - part.start
+            chunk, d = task << 32 | chunks, part.stop - part.start
             chunks += 1
             many, words = _words(texts[part])
             learn = batch.column("learn")[part]
@@ -102,16 +102,16 @@ def _encode(batches):
             order = np.argsort(-every, kind="stable")  # small numbers for frequent words
             number = np.empty(v, np.int32)
             number[order] = np.arange(v, dtype=np.int32)
-            known = np.bincount(at, np.repeat(learn.to_numpy(zero_copy_only=False).astype(float), many), v).astype(np.int64)
+            known = np.bincount(at[np.repeat(learn.to_numpy(zero_copy_only=False), many)], minlength=v)
             ends = pa.array(np.concatenate(([0], np.cumsum(many * 4))).astype(np.int32)).buffers()[1]
             ids = pa.BinaryArray.from_buffers(pa.binary(), d, [None, ends, pa.py_buffer(number.take(at))])
             none = lambda kind, n: pa.nulls(n, kind)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([chunk] * d, pa.string()), batch.column("doc_id")[part], learn, pa.array(many, pa.int64()), ids,
+                [pa.array(np.full(d, chunk)), batch.column("doc_id")[part], learn, pa.array(many, pa.int64()), ids,
                  none(pa.string(), d), none(pa.int32(), d), none(pa.int64(), d)], names=_names(ENCODED),
             )
             yield pa.RecordBatch.from_arrays(
-                [pa.array([chunk] * v, pa.string()), none(pa.int64(), v), none(pa.bool_(), v), none(pa.int64(), v), none(pa.binary(), v),
+                [pa.array(np.full(v, chunk)), none(pa.int64(), v), none(pa.bool_(), v), none(pa.int64(), v), none(pa.binary(), v),
                  words.dictionary, pa.array(number), pa.array(known)], names=_names(ENCODED),
             )
 
@@ -243,7 +243,8 @@ class LogBilinear:
             for begun in range(ends[c], ends[c + 1], step):
                 rows = order[begun : min(begun + step, ends[c + 1])]
                 q = self.a.take(two.take(rows), 0) + self.b.take(one.take(rows), 0)
-                logits = q @ self.outward[low:high].T + self.bias[low:high]
+                logits = q @ self.outward[low:high].T
+                logits += self.bias[low:high]
                 own = logits[np.arange(len(rows)), word.take(rows).astype(np.int64) - low]
                 out[rows] += own - _log_sum(logits) + q @ self.top[c] + self.top_bias[c]
         return out / math.log(10)
@@ -254,8 +255,12 @@ def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _log_sum(logits: np.ndarray) -> np.ndarray:
+    """Logarithms of sums of exponentials, along the last axis of ``logits``, which it overwrites."""
+    if -60 < logits.min() and logits.max() < 60:  # exponentials keep within their range
+        return np.log(np.exp(logits, out=logits).sum(-1))
     top = logits.max(-1, keepdims=True)
-    return top[..., 0] + np.log(np.exp(logits - top).sum(-1))
+    logits -= top
+    return top[..., 0] + np.log(np.exp(logits, out=logits).sum(-1))
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -330,9 +335,9 @@ def _preparer(known: dict):
 
     def run(key, texts: pa.Table, words: pa.Table) -> pa.Table:
         texts, words = texts.combine_chunks(), words.combine_chunks()
-        at = words.column("id").to_numpy()
-        counts, classes = np.zeros(len(at), np.int64), np.zeros(len(at), np.uint16)
-        counts[at], classes[at] = words.column("c").to_numpy(), words.column("class").to_numpy()
+        place = words.column("place").to_numpy()
+        counts, classes = np.zeros(len(place), np.int64), np.zeros(len(place), np.uint16)
+        counts[place >> 16], classes[place >> 16] = words.column("c").to_numpy(), place & 0xFFFF
         below = known["rest"].take(classes)
         apart = np.where(below > 0, np.log10((counts + 1) / np.maximum(below, 1)), 0.0)
         base = np.log10((counts + 1) / (known["tokens"] + known["distinct"] + 1))
@@ -473,7 +478,7 @@ def score(df: DataFrame, learn: Column, key: str = "doc_id", text: str = "text")
         rest[r["class"]] = r["n"] + r["d"] + 1
     vocabulary.mass[vocabulary.rest] += 1
     known = {"tokens": total[0] + ends, "distinct": total[1] + (ends > 0), "texts": ends, "end": vocabulary.end, "rest": rest}
-    looked_up = words.join(classed.select("w", "c", "class"), words.word == F.col("w")).select(F.col("chunk").alias("of"), "id", "c", "class")
+    looked_up = words.join(classed.select("w", "c", "class"), words.word == F.col("w")).select(F.col("chunk").alias("of"), F.expr("shiftleft(cast(id AS bigint), 16) | class").alias("place"), "c")
     rows = encoded.where("word IS NULL").select("chunk", "doc_id", "learn", "n_words", "ids")
     prepared = stored(rows.groupBy("chunk").cogroup(looked_up.groupBy("of")).applyInArrow(_preparer(known), PREPARED))
     drop(encoded, counted)

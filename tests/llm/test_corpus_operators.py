@@ -266,7 +266,7 @@ def test_scores_of_all_words_sum_to_one():
         rest[c], vocabulary.mass[c] = sum(held) + sum(n > 0 for n in held) + 1, sum(held) + 1
     words = [*frequent, *((w, n) for w, n in rare if n)]
     every = [(c, vocabulary.number.get(w, cluster(w)), w) for w, c in words] + [(0, c, "unknown") for c in vocabulary.rest]
-    table = pa.table({"id": pa.array(range(len(every)), pa.int32()), "c": pa.array([e[0] for e in every]), "class": pa.array([e[1] for e in every], pa.int32())})
+    table = pa.table({"place": pa.array([n << 16 | e[1] for n, e in enumerate(every)]), "c": pa.array([e[0] for e in every])})
     texts = pa.table({"doc_id": pa.array(range(len(every))), "learn": pa.array([False] * len(every)), "n_words": pa.array([1] * len(every)), "ids": pa.array([np.int32(n).tobytes() for n in range(len(every))])})
     known = {"tokens": 10**4, "distinct": 150, "texts": 7, "end": vocabulary.end, "rest": rest}
     prepared = language_model._preparer(known)(None, texts, table)
