@@ -2,18 +2,23 @@
 
 Each rule is a regex. From its syntax a Boolean query over trigrams is derived
 (``trigram_query``): an OR of clauses, each an AND of trigrams that every match
-must hold. ``postings`` is the inverted index of the rules' trigrams as a table
-of (trigram, key); ``candidates`` intersects the postings of each clause by
-counting them for each document; only candidates are verified with the regex.
+must hold. ``posting_lists`` is the inverted index of the rules' trigrams: for
+each trigram the lists of texts that hold it, one list for each shard of texts,
+so that no list grows with the corpus. ``candidates`` intersects the lists of
+each clause, shard by shard; only candidates are verified with the regex.
 Rules without mandatory trigrams scan every text.
 
-The index is folded to lower case, so a case-sensitive rule gets a superset of
-its candidates and loses none.
+A text is named by the hash of its content, so keys don't matter, copies are
+listed once, and a clash of hashes gives a candidate more but loses none. The
+index is folded to lower case, so a case-sensitive rule gets a superset of its
+candidates. Candidates are broadcast up to ``BROADCAST`` of them, a few bytes
+each, so that texts stay where they are; more meet the texts in a join.
 
 Defined results: a null text counts as empty; rows that share a doc_id (or have
-none) share candidates, but each is verified on its own text; an empty table
-gives an empty result; other columns are carried along, and a column whose name
-is one of the result's is replaced.
+none) and repeated rows are each verified on their own text; texts of any
+length are scanned whole, in time that grows with their length and their hits;
+an empty table gives an empty result; other columns are carried along, and a
+column whose name is one of the result's is replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.text import fresh
+from millrace.llm.text import fresh, others, quoted, stored
 
 
 @dataclass(frozen=True)
@@ -62,6 +67,12 @@ MORE_RULES = (
 RULES = BASE_RULES + MORE_RULES
 #: More literal alternatives than this in one clause are given up: the trigrams around them remain.
 MAX_EXPANSION = 64
+#: Postings of a shard, about, and candidates that may be broadcast.
+SHARD, BROADCAST = 1 << 20, 1 << 20
+#: Items that are folded together; the folds of all blocks before it go to each block.
+BLOCK = 256
+#: Code points of a piece that a position is sought in.
+PIECE = 1024
 
 
 def _strings(nodes) -> list[str] | None:
@@ -106,30 +117,65 @@ def trigram_query(pattern: str) -> list[list[str]]:
     return sorted(sorted(c) for c in best if not any(d < c for d in best))
 
 
-def postings(df: DataFrame, grams: list[str], key: str, text: str) -> DataFrame:
-    """The inverted index of ``grams``: a row (gram, key) for each trigram of a text."""
-    folded = F.lower(F.col(text))
-    held = F.array_compact(F.array(*(F.when(F.contains(F.col("_folded"), F.lit(g)), F.lit(n)) for n, g in enumerate(grams))))
-    return df.select(F.col(key).alias("key"), folded.alias("_folded")).select("key", F.explode(held).alias("gram"))
+def postings(df: DataFrame, grams: list[str], text: str = "text") -> DataFrame:
+    """A row (gram, place) for each trigram that a text holds, by its number in ``grams``; ``place`` is the text's hash."""
+    held = F.array_compact(F.array(*(F.when(F.contains(F.col("folded"), F.lit(g)), F.lit(n)) for n, g in enumerate(grams))))
+    folded = df.select(F.xxhash64(quoted(text)).alias("place"), F.lower(quoted(text)).alias("folded"))
+    return folded.select("place", F.explode(held).alias("gram"))
 
 
-def candidates(df: DataFrame, rules=RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, bits): bit n says that the postings of rule n's query intersect in the document.
+def posting_lists(found: DataFrame, shards: int) -> DataFrame:
+    """The inverted index: (shard, gram, places), a list of texts for each trigram and shard."""
+    return found.groupBy(F.pmod("place", F.lit(shards)).alias("shard"), "gram").agg(F.collect_set("place").alias("places"))
 
-    A document's postings meet by its key, so common trigrams make no hot group.
-    """
+
+def candidates(df: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
+    """(place, bits): bit n says that the posting lists of rule n's query intersect in the text. Stored."""
     queries = [trigram_query(r.pattern) for r in rules]
     grams = sorted({g for q in queries for clause in q for g in clause})
-    seen = postings(df, grams, key, text).groupBy("key").agg(F.collect_set("gram").alias("grams"))
-    bits = F.lit(0)
+    if not grams:
+        return stored(df.select(F.lit(0).cast("long").alias("place"), F.lit(0).alias("bits")).limit(0))
+    found = stored(postings(df, grams, text))
+    lists = posting_lists(found, max(1, found.count() // SHARD))
+    shard = lists.groupBy("shard").agg(F.map_from_entries(F.collect_list(F.struct("gram", "places"))).alias("lists"))
+    none = F.array().cast("array<bigint>")
+    of = lambda g: F.coalesce(F.element_at("lists", F.lit(grams.index(g))), none)
+    met = []
     for n, query in enumerate(queries):
-        clauses = [F.size(F.array_intersect("grams", F.array(*(F.lit(grams.index(g)) for g in c)))) == len(c) for c in query]
-        if clauses:
-            met = clauses[0]
-            for c in clauses[1:]:
-                met = met | c
-            bits = bits.bitwiseOR(F.when(met, F.lit(1 << n)).otherwise(F.lit(0)))
-    return seen.select("key", bits.alias("bits")).where("bits <> 0")
+        for clause in query:
+            both = of(clause[0])
+            for g in clause[1:]:
+                both = F.array_intersect(both, of(g))
+            met.append(F.struct(F.lit(1 << n).alias("bit"), both.alias("places")))
+    hits = shard.select(F.explode(F.array(*met)).alias("m")).select("m.bit", F.explode("m.places").alias("place"))
+    return stored(hits.groupBy("place").agg(F.bit_or("bit").alias("bits")))
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)``, with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _befores(items: Column, value, merge) -> Column:
+    """For each item of an array, the fold by ``merge`` (from 0) of the values of all items before it.
+
+    Items are folded in blocks, so that no array grows item by item.
+    """
+    zero, none = F.lit(0), F.array().cast("array<int>")
+
+    def along(part: Column, start: Column, of) -> Column:
+        begun = F.struct(start.alias("at"), none.alias("out"))
+        return F.aggregate(part, begun, lambda acc, x: F.struct(merge(acc["at"], of(x)).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
+
+    def by_blocks(blocks: Column) -> Column:
+        whole = F.transform(blocks, lambda b: F.aggregate(b, zero, lambda acc, x: merge(acc, value(x))))
+        return F.flatten(F.zip_with(blocks, along(whole, zero, lambda x: x), lambda b, start: along(b, start, value)))
+
+    cut = F.transform(F.sequence(zero, F.greatest(zero, F.floor((F.size(items) - 1) / BLOCK).cast("int"))), lambda n: F.slice(items, n * BLOCK + 1, BLOCK))
+    return _let(cut, by_blocks)
+
+
+SPANS = "array<struct<start:int,end:int>>"
 
 
 def rule_spans(text: Column, rule: SecretRule) -> Column:
@@ -140,40 +186,35 @@ def rule_spans(text: Column, rule: SecretRule) -> Column:
     """
     hits = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     judged = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else hits
-    parts = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), hits.alias("hit"), judged.alias("judged"))
-    none = F.array().cast("array<struct<start:int,end:int>>")
-
-    def step(acc: Column, part: Column) -> Column:
-        start = acc["at"] + F.length(part["gap"])
-        end = start + F.length(part["hit"])
-        ok = F.length(part["judged"]) >= rule.least
-        return F.struct(
-            F.coalesce(end, start).alias("at"),
-            F.when(ok, F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end"))))).otherwise(acc["spans"]).alias("spans"),
-        )
+    zipped = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), hits.alias("hit"), judged.alias("judged"))
+    size = lambda x: F.coalesce(F.length(x), F.lit(0))
+    parts = F.transform(zipped, lambda p: F.struct(size(p["gap"]).alias("gap"), size(p["hit"]).alias("hit"), (size(p["judged"]) >= rule.least).alias("ok")))
 
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
-    return F.when(F.rlike(text, F.lit(rule.pattern)), found).otherwise(none)
+    def placed(parts: Column) -> Column:
+        befores = _befores(parts, lambda p: p["gap"] + p["hit"], lambda a, b: a + b)
+        each = F.zip_with(parts, befores, lambda p, b: F.struct((b + p["gap"]).alias("start"), (b + p["gap"] + p["hit"]).alias("end"), p["ok"].alias("ok")))
+        return F.transform(F.filter(each, lambda s: s["ok"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+
+    return F.when(F.rlike(text, F.lit(rule.pattern)), _let(parts, placed)).otherwise(F.array().cast(SPANS))
 
 
 def _tagged(rank: int, kind: str):
     return lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"))
 
 
-def scan(df: DataFrame, rules=RULES, key: str = "doc_id", text: str = "text", out: str = "secret_spans") -> DataFrame:
+def scan(df: DataFrame, rules=RULES, text: str = "text", out: str = "secret_spans") -> DataFrame:
     """``df`` with ``out``: array<struct<start,rank,end,kind>> of all rules' spans, by start, then rule."""
-    keep = [c for c in df.columns if c.lower() != out.lower()]
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    indexed = [bool(trigram_query(r.pattern)) for r in rules]
-    bits, at = fresh(df, "_bits"), fresh(df, "_key")
-    found = candidates(df, rules, key, text).select(F.col("key").alias(at), F.col("bits").alias(bits))
-    joined = df.join(found, F.col(key).eqNullSafe(F.col(at)), "left")
-    whole = F.coalesce(F.col(text), F.lit(""))
+    keep = others(df, out)
+    bits, at = fresh(df, "_bits"), fresh(df, "_place")
+    found = candidates(df, rules, text).select(F.col("place").alias(at), F.col("bits").alias(bits))
+    found = F.broadcast(found) if found.count() <= BROADCAST else found
+    joined = df.join(found, F.xxhash64(quoted(text)) == F.col(at), "left")
+    whole = F.coalesce(F.col(quoted(text)), F.lit(""))
     spans = []
-    for n, (rule, has_index) in enumerate(zip(rules, indexed, strict=True)):
+    for n, rule in enumerate(rules):
         each = rule_spans(whole, rule)
-        if has_index:
-            each = F.when(F.col(bits).bitwiseAND(F.lit(1 << n)) != 0, each).otherwise(none)
+        if trigram_query(rule.pattern):
+            each = F.when(F.col(bits).bitwiseAND(F.lit(1 << n)) != 0, each).otherwise(F.array().cast(SPANS))
         spans.append(F.transform(each, _tagged(n, rule.kind)))
     return joined.select(*keep, F.array_sort(F.concat(*spans)).alias(out))
 
@@ -184,19 +225,30 @@ def spans_text(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each stretch of overlapping spans replaced by ``mark``; null stays null."""
-    done = F.aggregate(
-        spans,
-        F.struct(F.lit("").alias("text"), F.lit(0).alias("at")),
-        lambda acc, s: F.struct(
-            F.when(s["start"] < acc["at"], acc["text"])
-            .otherwise(F.concat(acc["text"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)))
-            .alias("text"),
-            F.greatest(acc["at"], s["end"]).alias("at"),
-        ),
-        lambda acc: F.concat(acc["text"], F.substring(text, acc["at"] + 1, F.length(text))),
-    )
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    """The text with each stretch of overlapping spans replaced by ``mark``; null stays null.
+
+    The text is cut in pieces of PIECE code points, so that a place is found
+    without a walk from the text's beginning.
+    """
+
+    def between(pieces: Column, start: Column, end: Column) -> Column:
+        first, last = F.floor(start / PIECE).cast("int"), F.floor(end / PIECE).cast("int")
+        piece = lambda n: F.coalesce(F.get(pieces, n), F.lit(""))
+        one = F.substring(piece(first), start % PIECE + 1, end - start)
+        more = F.concat(
+            F.substring(piece(first), start % PIECE + 1, F.lit(PIECE)), F.array_join(F.slice(pieces, first + 2, F.greatest(F.lit(0), last - first - 1)), ""), F.substring(piece(last), F.lit(1), end % PIECE)
+        )
+        return F.when(first == last, one).otherwise(more)
+
+    def masked(x: Column) -> Column:
+        ends = _befores(x["spans"], lambda s: s["end"], F.greatest)
+        gaps = F.filter(F.zip_with(x["spans"], ends, lambda s, b: F.struct(b.alias("start"), s["start"].alias("end"))), lambda g: g["start"] <= g["end"])
+        kept = F.transform(gaps, lambda g: between(x["pieces"], g["start"], g["end"]))
+        return F.concat(F.array_join(kept, mark), F.lit(mark), between(x["pieces"], F.array_max(F.transform(x["spans"], lambda s: s["end"])), x["size"]))
+
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))
+    whole = F.struct(pieces.alias("pieces"), spans.alias("spans"), F.length(text).alias("size"))
+    return F.when(F.size(spans) > 0, _let(whole, masked)).otherwise(text)
 
 
 def _oracle() -> str:
