@@ -14,17 +14,19 @@ Links are never spread out as all pairs of a group:
 2. In each band bucket every class meets one seeded leader; a class verifies
    its most promising leaders. Components follow.
 3. A bucket that still holds several components has its minorities compared
-   with all its members on full sets, in blocks of bounded size, and only links
-   leave a block. So any two classes that share a band are either connected
-   already or compared.
+   with all its members in blocks of bounded size: first on registers, and only
+   classes that have a promising partner of another component then on full
+   sets. Only links leave a block. So any two classes that share a band are
+   either connected already or compared.
 
 Two sets of similarity 0.8 share no band with a chance of about 3 in a million.
 
 Defined results: texts without words, or null, have no shingles and stand
-alone; rows that share a key are one document of all their texts; rows without a key stand alone,
-with a null component, and are kept; an empty table gives an empty result;
-other columns are carried along, and a column whose name is one of the result's
-is replaced.
+alone; rows that share a key are one document of all their texts; rows without
+a key stand alone, with a null component, and are kept; texts of any length are
+signed whole; of equally promising leaders the one with the larger key is
+verified first; an empty table gives an empty result; other columns are carried
+along, and a column whose name is one of the result's is replaced.
 """
 
 from __future__ import annotations
@@ -38,13 +40,13 @@ from pyspark.sql import functions as F
 
 from millrace.llm.components import components
 from millrace.llm.shingles import BASE, Hasher, mixed, overlap
-from millrace.llm.text import stored
+from millrace.llm.text import drop, fresh, others, quoted, stored
 
 WORDS, THRESHOLD = 5, 0.8
 BUCKETS, MANTISSA = 256, 10
 ROWS, BANDS = 6, 42
 EMPTY = 0xFFFF
-#: Candidates whose estimate is lower by more than this (over five standard deviations) aren't verified in step 2.
+#: Candidates whose estimate is lower by more than this (over five standard deviations) aren't verified.
 SLACK = 0.15
 #: Leaders that a class verifies in step 2.
 LEADERS = 3
@@ -154,7 +156,24 @@ def _verified(threshold: float):
     return F.arrow_udf(run, "boolean")
 
 
-def _blocks(threshold: float):
+def _promising(threshold: float):
+    """The classes of a block whose registers estimate a likeness near ``threshold`` to a class of another component."""
+
+    def found(few: list, many: list):
+        if few and many:
+            there, size = np.stack([m[2] for m in many]), np.array([m[3] for m in many])
+            comp = np.array([m[1] for m in many])
+            for u, c, regs, n in few:
+                equal = (there == regs).mean(1)
+                # Registers of unlike sets agree by chance too, so an estimate is never above the share that is equal.
+                for v in np.flatnonzero((equal >= threshold - SLACK) & (comp != c)):
+                    if estimate(regs, there[v], n, int(size[v])) >= threshold - SLACK:
+                        yield u, many[v][0]
+
+    return _over_blocks(found, lambda p: (np.frombuffer(p["registers"], np.uint16), p["n_shingles"]))
+
+
+def _linking(threshold: float):
     """Links between the minority classes (side 0) and all classes (side 1) of each block, at most one a class and component."""
 
     def links(few: list, many: list):
@@ -165,20 +184,26 @@ def _blocks(threshold: float):
                     met.add(other)
                     yield u, v
 
+    return _over_blocks(links, lambda p: (np.frombuffer(p["shingles"], np.uint64),))
+
+
+def _over_blocks(pairs, opened):
+    """Rows come block by block, side 0 first; ``pairs`` of both sides' (class, component, *opened payload) leave it."""
+
     def run(batches):
-        at, few, many = None, [], []
+        at, sides = None, ([], [])
         for batch in batches:
             out = []
-            for group, side, rid, comp, raw in zip(*(batch.column(c).to_pylist() for c in ("block", "side", "rid", "comp", "shingles")), strict=True):
-                if group != at:
-                    out += links(few, many)
-                    at, few, many = group, [], []
-                (many if side else few).append((rid, comp, np.frombuffer(raw, np.uint64)))
+            for block, side, rid, comp, payload in zip(*(batch.column(c).to_pylist() for c in ("block", "side", "rid", "comp", "payload")), strict=True):
+                if block != at:
+                    out += pairs(*sides)
+                    at, sides = block, ([], [])
+                sides[side].append((rid, comp, *opened(payload)))
             yield _pairs(out)
-        yield _pairs(list(links(few, many)))
+        yield _pairs(list(pairs(*sides)))
 
     def _pairs(rows: list) -> pa.RecordBatch:
-        u, v = zip(*rows) if rows else ((), ())
+        u, v = zip(*dict.fromkeys(rows)) if rows else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return run
@@ -193,9 +218,6 @@ def classes(signed: DataFrame, texts: DataFrame, k: int, threshold: float) -> Da
     seeded = F.struct(F.xxhash64("key", "rid").alias("h"), F.col("rid").alias("leader"))
     buckets = stored(member.groupBy("key").agg(F.count("*").alias("n"), F.min(seeded)["leader"].alias("leader")).where("n > 1"))
     shared = stored(member.join(buckets, "key").select("key", "rid", "leader").distinct())
-    involved = shared.select("rid").distinct()
-    hashed = F.arrow_udf(_hashes(k), "binary")
-    sets = stored(texts.join(involved, texts.doc_id == involved.rid).select("rid", hashed("text").alias("shingles")).groupBy("rid", "shingles").agg(F.lit(1).alias("_")).drop("_"))
     regs = reps.select("rid", "n_shingles", "registers")
     side = lambda df, x: df.select(*(F.col(c).alias(f"{c}_{x}") for c in df.columns))
     pairs = shared.where("rid <> leader").select(F.col("rid").alias("u"), F.col("leader").alias("v")).distinct()
@@ -203,17 +225,29 @@ def classes(signed: DataFrame, texts: DataFrame, k: int, threshold: float) -> Da
     est = pairs.join(ru, pairs.u == ru.rid_u).join(rv, F.col("v") == rv.rid_v)
     est = est.select("u", "v", _estimated()("registers_u", "registers_v", "n_shingles_u", "n_shingles_v").alias("est")).where(F.col("est") >= threshold - SLACK)
     best = F.slice(F.sort_array(F.collect_list(F.struct("est", "v")), False), 1, LEADERS)  # at most BANDS in the list
-    chosen = est.groupBy("u").agg(best.alias("best")).select("u", F.explode("best").alias("b")).select("u", "b.v")
+    chosen = stored(est.groupBy("u").agg(best.alias("best")).select("u", F.explode("best").alias("b")).select("u", "b.v"))
+    sets = _sets(texts, chosen, k)
     edges = stored(_check(chosen, sets, threshold))
+    drop(sets, chosen, buckets)
     several = able.groupBy("doc_id").agg(F.min("set_key").alias("a"), F.max("set_key").alias("b")).where("a <> b").select("doc_id")
     if not several.isEmpty():  # a document of several texts ties their classes
         tied = able.select("doc_id", "set_key").join(several, "doc_id").join(reps.select("set_key", "rid"), "set_key").select(F.col("doc_id").alias("u"), F.col("rid").alias("v"))
         edges = stored(edges.unionAll(tied.where("u <> v").distinct()))
     labels = components(edges)
-    more = _minorities(shared, labels, sets, threshold)
-    if not more.isEmpty():
+    more = _minorities(shared, labels, regs, texts, k, threshold)
+    if more is not None:
         labels = components(edges.unionAll(more))
-    return stored(reps.select("set_key", "rid").join(labels, F.col("rid") == labels.node, "left").select("set_key", F.coalesce("component", "rid").alias("component")))
+    found = stored(reps.select("set_key", "rid").join(labels, F.col("rid") == labels.node, "left").select("set_key", F.coalesce("component", "rid").alias("component")))
+    drop(reps, shared, edges, labels)
+    return found
+
+
+def _sets(texts: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """(rid, shingles): the full sets of the classes in some pairs (u, v). Stored."""
+    needed = pairs.select(F.col("u").alias("rid")).unionAll(pairs.select(F.col("v").alias("rid"))).distinct()
+    hashed = F.arrow_udf(_hashes(k), "binary")
+    found = texts.join(needed, texts.doc_id == needed.rid).select("rid", hashed("text").alias("shingles"))
+    return stored(found.groupBy("rid", F.xxhash64("shingles").alias("h")).agg(F.any_value("shingles").alias("shingles")).select("rid", "shingles"))
 
 
 def _hashes(k: int):
@@ -232,9 +266,22 @@ def _check(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.where(_verified(threshold)("su", "sv")).select("u", "v").distinct()
 
 
-def _minorities(shared: DataFrame, labels: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Step 3: links across the components of a bucket. Stored."""
-    placed = shared.join(labels, shared.rid == labels.node, "left").select("key", "rid", F.coalesce("component", "rid").alias("comp"))
+def _minorities(shared: DataFrame, labels: DataFrame, regs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame | None:
+    """Step 3: links across the components of a bucket, stored; None without any."""
+    placed = stored(shared.join(labels, shared.rid == labels.node, "left").select("key", "rid", F.coalesce("component", "rid").alias("comp")))
+    near = stored(_in_blocks(placed, regs.select("rid", F.struct("n_shingles", "registers").alias("payload")), _promising(threshold)))
+    if near.isEmpty():
+        drop(placed, near)
+        return None
+    sets = _sets(texts, near, k)
+    able = sets.select("rid").distinct()
+    links = stored(_in_blocks(placed.join(able, "rid").select("key", "rid", "comp"), sets.select("rid", F.struct("shingles").alias("payload")), _linking(threshold)))
+    drop(placed, near, sets)
+    return links
+
+
+def _in_blocks(placed: DataFrame, payload: DataFrame, compared) -> DataFrame:
+    """The distinct pairs (u, v) that ``compared`` finds in the blocks of buckets with several components; ``payload`` has a row or more for each class."""
     sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
     mixed_ = stored(
         sizes.groupBy(F.col("key").alias("k"))
@@ -249,10 +296,10 @@ def _minorities(shared: DataFrame, labels: DataFrame, sets: DataFrame, threshold
     few = rows.where("comp <> main").select("key", "rid", "comp", mine(F.col("fews"), 1).alias("few"), every(F.col("manys")).alias("many"))
     many = rows.select("key", "rid", "comp", every(F.col("fews")).alias("few"), mine(F.col("manys"), 2).alias("many"))
     blocks = few.select(block, F.lit(0).alias("side"), "rid", "comp").unionAll(many.select(block, F.lit(1).alias("side"), "rid", "comp"))
-    carried = blocks.join(sets, "rid").select(F.xxhash64("block.key", "block.few", "block.many").alias("block"), "side", "rid", "comp", "shingles")
-    parts = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    carried = blocks.join(payload, "rid").select(F.xxhash64("block.key", "block.few", "block.many").alias("block"), "side", "rid", "comp", "payload")
+    parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = carried.repartition(parts, "block").sortWithinPartitions("block", "side", "rid")
-    return stored(dealt.mapInArrow(_blocks(threshold), "u bigint, v bigint").distinct())
+    return dealt.mapInArrow(compared, "u bigint, v bigint").distinct()
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
@@ -260,7 +307,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     texts = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = stored(texts.select("doc_id", _signed(words)("text").alias("s")).select("doc_id", "s.*"))
     found = classes(signed, texts, words, threshold)
-    of = signed.select("doc_id", "n_shingles", "set_key").join(found.withColumnRenamed("set_key", "_set"), F.col("set_key") == F.col("_set"), "left")
+    of = signed.select("doc_id", "n_shingles", "set_key").join(found.withColumnRenamed("set_key", "of_set"), F.col("set_key") == F.col("of_set"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     result = of.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"))
     if {c.lower() for c in df.columns} <= {key.lower(), text.lower()}:
@@ -269,16 +316,28 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
 
 
 def _attached(df: DataFrame, result: DataFrame, key: str) -> DataFrame:
-    rest = [c for c in df.columns if c.lower() not in ("n_shingles", "component_id", "kept")]
-    each = result.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.min("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
-    out = df.select(*rest).join(each, F.col(key).cast("long") == F.col("_id"), "left")
-    return out.select(*rest, "n_shingles", "component_id", (F.col(key).isNull() | (F.col("component_id") == F.col(key))).alias("kept"))
+    rest, of = others(df, "n_shingles", "component_id", "kept"), fresh(df, "_of")
+    each = result.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(of)).agg(F.min("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
+    out = df.select(*rest).join(each, F.col(quoted(key)).cast("long") == F.col(of), "left")
+    return out.select(*rest, "n_shingles", "component_id", (F.col(quoted(key)).isNull() | (F.col("component_id") == F.col(quoted(key)))).alias("kept"))
 
 
 def representatives(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` that near-deduplication keeps, unchanged."""
-    found = near_duplicates(df, key, text).where("kept")
-    return found.select(*df.columns)
+    """The rows of ``df`` that near-deduplication keeps, unchanged, one row a document.
+
+    Of rows that share a key the one with the least text stays; of rows without
+    a key and of one text, one stays.
+    """
+    found, at = near_duplicates(df, key, text), F.col(quoted(key))
+    columns = [quoted(c) for c in df.columns]
+    kept = found.where("kept").select(*columns)
+    again = stored(df.groupBy(at.alias("again")).agg(F.count("*").alias("n")).where("n > 1").select("again"))
+    if again.isEmpty():
+        return kept
+    same = at.eqNullSafe(F.col("again"))
+    row = F.struct(*columns)
+    once = kept.join(again, same, "left_semi").groupBy(at, F.when(at.isNull(), F.col(quoted(text)))).agg(F.min_by(row, F.coalesce(F.col(quoted(text)), F.lit(""))).alias("row"))
+    return kept.join(again, same, "left_anti").unionAll(once.select("row.*"))
 
 
 # The classes of two-word shingle sets in SQL, by counting the shingles that any two texts share.
