@@ -11,9 +11,11 @@ computed, and only the at most two a party that the last seats hang on are
 ranked (``apportion``).
 
 Defined results: a null text has size 0 and takes 0; a null source is a source
-of its own, after all others; repeated rows are documents of their own; an
-empty table gives an empty result; other columns are carried along, and a
-column whose name is one of the result's is replaced.
+of its own, after all others; repeated rows are documents of their own, and
+which of them is taken first doesn't show; texts of any length are counted whole
+and may be cut after any word; an empty table gives an empty result; other
+columns are carried along, and a column whose name is one of the result's is
+replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.text import WORD, n_words, stored
+from millrace.llm.text import WORD, n_words, others, prefix, quoted, stored
 
 #: Words in a block.
 BLOCK = 16
@@ -102,16 +104,16 @@ def mix(
     df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
     block: int = BLOCK, shard_rows: int = SHARD_ROWS, seed: int = SEED, weights=WEIGHTS, repeats: int = MAX_REPEATS,
 ) -> DataFrame:
-    """``df`` with size, source_size, target and taken."""
-    new = ("size", "source_size", "target", "taken")
-    rest = [c for c in df.columns if c.lower() not in new]
+    """``df`` with size, source_size, target and taken. Words are counted once, in a stored table of keys, sources and sizes."""
+    p = prefix(df)
+    at_key, at_source = F.col(quoted(key)), F.col(quoted(source))
+    lean = stored(df.select(at_key.alias("key"), at_source.alias("source"), n_words(F.col(quoted(text))).alias("size")))
     # A row for each source; whether it is small enough to broadcast is for Spark to see.
-    split = df.groupBy(F.col(source).alias("_split")).agg(F.least(F.lit(MOST_SHARDS), F.ceil(F.count("*") / shard_rows)).cast("long").alias("_shards"))
-    counted = df.select(*rest, n_words(F.col(text)).alias("size"))  # before the join, which then need not move texts
-    sharded = counted.join(split, F.col(source).eqNullSafe(F.col("_split")))
-    sized = sharded.select(*rest, "size", F.pmod(seeded(F.col(key), seed), F.col("_shards")).alias("_shard"))
+    split = lean.groupBy(F.col("source").alias("split")).agg(F.least(F.lit(MOST_SHARDS), F.ceil(F.count("*") / shard_rows)).cast("long").alias("shards"))
+    sharded = lean.join(split, F.col("source").eqNullSafe(F.col("split")))
+    sized = sharded.select("source", "size", F.pmod(seeded(F.col("key"), seed), F.col("shards")).alias("shard"))
     blocks = lambda words: F.ceil(words * repeats / block).cast("long")
-    shard = stored(sized.groupBy(F.col(source).alias("source"), "_shard").agg(F.sum("size").alias("_shard_size")))
+    shard = stored(sized.groupBy("source", F.col("shard").alias("_shard")).agg(F.sum("size").alias("_shard_size")))
     per_source = targets(shard.groupBy("source").agg(F.sum("_shard_size").alias("source_size")), weights, repeats)
     seats = (
         apportion(
@@ -125,28 +127,36 @@ def mix(
             shard.join(seats, F.col("source").eqNullSafe(F.col("_of"))).drop("_of").withColumn("_votes", F.col("_shard_size").cast("double")).withColumn("_most", blocks(F.col("_shard_size"))),
             ["source"], "_shard", "_votes", "_seats", "_most",
         )
-        .select(F.col("source").alias("_source"), F.col("_shard").alias("_s"), "source_size", "target", "_shard_size", (F.col("quota") * block).alias("_words"))
+        .select(F.col("source").alias(f"{p}of"), F.col("_shard").alias(f"{p}s"), F.col("source_size").alias(f"{p}whole"), F.col("target").alias(f"{p}target"), F.col("_shard_size").alias(f"{p}part"), (F.col("quota") * block).alias(f"{p}words"))
     )
-    order = W.partitionBy(source, "_shard").orderBy(seeded(F.col(key), seed + 1), F.col(key), "size").rowsBetween(W.unboundedPreceding, 0)
-    placed = sized.withColumn("_end", F.sum("size").over(order))
-    joined = placed.join(quotas, F.col(source).eqNullSafe(F.col("_source")) & (F.col("_shard") == F.col("_s")), "left")
-    passes = F.least(F.lit(repeats), F.floor(F.col("_words") / F.col("_shard_size")))
-    over = F.when(passes < repeats, F.col("_words") - passes * F.col("_shard_size")).otherwise(F.lit(0))
-    part = F.least(F.col("size"), F.greatest(F.lit(0), over - (F.col("_end") - F.col("size"))))
-    taken = F.when(F.col("size") > 0, passes * F.col("size") + part).otherwise(F.lit(0))
-    return joined.select(*rest, "size", "source_size", "target", taken.cast("long").alias("taken"))
+    rest, mine = others(df, "size", "source_size", "target", "taken"), lambda c: F.col(p + c)
+    shards = split.select(F.col("split").alias(f"{p}split"), F.col("shards").alias(f"{p}shards"))
+    counted = df.select(*rest, at_key.alias(f"{p}key"), at_source.alias(f"{p}source"), n_words(F.col(quoted(text))).alias(f"{p}size"))
+    dealt = counted.join(shards, mine("source").eqNullSafe(mine("split"))).withColumn(f"{p}shard", F.pmod(seeded(mine("key"), seed), mine("shards")))
+    order = W.partitionBy(f"{p}source", f"{p}shard").orderBy(seeded(mine("key"), seed + 1), f"{p}key", f"{p}size").rowsBetween(W.unboundedPreceding, 0)
+    placed = dealt.withColumn(f"{p}end", F.sum(f"{p}size").over(order))
+    joined = placed.join(quotas, mine("source").eqNullSafe(mine("of")) & (mine("shard") == mine("s")), "left")
+    passes = F.least(F.lit(repeats), F.floor(mine("words") / mine("part")))
+    over = F.when(passes < repeats, mine("words") - passes * mine("part")).otherwise(F.lit(0))
+    part = F.least(mine("size"), F.greatest(F.lit(0), over - (mine("end") - mine("size"))))
+    taken = F.when(mine("size") > 0, passes * mine("size") + part).otherwise(F.lit(0))
+    return joined.select(*rest, mine("size").alias("size"), mine("whole").alias("source_size"), mine("target").alias("target"), taken.cast("long").alias("taken"))
 
 
 def materialize(mixed: DataFrame, text: str = "text") -> DataFrame:
-    """The documents that a mix takes: a row for each whole repeat, and one cut after the words taken from a last, partial one."""
-    columns = [c for c in mixed.columns if c not in ("size", "source_size", "target", "taken")]
+    """The documents that a mix takes: a row for each whole repeat, and one cut after the words taken from a last, partial one.
+
+    A null or empty text takes nothing and isn't there; equal rows are each
+    there as often as they are taken.
+    """
+    columns, turn = others(mixed, "size", "source_size", "target", "taken"), F.col(prefix(mixed) + "turn")
     whole = F.floor(F.col("taken") / F.col("size"))
     part = F.col("taken") - whole * F.col("size")
     turns = F.sequence(F.lit(1).cast("long"), whole + F.when(part > 0, 1).otherwise(0))
-    out = mixed.where("taken > 0").select("*", F.explode(turns).alias("_turn"))
-    begun = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, part.cast("int")), "")
-    cut = F.when(F.col("_turn") <= whole, F.col(text)).otherwise(begun)
-    return out.select(*(cut.alias(c) if c == text else F.col(c) for c in columns))
+    out = mixed.where("taken > 0").select("*", F.explode(turns).alias(prefix(mixed) + "turn"))
+    begun = F.array_join(F.slice(F.regexp_extract_all(F.col(quoted(text)), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, part.cast("int")), "")
+    cut = F.when(turn <= whole, F.col(quoted(text))).otherwise(begun)
+    return out.select(*(cut.alias(text) if c == quoted(text) else F.col(c) for c in columns))
 
 
 # The same mix in SQL, by ranking every block's quotient.
