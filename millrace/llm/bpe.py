@@ -8,9 +8,11 @@ makes pairs of higher rank (``load`` checks it), so this gives what merging each
 piece on its own by lowest rank gives.
 
 Defined results: a null text counts as empty and has no ids; ids that aren't in
-the vocabulary are skipped when decoding; repeated rows are encoded alike; an
-empty table gives an empty result; other columns are carried along, and a
-column whose name is one of the result's is replaced.
+the vocabulary are skipped when decoding; repeated rows are encoded alike;
+texts of any length are encoded whole; an empty table gives an empty result;
+other columns are carried along, and a column whose name is one of the result's
+is replaced. A vocabulary file that asks for more than this module does
+(``load``) is refused.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.text import fresh, others, quoted
+
 #: What splits text into pieces before merging: the vocabulary's own pattern, frequent pieces first and without backtracking.
 PIECES = r" ?\p{L}++|'(?:[stmd]|re|ve|ll)| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"
 #: Encoded pieces that a task remembers between batches; beyond it the memory starts anew.
@@ -51,8 +55,18 @@ class Bpe:
 
 
 def load(path: str) -> Bpe:
+    """The vocabulary of a file; ValueError if it normalises or splits text in another way than this module, or has options beyond plain byte-level BPE."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = {"dropout": None, "unk_token": None, "continuing_subword_prefix": "", "end_of_word_suffix": "", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+    wrong = [n for n, v in plain.items() if (model.get(n) or v) != v]
+    if wrong or model.get("type", "BPE") != "BPE" or spec.get("normalizer") or (spec.get("decoder") or {}).get("type") != "ByteLevel":
+        raise ValueError(f"not a plain byte-level BPE: {wrong or 'normalizer, decoder or type'}")
+    if split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        raise ValueError("texts are split in another way")
+    if any(t.get("single_word") or t.get("lstrip") or t.get("rstrip") or t.get("normalized") for t in spec["added_tokens"]):
+        raise ValueError("added tokens have options")
     letters, vocab = byte_letters(), spec["model"]["vocab"]
     tokens = {i: bytes(letters[c] for c in t) for t, i in vocab.items()}
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -179,8 +193,8 @@ def _mapped(df: DataFrame, column: str, fields: str, make) -> DataFrame:
     """``df`` with the columns that ``make()(values)`` gives for the values of ``column``, batch by batch."""
     new = [f.split(":")[0] for f in fields.split(",")]
     keep = [c for c in df.columns if c.lower() not in new]
-    source = "_value" if column not in keep else column
-    data = df if column in keep else df.withColumnRenamed(column, "_value")
+    source = column if column in keep else fresh(df, "_value")
+    data = df if column in keep else df.withColumnRenamed(column, source)
 
     def run(batches):
         f = make()
@@ -189,8 +203,8 @@ def _mapped(df: DataFrame, column: str, fields: str, make) -> DataFrame:
             for a, b in _steps(values):
                 yield _with(batch.slice(a, b - a), keep, f(values[a:b]))
 
-    schema = ", ".join([f"`{c.replace('`', '``')}` {df.schema[c].dataType.simpleString()}" for c in keep] + [f.replace(":", " ") for f in fields.split(",")])
-    return data.select(*[f"`{c}`" for c in dict.fromkeys([*keep, source])]).mapInArrow(run, schema)
+    schema = ", ".join([f"{quoted(c)} {df.schema[c].dataType.simpleString()}" for c in keep] + [f.replace(":", " ") for f in fields.split(",")])
+    return data.select(*[quoted(c) for c in dict.fromkeys([*keep, source])]).mapInArrow(run, schema)
 
 
 def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -216,8 +230,8 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     def make():
         return lambda rows: {"decoded": pa.array([decode_ids(r, shared.value) for r in rows], pa.string())}
 
-    out = df.select("*", F.arrow_udf(lambda a: make()(a.to_pylist())["decoded"], "string")(F.col(ids)).alias("_decoded"))
-    return out.select(*[c for c in df.columns if c.lower() != "decoded"], F.col("_decoded").alias("decoded"))
+    decoded = F.arrow_udf(lambda a: make()(a.to_pylist())["decoded"], "string")(quoted(ids))
+    return df.select(*others(df, "decoded"), decoded.alias("decoded"))
 
 
 def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:

@@ -11,8 +11,10 @@ language, drawn by a hash of the key. Prediction reads whole texts.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0,
 and so is every text if there is nothing to learn from; rows without a language
-or key aren't learnt from; other columns are carried along, and a column whose
-name is one of the result's is replaced.
+or key aren't learnt from; repeated rows are predicted alike; equally near
+languages go by their code points; texts of any length are read whole, one at a
+time; an empty table gives an empty result; other columns are carried along, and
+a column whose name is one of the result's is replaced.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.text import fresh, others, quoted
+
 #: Whole texts that the classifiers learn from, about; every language has the same share.
 SAMPLE = 3000
 #: Hashed n-gram features, and the lengths of the n-grams in bytes.
@@ -148,6 +152,6 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
             names, scores, unsure = names + lang, scores + score, unsure + flag
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(unsure, pa.bool_())], ["lang_pred", "score", "ambiguous"])
 
-    keep = [c for c in df.columns if c.lower() not in ("lang_pred", "score", "ambiguous", "_found")]
-    out = df.select(*keep, F.arrow_udf(run, STRUCT)(F.col(text)).alias("_found"))
-    return out.select(*keep, "_found.lang_pred", "_found.score", "_found.ambiguous")
+    keep, name = others(df, "lang_pred", "score", "ambiguous"), fresh(df, "_found")
+    out = df.select(*keep, F.arrow_udf(run, STRUCT)(quoted(text)).alias(name))
+    return out.select(*keep, *(f"{name}.{c}" for c in ("lang_pred", "score", "ambiguous")))

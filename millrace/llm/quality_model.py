@@ -10,12 +10,15 @@ hash of the key.
 
 Defined results: a null text counts as empty and is scored by its statistics,
 which are all 0; without labelled rows every score is 0.5; rows that repeat a
-key are scored on their own; other columns are carried along, and a column
-whose name is one of the result's is replaced.
+key are scored on their own, and equal statistics have equal scores; texts of
+any length are measured whole; an empty table gives an empty result; other
+columns are carried along, and a column whose name is one of the result's is
+replaced.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import boosting
-from millrace.llm.quality_rules import MEASURES, ledger
+from millrace.llm.quality_rules import MEASURES, measured
+from millrace.llm.text import fresh, others
 
 #: Labelled rows that the ensemble learns from, about.
 SAMPLE = 20_000
@@ -43,12 +47,12 @@ STATISTICS = {
 }
 
 
-def statistics(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with a double for each of STATISTICS."""
-    measured = ledger(df, text)
-    for name, sql in STATISTICS.items():
-        measured = measured.withColumn(name, F.expr(sql))
-    return measured.drop(*MEASURES, "fail_bits")
+def statistics(df: DataFrame, text: str = "text", out: str = "statistics") -> DataFrame:
+    """``df`` with ``out``: a struct of a double for each of STATISTICS."""
+    name = fresh(df, "_measured")
+    measures = df.select("*", measured(text).alias(name))
+    of = lambda sql: F.expr(re.sub(r"\b(" + "|".join(MEASURES) + r")\b", rf"{name}.\1", sql))
+    return measures.select(*others(df, out), F.struct(*(of(sql).alias(n) for n, sql in STATISTICS.items())).alias(out))
 
 
 @dataclass(frozen=True)
@@ -75,9 +79,9 @@ class Ensemble:
     intercept: float
     rules: tuple[tuple[Rule, float], ...]
 
-    def score(self) -> Column:
+    def score(self, statistics: str = "statistics") -> Column:
         z = F.lit(self.intercept)
-        names = list(STATISTICS)
+        names = [f"{statistics}.{n}" for n in STATISTICS]
         for rule, weight in self.rules:
             z = z + F.when(rule.column(names), F.lit(weight)).otherwise(F.lit(0.0))
         return 1 / (1 + F.exp(-z))
@@ -120,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
     chosen = able.where(unit < SAMPLE / max(1, able.count()))
     # SAMPLE bounds what is broadcast; texts stay where they are.
     rows = statistics(docs.join(F.broadcast(chosen), F.col(key) == F.col("k")).select("k", "y", F.col(text).alias("text")))
-    got = np.array(sorted(tuple(r) for r in rows.select("k", "y", *STATISTICS).collect()), float).reshape(-1, 2 + len(STATISTICS))
+    got = np.array(sorted(tuple(r) for r in rows.select("k", "y", "statistics.*").collect()), float).reshape(-1, 2 + len(STATISTICS))
     y, x = got[:, 1], got[:, 2:]
     if not len(y):
         return Ensemble(0.0, ())
@@ -140,6 +144,5 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
 
 def predict(df: DataFrame, model: Ensemble, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """``df`` with score and predicted."""
-    rest = [c for c in df.columns if c.lower() not in {"score", "predicted", "_text", *STATISTICS, *MEASURES, "fail_bits"}]
-    measured = statistics(df.select(*rest, F.col(text).alias("_text")), "_text")
-    return measured.select(*rest, model.score().alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    name = fresh(df, "_statistics")
+    return statistics(df, text, name).select(*others(df, "score", "predicted"), model.score(name).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

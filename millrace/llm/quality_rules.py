@@ -6,9 +6,10 @@ policy keeps, and what each rule costs, are then bitwise operations on that
 column: changing a policy never reads a text again.
 
 Defined results: a null text has no words, fails ``few_words`` and is rejected;
-repeated rows each get their own equal row; an empty table gives an empty
-ledger; other columns of the input are carried along, and a column whose name
-is one of the ledger's is replaced.
+repeated rows each get their own equal row; texts of any length are measured
+whole, one at a time; an empty table gives an empty ledger; other columns of the
+input are carried along, and a column whose name is one of the ledger's is
+replaced.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.text import fresh, others, quoted
+
 SYMBOLS = "#*$%&|<>"
 MEASURES = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -65,7 +68,7 @@ POLICIES = {
 CURRENT = "v3"
 
 
-UPPER, LETTERS = regex.compile(r"[A-ZÀ-ÖØ-Þ]+"), regex.compile(r"\p{L}+")
+UPPER, LETTERS = regex.compile(r"\p{Lu}+"), regex.compile(r"\p{L}+")
 
 
 def measure_text(text: str | None) -> tuple[int, ...]:
@@ -110,6 +113,11 @@ def _measure(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], list(MEASURES))
 
 
+def measured(text: str) -> Column:
+    """The measurements of a text column, as a struct."""
+    return F.arrow_udf(_measure, "struct<" + ",".join(f"{m}:bigint" for m in MEASURES) + ">")(quoted(text))
+
+
 def fail_bits() -> Column:
     bits = [F.when(F.expr(r.failed), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long") for r in RULES]
     total = bits[0]
@@ -120,15 +128,23 @@ def fail_bits() -> Column:
 
 def ledger(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with the measurements and ``fail_bits``; one pass, no shuffle."""
-    measured = F.arrow_udf(_measure, "struct<" + ",".join(f"{m}:bigint" for m in MEASURES) + ">")
-    rest = [c for c in df.columns if c.lower() not in {*MEASURES, "fail_bits", "_measured"}]
-    out = df.select(*rest, measured(F.col(text)).alias("_measured"))
-    return out.select(*rest, *(F.col(f"_measured.{m}").alias(m) for m in MEASURES)).withColumn("fail_bits", fail_bits())
+    rest, name = others(df, *MEASURES, "fail_bits"), fresh(df, "_measured")
+    out = df.select(*rest, measured(text).alias(name))
+    return out.select(*rest, *(F.col(f"{name}.{m}").alias(m) for m in MEASURES)).withColumn("fail_bits", fail_bits())
+
+
+def policy_bits(policy: str | int) -> int:
+    """The rules of a policy, given by its name or as bits."""
+    if isinstance(policy, str):
+        if policy not in POLICIES:
+            raise ValueError(f"no policy {policy}; there are {', '.join(POLICIES)}")
+        return POLICIES[policy]
+    return policy
 
 
 def passes(policy: str | int = CURRENT) -> Column:
     """Whether a ledger row fails none of a policy's rules."""
-    return F.col("fail_bits").bitwiseAND(F.lit(POLICIES.get(policy, policy))) == 0
+    return F.col("fail_bits").bitwiseAND(F.lit(policy_bits(policy))) == 0
 
 
 def ablation(ledgered: DataFrame, policy: str | int = CURRENT) -> DataFrame:
@@ -137,7 +153,7 @@ def ablation(ledgered: DataFrame, policy: str | int = CURRENT) -> DataFrame:
     The rows meet in one count for each distinct bit pattern, made before the
     shuffle; at most 2**rules rows go on.
     """
-    bits = POLICIES.get(policy, policy)
+    bits = policy_bits(policy)
     patterns = ledgered.groupBy(F.col("fail_bits").bitwiseAND(F.lit(bits)).alias("bits")).agg(F.count("*").alias("n"))
     rules = [r for r in RULES if bits >> r.bit & 1]
     rule = F.explode(F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(1 << r.bit).cast("long").alias("bit")) for r in rules)))
@@ -152,14 +168,14 @@ def ablation(ledgered: DataFrame, policy: str | int = CURRENT) -> DataFrame:
     )
 
 
-def quality_rules(df: DataFrame, policy: str | int = CURRENT) -> DataFrame:
+def quality_rules(df: DataFrame, policy: str | int = CURRENT, text: str = "text") -> DataFrame:
     """The ledger with ``base_failed`` and the verdict ``kept`` of a policy; base rules always reject."""
     base = F.col("fail_bits").bitwiseAND(F.lit(mask(*BASE))) != 0
-    return ledger(df).withColumn("base_failed", base).withColumn("kept", ~base & passes(policy))
+    return ledger(df, text).withColumn("base_failed", base).withColumn("kept", ~base & passes(policy))
 
 
 # The same in SQL. Letters and upper case are matched by the same classes.
-ORACLE = r"""
+_BITS = r"""
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS text FROM documents
 ), w AS (
@@ -180,11 +196,17 @@ WITH t AS (
     coalesce(dup.n_dup, 0)::BIGINT AS n_dup_lines, coalesce(repeats.n, 0)::BIGINT AS n_repeat_words,
     coalesce(dup.n_lines, 0)::BIGINT AS n_lines,
     len(regexp_extract_all(text, '\p{L}'))::BIGINT AS n_letters,
-    len(regexp_extract_all(text, '[A-ZÀ-ÖØ-Þ]'))::BIGINT AS n_upper,
+    len(regexp_extract_all(text, '\p{Lu}'))::BIGINT AS n_upper,
     len(regexp_extract_all(text, '!'))::BIGINT AS n_exclaim
   FROM w LEFT JOIN repeats ON repeats.doc_id = w.doc_id LEFT JOIN dup ON dup.doc_id = w.doc_id
 ), bits AS (
   SELECT *, (""" + " + ".join(f"CASE WHEN {r.failed} THEN {1 << r.bit} ELSE 0 END" for r in RULES) + r""")::BIGINT AS fail_bits FROM m
-)
-SELECT *, fail_bits & """ + str(mask(*BASE)) + " <> 0 AS base_failed, fail_bits & " + str(POLICIES[CURRENT]) + r""" = 0 AS kept FROM bits
+)"""
+ORACLE = f"""{_BITS}
+SELECT *, fail_bits & {mask(*BASE)} <> 0 AS base_failed, fail_bits & {POLICIES[CURRENT]} = 0 AS kept, fail_bits & {POLICIES["v1"]} = 0 AS kept_v1, fail_bits & {POLICIES["v2"]} = 0 AS kept_v2 FROM bits
+"""
+ABLATION_ORACLE = f"""{_BITS}, rules(rule, bit) AS (VALUES {", ".join(f"('{r.name}', {1 << r.bit})" for r in RULES)})
+SELECT rule, count(*) FILTER (fail_bits & bit <> 0)::BIGINT AS n_failed, count(*) FILTER (fail_bits = bit)::BIGINT AS n_only,
+  count(*) FILTER (fail_bits & ~bit = 0)::BIGINT AS n_kept_without, bit_or(fail_bits) FILTER (fail_bits & bit <> 0)::BIGINT AS fails_with
+FROM bits, rules GROUP BY rule
 """

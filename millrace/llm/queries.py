@@ -26,7 +26,12 @@ def query(name: str, oracle: str | None = None):
 @query("op1_quality_rules", quality_rules.ORACLE)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.quality_rules(documents(spark, sf_dir).select("doc_id", "text"))
-    return out.drop("text")
+    return out.drop("text").withColumns({f"kept_{v}": quality_rules.passes(v) for v in ("v1", "v2")})
+
+
+@query("rule_ablation", quality_rules.ABLATION_ORACLE)
+def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.ablation(quality_rules.ledger(documents(spark, sf_dir).select("doc_id", "text")))
 
 
 @query("op2_secret_scan", secrets.ORACLE)

@@ -43,6 +43,14 @@ def others(df: DataFrame, *replaced: str) -> list[str]:
     return [quoted(c) for c in df.columns if c.lower() not in gone]
 
 
+def prefix(df: DataFrame) -> str:
+    """What no column name of ``df`` begins with."""
+    found = "_"
+    while any(c.startswith(found) for c in df.columns):
+        found += "_"
+    return found
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

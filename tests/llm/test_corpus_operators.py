@@ -105,7 +105,7 @@ def test_near_dedup_odd(odd, none):
     assert {(r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id in (2, 3, 8)} == {(0, i, True) for i in (2, 3, 8)}
     assert near_dedup.near_duplicates(none).count() == 0
     kept = near_dedup.representatives(odd).collect()
-    assert sorted(r.doc_id or 0 for r in kept) == [0, 1, 2, 3, 4, 5, 5, 7, 8]
+    assert sorted(r.doc_id or 0 for r in kept) == [0, 1, 2, 3, 4, 5, 7, 8] and kept[0].asDict().keys() == {*odd.columns}
 
 
 def test_a_document_of_several_texts_ties_their_classes(spark):
@@ -156,6 +156,51 @@ def test_mixing_odd(odd, none):
     assert mixing.materialize(mixing.mix(odd)).columns == odd.columns
 
 
+INNER = [
+    "_id", "_of", "_found", "_measured", "_statistics", "_decoded", "_value", "_place", "_bits", "_key", "_shard", "_split", "_shards", "_words", "_s", "_source", "_shard_size", "_end",
+    "_turn", "__of", "key", "place", "words", "letters", "symbols", "capitals", "shard", "again", "row", "of", "rid", "h", "a b",
+]
+
+
+@pytest.mark.parametrize("operator", [
+    lambda df: quality_rules.quality_rules(df), lambda df: secrets.scan(df), lambda df: language.predict(df, language.fit(df, F.lit(True))), lambda df: near_dedup.near_duplicates(df),
+    lambda df: near_dedup.representatives(df), lambda df: quality_model.predict(df, quality_model.Ensemble(0.5, ())), lambda df: pii.scan(df, pii.train(600)), lambda df: bpe.encode(df, BPE_PATH),
+    lambda df: bpe.decode(bpe.encode(df, BPE_PATH), BPE_PATH), lambda df: bpe.round_trip(df, BPE_PATH), lambda df: mixing.mix(df), lambda df: mixing.materialize(mixing.mix(df)),
+    lambda df: fingerprints.with_fingerprint(df),
+])
+def test_columns_of_inner_names_survive(spark, operator):
+    df = spark.createDataFrame([(n, f"some words of text number {n} and more of it", "en", "s", 0) for n in range(4)], SCHEMA)
+    df = df.select("*", *(F.concat(F.lit(f"{n} of "), F.col("doc_id").cast("string")).alias(n) for n in INNER))
+    got = operator(df).collect()
+    assert got and all(r[n] == f"{n} of {r['doc_id']}" for r in got for n in INNER)
+
+
+def test_an_unknown_policy_is_refused():
+    with pytest.raises(ValueError):
+        quality_rules.passes("v99")
+
+
+def test_no_shared_folder_is_an_error_on_a_cluster():
+    from types import SimpleNamespace
+
+    from millrace.llm.text import shared_folder
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError):
+        shared_folder(SimpleNamespace(sparkContext=context, conf={}))
+
+
+def test_a_vocabulary_of_another_kind_is_refused(tmp_path):
+    import json
+
+    with open(BPE_PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": spec["model"] | {"byte_fallback": True}}):
+        (tmp_path / "v.json").write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError):
+            bpe.load(str(tmp_path / "v.json"))
+
+
 # Against brute force.
 
 
@@ -430,6 +475,19 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 7: 1, 10: 10, 11: 10, 17: 17, 18: 17, 19: 17, 20: 17} | {100 + i: 100 for i in range(41)}
 
 
+def test_a_boilerplate_family_has_no_links_and_hot_nodes_are_dealt(spark, monkeypatch):
+    """Half-alike texts that share bands but no link; and a star whose centre has many neighbours."""
+    rng = random.Random(11)
+    common = [f"b{i}" for i in range(100)]
+    rows = [(n, " ".join(common + [f"o{rng.randrange(10**9)}" for _ in range(45)])) for n in range(300)] + [(1000 + n, " ".join([*common, f"t{n}"])) for n in range(3)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()}
+    assert got == brute_components(rows, 2)
+    monkeypatch.setattr(components, "HOT", 5)
+    edges = [(0, n) for n in range(1, 200)] + [(n, n + 1) for n in range(300, 330)] + [(400, 199)] + [(900 + n, 900) for n in range(1, 60)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {n: 0 for n in [*range(200), 400]} | {n: 300 for n in range(300, 331)} | {n: 900 for n in range(900, 960)}
+
+
 def test_fingerprint_query_brute_force(spark, documents):
     got = {r.doc_id: r for r in QUERIES["op6_fingerprints"](spark, SF).collect()}
     rows = sorted(documents, key=lambda r: -r[0])
