@@ -160,17 +160,19 @@ def _promising(threshold: float):
     """The classes of a block whose registers estimate a likeness near ``threshold`` to a class of another component."""
 
     def found(few: list, many: list):
+        out = set()
         if few and many:
-            there, size = np.stack([m[2] for m in many]), np.array([m[3] for m in many])
-            comp = np.array([m[1] for m in many])
+            there, size, comp = np.stack([m[2] for m in many]), [m[3] for m in many], np.array([m[1] for m in many])
             for u, c, regs, n in few:
                 equal = (there == regs).mean(1)
                 # Registers of unlike sets agree by chance too, so an estimate is never above the share that is equal.
-                for v in np.flatnonzero((equal >= threshold - SLACK) & (comp != c)):
-                    if estimate(regs, there[v], n, int(size[v])) >= threshold - SLACK:
-                        yield u, many[v][0]
+                near = [v for v in np.flatnonzero((equal >= threshold - SLACK) & (comp != c)) if estimate(regs, there[v], n, size[v]) >= threshold - SLACK]
+                if near:
+                    out.add((u,))
+                    out.update((many[v][0],) for v in near)
+        return sorted(out)
 
-    return _over_blocks(found, lambda p: (np.frombuffer(p["registers"], np.uint16), p["n_shingles"]))
+    return _over_blocks(found, lambda p: (np.frombuffer(p["registers"], np.uint16), p["n_shingles"]), ("rid",))
 
 
 def _linking(threshold: float):
@@ -184,11 +186,11 @@ def _linking(threshold: float):
                     met.add(other)
                     yield u, v
 
-    return _over_blocks(links, lambda p: (np.frombuffer(p["shingles"], np.uint64),))
+    return _over_blocks(links, lambda p: (np.frombuffer(p["shingles"], np.uint64),), ("u", "v"))
 
 
-def _over_blocks(pairs, opened):
-    """Rows come block by block, side 0 first; ``pairs`` of both sides' (class, component, *opened payload) leave it."""
+def _over_blocks(compared, opened, names: tuple[str, ...]):
+    """Rows come block by block, side 0 first; what ``compared`` finds among both sides' (class, component, *opened payload) leaves it."""
 
     def run(batches):
         at, sides = None, ([], [])
@@ -196,15 +198,15 @@ def _over_blocks(pairs, opened):
             out = []
             for block, side, rid, comp, payload in zip(*(batch.column(c).to_pylist() for c in ("block", "side", "rid", "comp", "payload")), strict=True):
                 if block != at:
-                    out += pairs(*sides)
+                    out += compared(*sides)
                     at, sides = block, ([], [])
                 sides[side].append((rid, comp, *opened(payload)))
-            yield _pairs(out)
-        yield _pairs(list(pairs(*sides)))
+            yield _table(out)
+        yield _table(list(compared(*sides)))
 
-    def _pairs(rows: list) -> pa.RecordBatch:
-        u, v = zip(*dict.fromkeys(rows)) if rows else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+    def _table(rows: list) -> pa.RecordBatch:
+        columns = zip(*dict.fromkeys(rows)) if rows else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=list(names))
 
     return run
 
@@ -226,7 +228,7 @@ def classes(signed: DataFrame, texts: DataFrame, k: int, threshold: float) -> Da
     est = est.select("u", "v", _estimated()("registers_u", "registers_v", "n_shingles_u", "n_shingles_v").alias("est")).where(F.col("est") >= threshold - SLACK)
     best = F.slice(F.sort_array(F.collect_list(F.struct("est", "v")), False), 1, LEADERS)  # at most BANDS in the list
     chosen = stored(est.groupBy("u").agg(best.alias("best")).select("u", F.explode("best").alias("b")).select("u", "b.v"))
-    sets = _sets(texts, chosen, k)
+    sets = _sets(texts, chosen.select(F.explode(F.array("u", "v")).alias("rid")), k)
     edges = stored(_check(chosen, sets, threshold))
     drop(sets, chosen, buckets)
     several = able.groupBy("doc_id").agg(F.min("set_key").alias("a"), F.max("set_key").alias("b")).where("a <> b").select("doc_id")
@@ -242,9 +244,9 @@ def classes(signed: DataFrame, texts: DataFrame, k: int, threshold: float) -> Da
     return found
 
 
-def _sets(texts: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """(rid, shingles): the full sets of the classes in some pairs (u, v). Stored."""
-    needed = pairs.select(F.col("u").alias("rid")).unionAll(pairs.select(F.col("v").alias("rid"))).distinct()
+def _sets(texts: DataFrame, needed: DataFrame, k: int) -> DataFrame:
+    """(rid, shingles): the full sets of the classes ``rid``. Stored."""
+    needed = needed.distinct()
     hashed = F.arrow_udf(_hashes(k), "binary")
     found = texts.join(needed, texts.doc_id == needed.rid).select("rid", hashed("text").alias("shingles"))
     return stored(found.groupBy("rid", F.xxhash64("shingles").alias("h")).agg(F.any_value("shingles").alias("shingles")).select("rid", "shingles"))
@@ -269,19 +271,18 @@ def _check(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 def _minorities(shared: DataFrame, labels: DataFrame, regs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame | None:
     """Step 3: links across the components of a bucket, stored; None without any."""
     placed = stored(shared.join(labels, shared.rid == labels.node, "left").select("key", "rid", F.coalesce("component", "rid").alias("comp")))
-    near = stored(_in_blocks(placed, regs.select("rid", F.struct("n_shingles", "registers").alias("payload")), _promising(threshold)))
+    near = stored(_in_blocks(placed, regs.select("rid", F.struct("n_shingles", "registers").alias("payload")), _promising(threshold), "rid bigint"))
     if near.isEmpty():
         drop(placed, near)
         return None
     sets = _sets(texts, near, k)
-    able = sets.select("rid").distinct()
-    links = stored(_in_blocks(placed.join(able, "rid").select("key", "rid", "comp"), sets.select("rid", F.struct("shingles").alias("payload")), _linking(threshold)))
+    links = stored(_in_blocks(placed.join(near, "rid").select("key", "rid", "comp"), sets.select("rid", F.struct("shingles").alias("payload")), _linking(threshold), "u bigint, v bigint"))
     drop(placed, near, sets)
     return links
 
 
-def _in_blocks(placed: DataFrame, payload: DataFrame, compared) -> DataFrame:
-    """The distinct pairs (u, v) that ``compared`` finds in the blocks of buckets with several components; ``payload`` has a row or more for each class."""
+def _in_blocks(placed: DataFrame, payload: DataFrame, compared, schema: str) -> DataFrame:
+    """The distinct rows that ``compared`` finds in the blocks of buckets with several components; ``payload`` has a row or more for each class."""
     sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
     mixed_ = stored(
         sizes.groupBy(F.col("key").alias("k"))
@@ -299,7 +300,7 @@ def _in_blocks(placed: DataFrame, payload: DataFrame, compared) -> DataFrame:
     carried = blocks.join(payload, "rid").select(F.xxhash64("block.key", "block.few", "block.many").alias("block"), "side", "rid", "comp", "payload")
     parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = carried.repartition(parts, "block").sortWithinPartitions("block", "side", "rid")
-    return dealt.mapInArrow(compared, "u bigint, v bigint").distinct()
+    return dealt.mapInArrow(compared, schema).distinct()
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
