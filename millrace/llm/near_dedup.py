@@ -52,6 +52,8 @@ SLACK = 0.15
 LEADERS = 3
 #: Texts that are signed at once.
 STEP = 500
+#: Keys, of 8 bytes each, that may be broadcast.
+BROADCAST = 1 << 22
 #: Sides of a block in step 3.
 FEW, MANY = 64, 512
 #: For each bucket, the order in which it looks for another to borrow from.
@@ -245,8 +247,9 @@ def classes(signed: DataFrame, texts: DataFrame, k: int, threshold: float) -> Da
 
 
 def _sets(texts: DataFrame, needed: DataFrame, k: int) -> DataFrame:
-    """(rid, shingles): the full sets of the classes ``rid``. Stored."""
+    """(rid, shingles): the full sets of the classes ``rid``. Stored; texts stay where they are while BROADCAST bounds the classes."""
     needed = needed.distinct()
+    needed = F.broadcast(needed) if needed.count() <= BROADCAST else needed
     hashed = F.arrow_udf(_hashes(k), "binary")
     found = texts.join(needed, texts.doc_id == needed.rid).select("rid", hashed("text").alias("shingles"))
     return stored(found.groupBy("rid", F.xxhash64("shingles").alias("h")).agg(F.any_value("shingles").alias("shingles")).select("rid", "shingles"))
