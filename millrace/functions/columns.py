@@ -31,10 +31,10 @@ def hash_unit(key: Column, salt: str) -> Column:
     return hash_int(key, salt) / F.lit(4294967296.0)
 
 
-def hash_int(key: Column, salt: str) -> Column:
-    """A 32-bit number from md5 of salt and key."""
+def hash_int(key: Column, salt: str, digits: int = 8) -> Column:
+    """A number of so many hexadecimal digits (15 at most) from md5 of salt and key."""
     digest = F.md5(F.concat(F.lit(salt), key.cast("string")))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+    return F.conv(F.substring(digest, 1, digits), 16, 10).cast("long")
 
 
 def hash_order(key: Column, seed: int) -> list[Column]:

@@ -85,5 +85,5 @@ def bootstrap(df: DataFrame, key: str, factor: float = 1.0, seed: int = 42) -> D
     # Row r starts the draws from floor(r * m / n) up to floor((r + 1) * m / n).
     first, last = F.floor(F.col("_rank") * m / n).cast("long"), F.floor((F.col("_rank") + 1) * m / n).cast("long") - 1
     draws = numbered.select(F.explode(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))).alias("draw"))
-    chosen = draws.select("draw", F.pmod(hash_int(F.col("draw"), f"{seed}:"), n).alias("_pick"))
+    chosen = draws.select("draw", F.pmod(hash_int(F.col("draw"), f"{seed}:", 15), n).alias("_pick"))
     return chosen.join(numbered, F.col("_pick") == F.col("_rank")).select("draw", *df.columns)

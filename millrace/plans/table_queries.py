@@ -399,7 +399,7 @@ def _(t):
     return split.stride_sample(t("events").select("event_id"), "event_id", 10)
 
 
-@query("bootstrap_sample", "WITH " + ranked_sql("events", "event_id") + ", d AS (SELECT i AS draw, ('0x' || substr(md5('42:' || i::VARCHAR), 1, 8))::BIGINT % (SELECT count(*) FROM events) AS pick FROM range((SELECT count(*) FROM events)) g(i)) SELECT draw, event_id FROM d JOIN r ON pick = rk")
+@query("bootstrap_sample", "WITH " + ranked_sql("events", "event_id") + ", d AS (SELECT i AS draw, ('0x' || substr(md5('42:' || i::VARCHAR), 1, 15))::BIGINT % (SELECT count(*) FROM events) AS pick FROM range((SELECT count(*) FROM events)) g(i)) SELECT draw, event_id FROM d JOIN r ON pick = rk")
 def _(t):
     return split.bootstrap(t("events").select("event_id"), "event_id")
 

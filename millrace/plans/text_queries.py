@@ -88,18 +88,18 @@ def _(t):
     return t("documents").select("doc_id", F.size(words).alias("n_tokens"), F.md5(F.array_join(words, " ")).alias("digest"))
 
 
-VOCAB = f"v AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS id FROM (SELECT DISTINCT unnest({TOKENS}) AS token FROM documents WHERE doc_id % 2 = 0))"
+VOCAB = f"v AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS id FROM (SELECT DISTINCT unnest({TOKENS}) AS token FROM documents))"
 
 
 @query("text_vocab", f"WITH {VOCAB} SELECT token, id FROM v")
 def _(t):
-    return text.vocabulary(t("documents").where("doc_id % 2 = 0"), "text")
+    return text.vocabulary(t("documents"), "text")
 
 
 @query("text_token_ids", f"WITH {VOCAB}, w AS (SELECT doc_id, unnest({TOKENS}) AS token, generate_subscripts({TOKENS}, 1) AS pos FROM documents), i AS (SELECT doc_id, pos, coalesce(id, 0) AS id FROM w LEFT JOIN v USING (token)) SELECT d.doc_id, coalesce(string_agg(id::VARCHAR, ',' ORDER BY pos), '') AS ids FROM documents d LEFT JOIN i USING (doc_id) GROUP BY d.doc_id")
 def _(t):
     d = t("documents")
-    ids = text.token_ids(d, "text", "doc_id", text.vocabulary(d.where("doc_id % 2 = 0"), "text"))
+    ids = text.token_ids(d, "text", "doc_id", text.vocabulary(d, "text"))
     return ids.select("doc_id", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))
 
 
@@ -125,10 +125,11 @@ def _(t):
     return augment.text_with(t("documents").select("doc_id", "text"), "text", "doc_id", "delete")
 
 
-SYNONYM_TEXT = "CASE doc_id % 3 WHEN 0 THEN 'good' WHEN 1 THEN 'Fast' ELSE 'neutral' END"
+#: Whole texts, with common words in place of others so that many have synonyms.
+SYNONYM_TEXT = "replace(replace(replace(text, ' the ', ' Good '), ' de ', ' fast '), ' und ', ' big ')"
 
 
-@query("augment_text_synonym", "WITH s(w, o) AS (VALUES " + ", ".join(f"('{w}', [{', '.join(chr(39) + x + chr(39) for x in o)}])" for w, o in augment.SYNONYMS.items()) + f"), d AS (SELECT doc_id, {SYNONYM_TEXT} AS t FROM documents) SELECT doc_id, coalesce(o[{int_sql('pick:')} % len(o) + 1], t) AS text FROM d LEFT JOIN s ON s.w = lower(t)")
+@query("augment_text_synonym", "WITH s(w, o) AS (VALUES " + ", ".join(f"('{w}', [{', '.join(chr(39) + x + chr(39) for x in o)}])" for w, o in augment.SYNONYMS.items()) + f"), d AS (SELECT doc_id, string_split({SPACED.format(v=SYNONYM_TEXT)}, ' ') AS w FROM documents), p AS (SELECT doc_id, w, {int_sql('syn:')} % len(w) AS i FROM d) SELECT doc_id, array_to_string(CASE WHEN o IS NULL THEN p.w ELSE list_concat(list_concat(p.w[1:i], [o[{int_sql('pick:')} % len(o) + 1]]), p.w[i+2:]) END, ' ') AS text FROM p LEFT JOIN s ON s.w = lower(p.w[i+1])")
 def _(t):
     return augment.text_with(t("documents").select("doc_id", F.expr(SYNONYM_TEXT).alias("text")), "text", "doc_id", "synonym")
 

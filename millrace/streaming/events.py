@@ -25,11 +25,19 @@ def sessions(events: DataFrame, time: str, by: str, gap: str = "30 minutes", lat
     return found.select(by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def run_available(stream: DataFrame, table: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """All that is there now, through the stream, as a table."""
-    query = stream.writeStream.format("memory").queryName(table).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(table)
+def run_available(stream: DataFrame, folder: str, checkpoint: str, mode: str = "complete") -> DataFrame:
+    """All that is there now, through the stream, as a Parquet folder.
+
+    A complete result replaces the one before it; appended rows go to a folder
+    for each micro-batch, so that a batch that is run again replaces itself.
+    """
+    spark, whole = stream.sparkSession, mode == "complete"
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={0 if whole else n}")
+
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).option("basePath", folder).parquet(f"{folder}/batch=*").select(*stream.columns)
 
 
 def to_parquet(stream: DataFrame, folder: str, checkpoint: str, mode: str = "append"):

@@ -192,11 +192,11 @@ def test_streams_agree_with_batches(spark, tmp_path):
     table = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     table.repartition(3).write.parquet(str(tmp_path / "in"))
     live = stream.event_stream(spark, str(tmp_path / "in"), table.schema)
-    got = stream.run_available(stream.windowed_counts(live, "ts", ["event_type"]), "windows", str(tmp_path / "ck1"))
+    got = stream.run_available(stream.windowed_counts(live, "ts", ["event_type"]), str(tmp_path / "windows"), str(tmp_path / "ck1"))
     want = stream.windowed_counts(table.withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"])
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     live = stream.event_stream(spark, str(tmp_path / "in"), table.schema)
-    got = stream.run_available(stream.sessions(live, "ts", "user_id"), "sessions", str(tmp_path / "ck2"))
+    got = stream.run_available(stream.sessions(live, "ts", "user_id"), str(tmp_path / "sessions"), str(tmp_path / "ck2"))
     want = stream.sessions(table.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "user_id")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
@@ -243,7 +243,7 @@ def test_streamed_limiter_agrees_with_the_batch(spark, tmp_path):
     table = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     table.orderBy("ts").coalesce(1).write.parquet(str(tmp_path / "in"))
     live = stream.event_stream(spark, str(tmp_path / "in"), table.schema)
-    got = stream.run_available(limiter.rate_limited(live, "user_id", "ts", "event_id", 2, 86_400), "limited", str(tmp_path / "ck"), "append")
+    got = stream.run_available(limiter.rate_limited(live, "user_id", "ts", "event_id", 2, 86_400), str(tmp_path / "limited"), str(tmp_path / "ck"), "append")
     want = serving.rate_limited(table, "user_id", "ts", "event_id", 2, 86_400)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
@@ -256,3 +256,11 @@ def test_small_guards(spark):
     with pytest.raises(readers.EngineError):
         readers.require_rows(df, 3)
     assert value(spark, transform.unit_pixels(F.col("i")), i=[[[255, 0]]]) == [[[1.0, 0.0]]]
+
+
+def test_tokens_beyond_the_vocabulary_are_unknown(spark):
+    docs = spark.createDataFrame([(1, "b a c"), (2, "zz a"), (3, ""), (4, None)], "doc_id long, text string")
+    vocab = text.vocabulary(docs.where("doc_id = 1"), "text")
+    assert [(r.token, r.id) for r in vocab.orderBy("id").collect()] == [("a", 0), ("b", 1), ("c", 2)]
+    got = {r.doc_id: r.ids for r in text.token_ids(docs, "text", "doc_id", vocab, unknown=9).collect()}
+    assert got == {1: [1, 0, 2], 2: [9, 0], 3: [], 4: []}
