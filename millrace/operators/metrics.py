@@ -116,9 +116,15 @@ def auc(df: DataFrame, positive: Column, score: Column, by: list[Column] = [], n
     return won.groupBy(*names).agg(half_up(F.try_divide(F.sum("wins"), F.sum("pos").cast("double") * F.sum("neg"))).alias("auc"))
 
 
+def one_against_rest(df: DataFrame, truth: str, classes: list, scores: list[str]) -> DataFrame:
+    """(label, is, score): every row once for each class, with whether it is of that class; a null truth is of none."""
+    each = (F.struct(F.lit(str(c)).alias("label"), F.coalesce(F.col(truth) == c, F.lit(False)).alias("is"), F.col(s).alias("score")) for c, s in zip(classes, scores, strict=True))
+    return df.select(F.inline(F.array(*each)))
+
+
 def auc_ovr(df: DataFrame, truth: str, classes: list, scores: list[str]) -> DataFrame:
     """Macro average of each class's AUC against the rest, and the micro one over all pairs."""
-    pairs = df.select(F.explode(F.array(*(F.struct(F.lit(str(c)).alias("label"), (F.col(truth) == c).alias("is"), F.col(s).alias("score")) for c, s in zip(classes, scores, strict=True)))).alias("r")).select("r.*")
+    pairs = one_against_rest(df, truth, classes, scores)
     each = auc(pairs, F.col("is"), F.col("score"), [F.col("label")], ["label"])
     micro = auc(pairs, F.col("is"), F.col("score"))
     return each.agg(half_up(F.avg("auc")).alias("auc")).select(F.lit("macro").alias("average"), "auc").unionAll(micro.select(F.lit("micro"), "auc"))
@@ -164,11 +170,11 @@ def losses(df: DataFrame, truth: str, score: str) -> DataFrame:
     )
 
 
-def _from_highest(df: DataFrame, positive: Column, score: Column) -> DataFrame:
-    """Each distinct score with the positives and negatives at it (``pos``, ``neg``), from it on (``tp``, ``fp``) and in all."""
-    c = _by_score(df, positive, score).withColumn("neg", F.col("n") - F.col("pos"))
+def _from_highest(df: DataFrame, positive: Column, score: Column, by: list[str] = []) -> DataFrame:
+    """Each distinct score (of each group of ``by``) with the positives and negatives at it (``pos``, ``neg``), from it on (``tp``, ``fp``) and in all."""
+    c = _by_score(df, positive, score, [F.col(b) for b in by]).withColumn("neg", F.col("n") - F.col("pos"))
     from_ = lambda v: F.col(f"all_{v}") - F.col(f"upto_{v}") + F.col(v)
-    return cumulative(c, "score", ["pos", "neg"]).withColumns({"tp": from_("pos"), "fp": from_("neg")})
+    return cumulative(c, "score", ["pos", "neg"], by).withColumns({"tp": from_("pos"), "fp": from_("neg")})
 
 
 def roc_curve(df: DataFrame, positive: Column, score: Column) -> DataFrame:
@@ -177,6 +183,41 @@ def roc_curve(df: DataFrame, positive: Column, score: Column) -> DataFrame:
     return _from_highest(df, positive, score).select(F.col("score").alias("threshold"), rate("tp", "all_pos").alias("tpr"), rate("fp", "all_neg").alias("fpr"))
 
 
+def roc_curve_ovr(df: DataFrame, truth: str, classes: list, scores: list[str]) -> DataFrame:
+    """(label, threshold, tpr, fpr): the curve of each class against the rest, and ``micro`` over all pairs of row and class."""
+    pairs = one_against_rest(df, truth, classes, scores)
+    both = pairs.withColumn("label", F.explode(F.array("label", F.lit("micro"))))
+    rate = lambda a, b: half_up(F.try_divide(F.col(a), F.col(b)))
+    points = _from_highest(both, F.col("is"), F.col("score"), ["label"])
+    return points.select("label", F.col("score").alias("threshold"), rate("tp", "all_pos").alias("tpr"), rate("fp", "all_neg").alias("fpr"))
+
+
+def by_fold(df: DataFrame, task: str, truth: str, pred: str, fold: str = "fold") -> DataFrame:
+    """(fold, metric, value) in one pass over all folds; classes are weighted by support, rows without truth or prediction don't count."""
+    y, p = F.col(truth), F.col(pred)
+    seen = df.where(y.isNotNull() & p.isNotNull()).withColumn("_f", F.col(fold))
+    if task == "regression":
+        gap = y - p
+        wide = seen.groupBy(F.col("_f").alias("fold")).agg(
+            F.sqrt(F.avg(gap * gap)).alias("rmse"), F.avg(F.abs(gap)).alias("mae"),
+            (1 - F.try_divide(F.avg(gap * gap), F.var_pop(y))).alias("r2"),
+        )
+        names = ["rmse", "mae", "r2"]
+    else:
+        cells = seen.groupBy("_f", y.alias("y"), p.alias("p")).agg(F.count("*").alias("n"))
+        sides = F.array(
+            F.struct(F.col("y").alias("c"), F.col("n").alias("support"), F.lit(0).cast("long").alias("predicted"), F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0).alias("hit")),
+            F.struct(F.col("p").alias("c"), F.lit(0).cast("long").alias("support"), F.col("n").alias("predicted"), F.lit(0).cast("long").alias("hit")),
+        )
+        each = cells.select("_f", F.inline(sides)).groupBy("_f", "c").agg(*(F.sum(v).alias(v) for v in ("support", "predicted", "hit")))
+        precision, recall = ratio(F.col("hit"), F.col("predicted")), ratio(F.col("hit"), F.col("support"))
+        f1 = ratio(2.0 * F.col("hit"), F.col("predicted") + F.col("support"))
+        mean = lambda v: F.sum(v * F.col("support")) / F.sum("support")
+        wide = each.groupBy(F.col("_f").alias("fold")).agg((F.sum("hit") / F.sum("support")).alias("accuracy"), mean(precision).alias("precision"), mean(recall).alias("recall"), mean(f1).alias("f1"))
+        names = ["accuracy", "precision", "recall", "f1"]
+    return wide.select("fold", F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in names))))
+
+
 def pr_curve(df: DataFrame, positive: Column, score: Column) -> DataFrame:
     """(threshold, precision, recall, step) for every distinct score; the steps add up to the average precision."""
     points = _from_highest(df, positive, score)

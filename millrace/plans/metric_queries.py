@@ -64,13 +64,17 @@ def _(t):
     return metrics.auc(predicted(t), F.col("y") == 1, F.col("s"))
 
 
-OVR = "o AS (SELECT o_orderstatus AS y, " + ", ".join(f"round({unit_sql(c + ':', 'o_orderkey')}, 3) AS s{n}" for n, c in enumerate("FOP")) + " FROM orders), x AS (" + " UNION ALL ".join(f"SELECT '{c}' AS label, y = '{c}' AS y, s{n} AS s FROM o" for n, c in enumerate("FOP")) + ")"
+OVR = "o AS (SELECT o_orderstatus AS y, " + ", ".join(f"{unit_sql(c + ':', 'o_orderkey')} AS s{n}" for n, c in enumerate("FOP")) + " FROM orders), x AS (" + " UNION ALL ".join(f"SELECT '{c}' AS label, y = '{c}' AS y, s{n} AS s FROM o" for n, c in enumerate("FOP")) + ")"
+
+
+def scored(t):
+    """Each order's status and a score for each of three statuses."""
+    return t("orders").select(F.col("o_orderstatus").alias("y"), *(hash_unit(F.col("o_orderkey"), f"{c}:").alias(f"s{n}") for n, c in enumerate("FOP")))
 
 
 @query("metric_auc_ovr", f"WITH {OVR} SELECT 'macro' AS average, round(avg(auc), 6) AS auc FROM (" + " UNION ALL ".join("SELECT * FROM " + AUC.format(y="y", table=f"x WHERE label = '{c}'") for c in "FOP") + ") UNION ALL SELECT 'micro', auc FROM " + AUC.format(y="y", table="x"))
 def _(t):
-    o = t("orders").select(F.col("o_orderstatus").alias("y"), *(F.round(hash_unit(F.col("o_orderkey"), f"{c}:"), 3).alias(f"s{n}") for n, c in enumerate("FOP")))
-    return metrics.auc_ovr(o, "y", list("FOP"), ["s0", "s1", "s2"])
+    return metrics.auc_ovr(scored(t), "y", list("FOP"), ["s0", "s1", "s2"])
 
 
 CLIPPED = "greatest(1e-15, least(1 - 1e-15, s))"
@@ -116,17 +120,22 @@ def _(t):
     return metrics.confusion(multi(t), "y", "yhat", "all")
 
 
-CURVE = f"WITH {PREDICTED}, c AS (SELECT round(s, 2) AS s, count(*) AS n, count(*) FILTER (y = 1) AS pos FROM p GROUP BY 1), k AS (SELECT s, sum(pos) OVER w AS tp, sum(n - pos) OVER w AS fp, sum(pos) OVER () AS allp, sum(n - pos) OVER () AS alln FROM c WINDOW w AS (ORDER BY s DESC ROWS UNBOUNDED PRECEDING))"
+CURVE = f"WITH {PREDICTED}, c AS (SELECT s, count(*) AS n, count(*) FILTER (y = 1) AS pos FROM p GROUP BY 1), k AS (SELECT s, sum(pos) OVER w AS tp, sum(n - pos) OVER w AS fp, sum(pos) OVER () AS allp, sum(n - pos) OVER () AS alln FROM c WINDOW w AS (ORDER BY s DESC ROWS UNBOUNDED PRECEDING))"
 
 
 @query("roc_curve", CURVE + " SELECT s AS threshold, round(tp::DOUBLE / allp, 6) AS tpr, round(fp::DOUBLE / alln, 6) AS fpr FROM k")
 def _(t):
-    return metrics.roc_curve(predicted(t), F.col("y") == 1, F.round("s", 2))
+    return metrics.roc_curve(predicted(t), F.col("y") == 1, F.col("s"))
 
 
 @query("pr_curve", CURVE + ", q AS (SELECT s, tp::DOUBLE / (tp + fp) AS precision, tp::DOUBLE / allp AS recall FROM k) SELECT s AS threshold, round(precision, 6) AS precision, round(recall, 6) AS recall, round((recall - coalesce(lag(recall) OVER (ORDER BY s DESC), 0)) * precision, 9) AS step FROM q")
 def _(t):
-    return metrics.pr_curve(predicted(t), F.col("y") == 1, F.round("s", 2))
+    return metrics.pr_curve(predicted(t), F.col("y") == 1, F.col("s"))
+
+
+@query("roc_curve_ovr", f"WITH {OVR}, b AS (SELECT * FROM x UNION ALL SELECT 'micro', y, s FROM x), c AS (SELECT label, s, count(*) AS n, count(*) FILTER (y) AS pos FROM b GROUP BY label, s), k AS (SELECT label, s, sum(pos) OVER w AS tp, sum(n - pos) OVER w AS fp, sum(pos) OVER (PARTITION BY label) AS allp, sum(n - pos) OVER (PARTITION BY label) AS alln FROM c WINDOW w AS (PARTITION BY label ORDER BY s DESC ROWS UNBOUNDED PRECEDING)) SELECT label, s AS threshold, round(tp::DOUBLE / nullif(allp, 0), 6) AS tpr, round(fp::DOUBLE / nullif(alln, 0), 6) AS fpr FROM k")
+def _(t):
+    return metrics.roc_curve_ovr(scored(t), "y", list("FOP"), ["s0", "s1", "s2"])
 
 
 FOLDED = "f AS (SELECT event_type AS metric, user_id % 5 AS fold, avg(value) AS value FROM events GROUP BY 1, 2)"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from millrace.functions.columns import half_up
 from millrace.operators import metrics, models
 from millrace.plans.registry import query
+from millrace.plans.table_queries import ranked_sql
 
 ROWS = ", ".join(f"('{e.name}', '{e.tasks[0]}', {e.priority}, [{', '.join(chr(39) + t + chr(39) for t in e.tags)}], {e.least}, {n})" for n, e in enumerate(models.REGISTRY.values()))
 REGISTRY = f"r(name, task, priority, tags, least, place) AS (VALUES {ROWS})"
@@ -59,6 +60,20 @@ def _(t):
     return out.select("l_orderkey", "l_linenumber", "l_partkey", half_up(F.col("prediction"), 4).alias("prediction"))
 
 
+FOLDED = "WITH " + ranked_sql("orders", "o_orderkey") + """, f AS (SELECT o_totalprice AS y, o_custkey::DOUBLE AS x, rk % 5 AS fold FROM r),
+l AS (SELECT k.fold, regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM f JOIN (SELECT DISTINCT fold FROM f) k ON f.fold <> k.fold GROUP BY k.fold),
+g AS (SELECT fold, y, y - (a * x + b) AS d FROM f JOIN l USING (fold)),
+v AS (SELECT fold, sqrt(avg(d * d)) AS rmse, avg(abs(d)) AS mae, 1 - avg(d * d) / var_pop(y) AS r2 FROM g GROUP BY fold),
+m AS (SELECT 'rmse' AS metric, rmse AS value FROM v UNION ALL SELECT 'mae', mae FROM v UNION ALL SELECT 'r2', r2 FROM v)"""
+
+
+@query("cross_validate", FOLDED + " SELECT metric, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS std, round(avg(value) - 2.776 * stddev_samp(value) / sqrt(5), 4) AS low, round(avg(value) + 2.776 * stddev_samp(value) / sqrt(5), 4) AS high, count(*) AS n FROM m GROUP BY metric")
+def _(t):
+    d = t("orders").select("o_orderkey", F.col("o_custkey").cast("double").alias("x"), F.col("o_totalprice").cast("double").alias("y"))
+    table = models.cross_validated(d, "linear_regression", ["x"], "y", "o_orderkey")
+    return table.select("metric", *(half_up(F.col(c), 4).alias(c) for c in ("mean", "std", "low", "high")), "n")
+
+
 @query("stacking")
 def _(t):
     d = labelled(t)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.functions.columns import half_up
+from millrace.functions.columns import half_up, hash_int
 from millrace.operators import augment, bench_compare, clean, serving, text
 from millrace.plans.registry import query
 from millrace.sources import modality, readers
@@ -134,9 +134,25 @@ def _(t):
     return augment.text_with(t("documents").select("doc_id", F.expr(SYNONYM_TEXT).alias("text")), "text", "doc_id", "synonym")
 
 
-@query("augment_union_counts", "SELECT generated, count(*) AS n FROM (SELECT unnest([false, true]) AS generated FROM documents) GROUP BY generated")
+def befalls(name: str) -> str:
+    return f"({int_sql(name + '?:')} / 4294967296.0::DOUBLE < 0.1 AND len(w) >= 2)"
+
+
+#: The four operations one after the other, each on a tenth of the rows.
+CHAIN = f"""{WORDS}, p1 AS (SELECT doc_id, w, {int_sql('swap1:')} % len(w) + 1 AS i, {int_sql('swap2:')} % len(w) + 1 AS j FROM w),
+a1 AS (SELECT doc_id, CASE WHEN {befalls('swap')} THEN list_transform(w, lambda x, k: CASE WHEN k = i THEN w[j] WHEN k = j THEN w[i] ELSE x END) ELSE w END AS w FROM p1),
+s(word, o) AS (VALUES """ + ", ".join(f"('{w}', [{', '.join(chr(39) + x + chr(39) for x in o)}])" for w, o in augment.SYNONYMS.items()) + f"""), p2 AS (SELECT doc_id, w, {int_sql('syn:')} % len(w) AS i FROM a1),
+a2 AS (SELECT doc_id, CASE WHEN {befalls('synonym')} AND o IS NOT NULL THEN list_concat(list_concat(w[1:i], [o[{int_sql('pick:')} % len(o) + 1]]), w[i+2:]) ELSE w END AS w FROM p2 LEFT JOIN s ON s.word = lower(w[i+1])),
+p3 AS (SELECT doc_id, w, {int_sql('ins:')} % (len(w) + 1) AS i, (ARRAY[""" + ", ".join(f"'{x}'" for x in augment.INSERTED) + f"""])[{int_sql('word:')} % {len(augment.INSERTED)} + 1] AS x FROM a2),
+a3 AS (SELECT doc_id, CASE WHEN {befalls('insert')} THEN list_concat(list_concat(w[1:i], [x]), w[i+1:]) ELSE w END AS w FROM p3),
+p4 AS (SELECT doc_id, w, {int_sql('del:')} % len(w) + 1 AS i FROM a3),
+a4 AS (SELECT doc_id, array_to_string(CASE WHEN {befalls('delete')} AND len(w) > 2 THEN list_concat(w[1:i-1], w[i+1:]) ELSE w END, ' ') AS text FROM p4)"""
+
+
+@query("augment_union_counts", f"WITH {CHAIN} SELECT generated, count(*) AS n, sum({int_sql('', 'text')})::BIGINT AS digest FROM (SELECT false AS generated, text FROM documents UNION ALL SELECT true, text FROM a4) GROUP BY generated")
 def _(t):
-    return augment.texts(t("documents").select("doc_id", "text"), "text", "doc_id").groupBy("generated").agg(F.count("*").alias("n"))
+    both = augment.texts(t("documents").select("doc_id", "text"), "text", "doc_id")
+    return both.groupBy("generated").agg(F.count("*").alias("n"), F.sum(hash_int(F.col("text"), "")).alias("digest"))
 
 
 # Detection

@@ -25,3 +25,22 @@ def test_queries_fit_on_five_folds(spark, monkeypatch, name):
     with pytest.raises(StopIteration) as asked:
         catalogue.QUERIES[name](spark, SF_DIR)
     assert asked.value.value == 5
+
+
+def test_metrics_of_each_fold_equal_a_plain_count(spark):
+    from millrace.operators import metrics
+
+    rows = [(n % 3, "abc"[n * 7 % 3], "abc"[n * 5 % 4 % 3]) for n in range(60)] + [(0, None, "a"), (1, "b", None)]
+    got = {(r["fold"], r["metric"]): r["value"] for r in metrics.by_fold(spark.createDataFrame(rows, "fold int, y string, p string"), "classification", "y", "p").collect()}
+    for fold in range(3):
+        pairs = [(y, p) for f, y, p in rows if f == fold and y and p]
+        mean = {"accuracy": sum(y == p for y, p in pairs) / len(pairs), "precision": 0.0, "recall": 0.0, "f1": 0.0}
+        for c in {y for y, _ in pairs}:
+            hit, support, predicted = sum(y == p == c for y, p in pairs), sum(y == c for y, _ in pairs), sum(p == c for _, p in pairs)
+            share = support / len(pairs)
+            mean["precision"] += share * (hit / predicted if predicted else 0)
+            mean["recall"] += share * hit / support
+            mean["f1"] += share * 2 * hit / (predicted + support)
+        for metric, value in mean.items():
+            assert got[fold, metric] == pytest.approx(value)
+    assert metrics.by_fold(spark.createDataFrame([], "fold int, y double, p double"), "regression", "y", "p").count() == 0
