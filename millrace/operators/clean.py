@@ -12,14 +12,13 @@ from pyspark.sql import functions as F
 
 from millrace.functions.columns import half_up, only_row
 from millrace.operators.quality import fences
+from millrace.operators.ranges import quantiles
 
 
 def statistic(column: str, strategy: str) -> Column:
-    """The aggregate that an imputation strategy fills in."""
+    """The aggregate that an imputation strategy fills in; the median is none (``fit_fill``)."""
     if strategy in ("mean", "auto"):
         return F.avg(column)
-    if strategy == "median":
-        return F.percentile(F.col(column).cast("double"), F.lit(0.5))
     if strategy == "mode":
         # The most frequent value, of ties the least.
         return F.mode(column, True)
@@ -27,6 +26,8 @@ def statistic(column: str, strategy: str) -> Column:
 
 
 def fit_fill(df: DataFrame, columns: list[str], strategy: str) -> Column:
+    if strategy == "median":
+        return only_row(quantiles(df, columns, [0.5]).select(*(F.col(c)[0].alias(c) for c in columns)))
     return only_row(df.agg(*(statistic(c, strategy).alias(c) for c in columns)))
 
 

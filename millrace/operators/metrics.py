@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import half_up, only_row
+from millrace.operators.ranges import cumulative, quantiles
 
 EPS = 1e-15
 #: Primary metric and direction by kind of task.
@@ -22,8 +23,6 @@ T95 = [
     2.120, 2.110, 2.101, 2.093, 2.086, 2.080, 2.074, 2.069, 2.064, 2.060, 2.056, 2.052, 2.048, 2.045, 2.042,
 ]
 Z95 = 1.960
-#: Ranges that ordered scores are cut into.
-RANGES = 4096
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -85,30 +84,6 @@ def _by_score(df: DataFrame, positive: Column, score: Column, by: list[Column] =
     return df.groupBy(*by, score.alias("score")).agg(F.count("*").alias("n"), F.sum(positive.cast("long")).alias("pos"))
 
 
-def cumulative(df: DataFrame, order: str, values: list[str], by: list[str] = []) -> DataFrame:
-    """``df`` with ``upto_v`` (the sum of v over rows of ``order`` as low or lower) and ``all_v`` for each value.
-
-    Orders may be as many as rows, so no task walks them all: they are cut into
-    ``RANGES`` ranges, the ranges' sums accumulate, and rows accumulate within
-    their range.
-    """
-    ends = only_row(df.agg(F.min(order).alias("lo"), F.max(order).alias("hi")))
-    spread = F.nullif(ends["hi"] - ends["lo"], F.lit(0.0))
-    placed = df.withColumn("_range", F.coalesce(F.floor((F.col(order) - ends["lo"]) / spread * RANGES), F.lit(0)).cast("int"))
-    sums = placed.groupBy(*by, "_range").agg(*(F.sum(v).alias(v) for v in values))
-    along, every = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, 0), W.partitionBy(*by)
-    before = sums.select(
-        *(F.col(c).alias(f"_by{n}") for n, c in enumerate(by)), F.col("_range").alias("_r"),
-        *(x for v in values for x in ((F.sum(v).over(along) - F.col(v)).alias(f"_before_{v}"), F.sum(v).over(every).alias(f"all_{v}"))),
-    )
-    same = F.col("_range") == F.col("_r")
-    for n, c in enumerate(by):
-        same = same & F.col(c).eqNullSafe(F.col(f"_by{n}"))
-    inner = W.partitionBy(*by, "_range").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    held = placed.withColumns({f"_in_{v}": F.sum(v).over(inner) for v in values})
-    return held.join(before, same).select(*df.columns, *((F.col(f"_before_{v}") + F.col(f"_in_{v}")).alias(f"upto_{v}") for v in values), *(f"all_{v}" for v in values))
-
-
 def auc(df: DataFrame, positive: Column, score: Column, by: list[Column] = [], names: list[str] = []) -> DataFrame:
     """(by..., auc): the chance that a positive's score is above a negative's, ties counting half."""
     c = _by_score(df, positive, score, by).withColumn("neg", F.col("n") - F.col("pos"))
@@ -152,12 +127,13 @@ def regression(df: DataFrame, truth: str, pred: str) -> DataFrame:
     y, p = F.col(truth).cast("double"), F.col(pred).cast("double")
     d = y - p
     total = F.var_pop(y) * F.count(y)
+    middle = only_row(quantiles(df.select(F.abs(d).alias("error")), ["error"], [0.5]))["error"][0]
     return df.agg(
         half_up(F.avg(F.abs(d))).alias("mae"), half_up(F.avg(d * d)).alias("mse"), half_up(F.sqrt(F.avg(d * d))).alias("rmse"),
         half_up(1 - F.try_divide(F.sum(d * d), total)).alias("r2"),
         half_up(F.coalesce(100 * F.avg(F.when(y != 0, F.abs(d / F.nullif(y, F.lit(0.0))))), F.lit(float("inf")))).alias("mape"),
-        half_up(F.percentile(F.abs(d), F.lit(0.5))).alias("median_ae"), half_up(1 - F.try_divide(F.var_pop(d), F.var_pop(y))).alias("explained_variance"),
-    )
+        half_up(1 - F.try_divide(F.var_pop(d), F.var_pop(y))).alias("explained_variance"),
+    ).select("mae", "mse", "rmse", "r2", "mape", half_up(middle).alias("median_ae"), "explained_variance")
 
 
 def losses(df: DataFrame, truth: str, score: str) -> DataFrame:

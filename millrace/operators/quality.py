@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.columns import half_up, only_row
 from millrace.operators.profile import melted
+from millrace.operators.ranges import quantiles
 
 NAMES = ["severity", "category", "feature", "n", "ratio"]
 #: Fixed values of the rules.
@@ -54,7 +55,7 @@ def constant(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def fences(df: DataFrame, columns: list[str], width: float = FENCE) -> DataFrame:
     """One row with ``lo_c`` and ``hi_c`` for each column, from exact quartiles; null where the quartiles meet."""
-    quartiles = df.agg(*(F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in columns))
+    quartiles = quantiles(df, columns, [0.25, 0.75])
     out = []
     for c in columns:
         low, high = F.col(c)[0], F.col(c)[1]

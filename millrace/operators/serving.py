@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import half_up
+from millrace.operators.ranges import numbered
 
 
 def request_metrics(df: DataFrame, failed: str, duration: str) -> DataFrame:
@@ -24,9 +25,22 @@ def errors_by(df: DataFrame, kind: str) -> DataFrame:
 
 
 def rolling_mean(df: DataFrame, value: str, order: list[str], width: int = 1000, by: list[str] = []) -> DataFrame:
-    """``df`` with the mean of the last ``width`` rows, in each group of ``by``."""
-    frame = W.partitionBy(*by).orderBy(*order).rowsBetween(1 - width, 0)
-    return df.withColumn("rolling_mean", F.avg(value).over(frame))
+    """``df`` with the mean of the last ``width`` rows, in each group of ``by``; the first of ``order`` is a number or a time.
+
+    Ranks cut each group into blocks of ``width`` rows. The rows in view are the
+    block's own up to here and the ones that the block before has beyond the same
+    place, so two running sums give the mean, whatever the width, and a group's
+    blocks are spread over all tasks.
+    """
+    home = F.floor(F.col("_rank") / width)
+    dealt = numbered(df, order, by).select("*", F.explode(F.array(home, home + 1)).alias("_block")).withColumn("_own", F.col("_block") == home)
+    dealt = dealt.repartition(*by, "_block")
+    half, whole = W.partitionBy(*by, "_block", "_own"), W.partitionBy(*by, "_block").orderBy("_rank")
+    upto, after = half.orderBy("_rank").rowsBetween(W.unboundedPreceding, 0), half.orderBy(F.desc("_rank")).rowsBetween(W.unboundedPreceding, -1)
+    total = lambda w: F.struct(F.coalesce(F.sum(F.col(value).cast("double")).over(w), F.lit(0.0)).alias("s"), F.count(value).over(w).alias("n"))
+    summed = dealt.withColumns({"_upto": total(upto), "_after": total(after)}).withColumn("_before", F.lag("_after", width).over(whole))
+    both = lambda x: F.col(f"_upto.{x}") + F.coalesce(F.col(f"_before.{x}"), F.lit(0))
+    return summed.where("_own").select(*df.columns, F.try_divide(both("s"), both("n")).alias("rolling_mean"))
 
 
 def rate_limited(df: DataFrame, client: str, time: str, key: str, limit: int, window_s: float) -> DataFrame:

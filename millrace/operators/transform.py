@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.columns import only_row
 from millrace.operators import clean
+from millrace.operators.ranges import quantiles
 
 LEAST_STD = 1e-8
 
@@ -44,14 +45,12 @@ class RangeScaler:
     at: Column | None = field(default=None, repr=False)
 
     def fit(self, df: DataFrame) -> RangeScaler:
-        def stats(c: str) -> Column:
-            x = F.col(c).cast("double")
-            if self.kind == "minmax":
-                return F.struct(F.min(x).alias("zero"), (F.max(x) - F.min(x)).alias("unit"))
-            q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-            return F.struct(q[1].alias("zero"), (q[2] - q[0]).alias("unit"))
-
-        self.at = only_row(df.agg(*(stats(c).alias(c) for c in self.columns)))
+        if self.kind == "minmax":
+            low, high = (lambda c: F.min(c).cast("double")), (lambda c: F.max(c).cast("double"))
+            self.at = only_row(df.agg(*(F.struct(low(c).alias("zero"), (high(c) - low(c)).alias("unit")).alias(c) for c in self.columns)))
+        else:
+            q = quantiles(df, self.columns, [0.25, 0.5, 0.75])
+            self.at = only_row(q.select(*(F.struct(F.col(c)[1].alias("zero"), (F.col(c)[2] - F.col(c)[0]).alias("unit")).alias(c) for c in self.columns)))
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import nan_to_null
-from millrace.operators import augment, bench_compare, clean, ensemble, features, metrics, models, profile, quality, serving, split, text, transform
+from millrace.operators import augment, bench_compare, clean, ensemble, features, metrics, models, profile, quality, ranges, serving, split, text, transform
 from millrace.sources import modality, readers
 from millrace.streaming import events as stream
 
@@ -219,7 +219,7 @@ def test_formatting(spark):
 
 def test_cumulative_in_groups(spark):
     rows = [(g, float(s), s + 1) for g in ("a", None) for s in range(10)] + [("one", 5.0, 7)]
-    got = metrics.cumulative(spark.createDataFrame(rows, "g string, s double, v long"), "s", ["v"], ["g"]).collect()
+    got = ranges.cumulative(spark.createDataFrame(rows, "g string, s double, v long"), "s", ["v"], ["g"]).collect()
     assert {(r.g, r.s): (r.upto_v, r.all_v) for r in got} == {(g, float(s)): ((s + 1) * (s + 2) // 2, 55) for g in ("a", None) for s in range(10)} | {("one", 5.0): (7, 7)}
 
 
