@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
+import json
 from dataclasses import dataclass
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml import regression as R
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import HashingTF, IDF, PCA, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -150,6 +154,25 @@ def cross_validated(df: DataFrame, name: str, features: list[str], label: str, k
     return metrics.cv_summary(metrics.by_fold(out, task, label, "prediction"))
 
 
+def searched(df: DataFrame, name: str, grid: dict[str, list], features: list[str], label: str, key: str, k: int = 5) -> DataFrame:
+    """(params, metric, score, best): every combination of ``grid``'s values, by the mean over folds of RMSE or F1.
+
+    The folds are the seeded ones of ``folds``; of equal scores the combination named first is best.
+    """
+    task = REGISTRY[name].tasks[0]
+    folded = folds(df, key, k, SEED, label if task == "classification" else None)
+    pipe = pipeline(name, features, label)
+    combos = [dict(zip(grid, values, strict=True)) for values in itertools.product(*grid.values())]
+    model = pipe.getStages()[-1]
+    maps = [{model.getParam(p): v for p, v in c.items()} for c in combos]
+    metric, judge = ("rmse", RegressionEvaluator(labelCol=label, metricName="rmse")) if task == "regression" else ("f1", MulticlassClassificationEvaluator(labelCol=label, metricName="f1"))
+    judged = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=judge, numFolds=k, foldCol="fold", parallelism=4, seed=SEED).fit(folded)
+    scores = [float(v) for v in judged.avgMetrics]
+    best = (max if judge.isLargerBetter() else min)(range(len(scores)), key=lambda n: scores[n])
+    rows = [(json.dumps(c), metric, v, n == best) for n, (c, v) in enumerate(zip(combos, scores, strict=True))]
+    return df.sparkSession.createDataFrame(rows, "params string, metric string, score double, best boolean")
+
+
 def stacked(df: DataFrame, bases: list[str], meta: str, features: list[str], label: str, key: str, k: int = 5) -> PipelineModel:
     """The meta model on the bases' out-of-fold predictions."""
     table = df.select(key, label)
