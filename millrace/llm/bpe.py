@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.text import fresh, others, quoted
+from millrace.llm.text import others, quoted
 
 #: What splits text into pieces before merging: the vocabulary's own pattern, frequent pieces first and without backtracking.
 PIECES = r" ?\p{L}++|'(?:[stmd]|re|ve|ll)| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"
@@ -190,21 +190,24 @@ def _with(batch: pa.RecordBatch, keep: list[str], new: dict[str, pa.Array]) -> p
 
 
 def _mapped(df: DataFrame, column: str, fields: str, make) -> DataFrame:
-    """``df`` with the columns that ``make()(values)`` gives for the values of ``column``, batch by batch."""
+    """``df`` with the columns that ``make()(values)`` gives for the values of ``column``, batch by batch.
+
+    Columns go by numbered names meanwhile, as mapInArrow reads a dot in a name as a step into a struct.
+    """
     new = [f.split(":")[0] for f in fields.split(",")]
     keep = [c for c in df.columns if c.lower() not in new]
-    source = column if column in keep else fresh(df, "_value")
-    data = df if column in keep else df.withColumnRenamed(column, source)
+    plain = [f"c{n}" for n in range(len(keep))]
+    data = df.select(F.col(quoted(column)).alias("value"), *(F.col(quoted(c)).alias(n) for c, n in zip(keep, plain, strict=True)))
 
     def run(batches):
         f = make()
         for batch in batches:
-            values = batch.column(source).to_pylist()
+            values = batch.column("value").to_pylist()
             for a, b in _steps(values):
-                yield _with(batch.slice(a, b - a), keep, f(values[a:b]))
+                yield _with(batch.slice(a, b - a), plain, f(values[a:b]))
 
-    schema = ", ".join([f"{quoted(c)} {df.schema[c].dataType.simpleString()}" for c in keep] + [f.replace(":", " ") for f in fields.split(",")])
-    return data.select(*[quoted(c) for c in dict.fromkeys([*keep, source])]).mapInArrow(run, schema)
+    schema = ", ".join([f"{n} {df.schema[c].dataType.simpleString()}" for c, n in zip(keep, plain, strict=True)] + [f.replace(":", " ") for f in fields.split(",")])
+    return data.mapInArrow(run, schema).select(*(F.col(n).alias(c) for c, n in zip(keep, plain, strict=True)), *new)
 
 
 def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:

@@ -8,8 +8,8 @@ fingerprint ``block:signature:signature`` holds the signatures at block sizes
 compared by edit distance; others have likeness 0.
 
 Defined results: a null text counts as empty; the empty text's fingerprint is
-``1::``; equal texts have equal fingerprints and likeness 1; an empty table
-gives an empty result. In ``edited_pairs``, rows of one doc_id stand in the
+``1::``; equal texts have equal fingerprints and likeness 1; texts of any length
+are read whole, with larger chunks; an empty table gives an empty result. In ``edited_pairs``, rows of one doc_id stand in the
 order of their texts, rows without doc_id after all others, and a lone row is
 its own next; columns other than the key and the text aren't read.
 """
@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.text import others, quoted
+
 WINDOW = 7
 MOST_CHUNKS = 64
 #: Signatures must share so many characters in a row (short ones a quarter of theirs); else they are alike by chance.
@@ -111,7 +113,7 @@ def likeness(a: str, b: str) -> float:
 def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
     """``df`` with the fingerprint of each text."""
     made = F.arrow_udf(lambda a: pa.array([fingerprint(t.as_py()) for t in a], pa.string()), "string")
-    return df.select(*[c for c in df.columns if c.lower() != out.lower()], made(F.col(text)).alias(out))
+    return df.select(*others(df, out), made(F.col(quoted(text))).alias(out))
 
 
 def _buckets(ids: DataFrame, parts: int) -> tuple[list[int], dict[int, int | None]]:
@@ -166,7 +168,7 @@ def edited_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     range; only the first text of each range goes to two places.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = df.select(F.col(quoted(key)).cast("long").alias("doc_id"), F.col(quoted(text)).alias("text"))
     cuts, heads = _buckets(docs.select("doc_id"), parts)
     order = sorted(heads)
     before = {b: order[n - 1] for n, b in enumerate(order)}  # the first bucket follows the last

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import boosting
 from millrace.llm.quality_rules import MEASURES, measured
-from millrace.llm.text import fresh, others
+from millrace.llm.text import fresh, others, quoted
 
 #: Labelled rows that the ensemble learns from, about.
 SAMPLE = 20_000
@@ -119,11 +119,12 @@ def lasso(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 600) -> tup
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", label: str = "quality", text: str = "text") -> Ensemble:
     """The ensemble for ``label`` (0 or 1) from labelled rows where ``learn`` (over the key) holds."""
-    able = labels.where(learn & F.col(label).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("double").alias("y"))
+    able = labels.where(learn & F.col(quoted(label)).isNotNull()).select(F.col(quoted(key)).alias("k"), F.col(quoted(label)).cast("double").alias("y"))
     unit = F.pmod(F.xxhash64(F.lit(7), "k"), F.lit(1 << 30)) / float(1 << 30)
     chosen = able.where(unit < SAMPLE / max(1, able.count()))
     # SAMPLE bounds what is broadcast; texts stay where they are.
-    rows = statistics(docs.join(F.broadcast(chosen), F.col(key) == F.col("k")).select("k", "y", F.col(text).alias("text")))
+    texts = docs.select(F.col(quoted(key)).alias("doc"), F.col(quoted(text)).alias("text"))
+    rows = statistics(texts.join(F.broadcast(chosen), F.col("doc") == F.col("k")).select("k", "y", "text"))
     got = np.array(sorted(tuple(r) for r in rows.select("k", "y", "statistics.*").collect()), float).reshape(-1, 2 + len(STATISTICS))
     y, x = got[:, 1], got[:, 2:]
     if not len(y):

@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, components, fingerprints, language, language_model, mixing, near_dedup, pii, quality_model, quality_rules, secrets, shingles
+from millrace.llm import bpe, components, fingerprints, infill, language, language_model, mixing, near_dedup, pii, quality_model, quality_rules, secrets, shingles
 from millrace.llm.queries import ORACLES, QUERIES
 from millrace.llm.text import FOLD_BYTES, fold_is
 
@@ -158,7 +158,7 @@ def test_mixing_odd(odd, none):
 
 INNER = [
     "_id", "_of", "_found", "_measured", "_statistics", "_decoded", "_value", "_place", "_bits", "_key", "_shard", "_split", "_shards", "_words", "_s", "_source", "_shard_size", "_end",
-    "_turn", "__of", "key", "place", "words", "letters", "symbols", "capitals", "shard", "again", "row", "of", "rid", "h", "a b",
+    "_turn", "__of", "key", "place", "words", "letters", "symbols", "capitals", "shard", "again", "row", "of", "rid", "h", "a b", "a.b", "k", "y", "value", "c0", "doc",
 ]
 
 
@@ -166,7 +166,7 @@ INNER = [
     lambda df: quality_rules.quality_rules(df), lambda df: secrets.scan(df), lambda df: language.predict(df, language.fit(df, F.lit(True))), lambda df: near_dedup.near_duplicates(df),
     lambda df: near_dedup.representatives(df), lambda df: quality_model.predict(df, quality_model.Ensemble(0.5, ())), lambda df: pii.scan(df, pii.train(600)), lambda df: bpe.encode(df, BPE_PATH),
     lambda df: bpe.decode(bpe.encode(df, BPE_PATH), BPE_PATH), lambda df: bpe.round_trip(df, BPE_PATH), lambda df: mixing.mix(df), lambda df: mixing.materialize(mixing.mix(df)),
-    lambda df: fingerprints.with_fingerprint(df),
+    lambda df: fingerprints.with_fingerprint(df), lambda df: infill.fill_in_middle(df),
 ])
 def test_columns_of_inner_names_survive(spark, operator):
     df = spark.createDataFrame([(n, f"some words of text number {n} and more of it", "en", "s", 0) for n in range(4)], SCHEMA)
@@ -175,6 +175,18 @@ def test_columns_of_inner_names_survive(spark, operator):
     assert got and all(r[n] == f"{n} of {r['doc_id']}" for r in got for n in INNER)
 
 
+def test_fits_and_pairs_read_their_columns_alone(spark):
+    """Other columns, whatever their names, change nothing."""
+    docs = spark.createDataFrame([(n, f"some words of text number {n} and more of it!{'!' * (n % 3)}", "en", "s", 0) for n in range(40)], SCHEMA)
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    more = lambda df: df.select("*", *(F.lit("mine").alias(n) for n in INNER if n not in df.columns))
+    assert quality_model.fit(more(docs), more(labels), F.lit(True)) == quality_model.fit(docs, labels, F.lit(True))
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(fingerprints.edited_pairs(more(docs))) == rows(fingerprints.edited_pairs(docs))
+    edges = spark.createDataFrame([(1, 2), (2, 3), (7, 8)], "u long, v long")
+    assert rows(components.components(more(edges))) == rows(components.components(edges))
+
+
 def test_an_unknown_policy_is_refused():
     with pytest.raises(ValueError):
         quality_rules.passes("v99")
