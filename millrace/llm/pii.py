@@ -1,18 +1,23 @@
 """Personal data by candidate generation and gradient boosting.
 
 Four base kinds have exact rules. Beside them, high-recall generators propose
-overlapping spans (digit groups, spelled-out addresses, account numbers);
-boosted trees score each by its format and by the words around it; a logistic
-calibration makes probabilities of the scores, and a threshold for each kind
-selects what else to redact. A selected span never touches a base span, and of
-selected spans that overlap the likeliest stays.
-
-The trees learn from made-up candidates, drawn with a fixed seed: the corpus
-has no labels for personal data. A candidate's label follows from its format
-and from what the words before it mean; those words are drawn from lists of
-their own, of which the features know some, and half of all candidates have
-nothing telling before them. Calibration, thresholds and the precision and
-recall in ``Detector.report`` each come from examples of their own.
+overlapping spans: digit groups, spelled-out addresses, account numbers, and
+what the base rules miss where numbers run together (every stretch of a card's
+length in a run of digits that fails as a whole, every prefix of a phone's
+length in a phone that goes on too long). Boosted trees score each candidate by
+its format and by what stands around it; a logistic calibration makes
+probabilities of the scores, and a threshold for each kind selects what else to
+redact. Overlaps are decided after scoring: base spans stay, and of selected
+spans that overlap the likeliest does.
+
+The corpus has no labels for personal data. The trees learn from made-up
+candidates, drawn with a fixed seed, and, if given, from ``hard_negatives``:
+candidates of a bounded sample of the corpus whose own check digits refute them.
+A made-up candidate's label follows from its format and from what the words
+before it mean; those words are drawn from lists of their own, of which the
+features know some, and half of all candidates have nothing telling before them.
+Calibration, thresholds and the precision and recall in ``Detector.report`` each
+come from examples of their own.
 
 Defined results: a null text counts as empty and has no spans; repeated rows
 give equal rows; texts of any length are scanned whole; equally likely spans
@@ -36,9 +41,11 @@ from millrace.llm import boosting
 from millrace.llm.text import others, quoted
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-MORE_KINDS = ("email_text", "phone_local", "ssn", "iban")
+MORE_KINDS = ("email_text", "phone_local", "ssn", "iban", "card_run", "phone_run")
 #: Made-up candidates: half teach the trees, a sixth each are for calibration, thresholds and the report. Thresholds are the least of this precision, and at least one half.
-EXAMPLES, PRECISION = 9000, 0.93
+EXAMPLES, PRECISION = 13_500, 0.93
+#: Texts that refuted candidates are drawn from, about, and candidates at most.
+NEGATIVE_TEXTS, NEGATIVES = 4_000, 2_000
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -94,6 +101,41 @@ GENERATORS = (
     ("ssn", re.compile(r"(?<![0-9])[0-9]{3}[\x20-][0-9]{2}[\x20-][0-9]{4}(?![0-9])")),
     ("iban", re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
 )
+GROUP = re.compile(r"[0-9]+")
+
+
+def card_runs(text: str):
+    """Stretches of whole digit groups, 13 to 19 digits in all, of runs that aren't a card as they stand."""
+    for m in CARD.finditer(text):
+        if m.end() - m.start() < 13:
+            continue
+        groups = [g.span() for g in GROUP.finditer(text, *m.span())]
+        if 13 <= sum(e - s for s, e in groups) <= 19 and luhn(digits_of(m[0])):
+            continue
+        for n, (start, _) in enumerate(groups):
+            digits = 0
+            for s, e in groups[n:]:
+                digits += e - s
+                if digits > 19:
+                    break
+                if digits >= 13:
+                    yield start, e
+
+
+def phone_runs(text: str):
+    """Prefixes of whole digit groups, 9 to 15 digits in all, of numbers with a plus sign that have more."""
+    for m in PHONE.finditer(text):
+        if len(digits_of(m[0])) <= 15:
+            continue
+        digits = 0
+        for g in GROUP.finditer(text, *m.span()):
+            digits += g.end() - g.start()
+            if digits > 15:
+                break
+            if digits >= 9:
+                yield m.start(), g.end()
+
+
 #: A spelled-out address spells its sign, in brackets or between spaces; texts without one have none, as the generator asks for it.
 SPELLED = re.compile(r"[\[(]\x20?(?:at|AT|arroba)\x20?[\])]|\x20(?:at|AT|arroba)\x20")
 #: What the last part of an address commonly is.
@@ -102,6 +144,10 @@ DIGIT = re.compile(r"[0-9]")
 PHONE_WORDS = re.compile(r"(?i)\b(?:tel|phone|call|mobile|cell|fax|contact|whatsapp|sms|ring|dial)")
 ID_WORDS = re.compile(r"(?i)\b(?:ssn|social|security|taxpayer|passport|iban|account|bank|konto|mail|write|reach|e-?mail)")
 OTHER_WORDS = re.compile(r"(?i)\b(?:order|isbn|issn|version|ver|no|part|item|page|model|serial|invoice|ref|score|date|year|ticket|sku|build|chapter|lat|total|price|lot|batch|catalogue|drawing|sold)\b")
+CARD_WORDS = re.compile(r"(?i)\b(?:card|visa|mastercard|amex|credit|debit|tarjeta|carte|karte|paid|payment|charge)")
+#: A number that goes on after a candidate, and an address of four numbers right after it.
+GOES_ON = re.compile(r"[\x20()./-]{0,2}[0-9]")
+NEXT_IP = re.compile(r"\x20[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9.])")
 #: Words that commonly stand before a place.
 PLACED = re.compile(r"(?i)(?:look|looks|looking|met|meet|arrived|arrive|are|is|was|be|sold|shop|buy|found|find|available|live|stay|more|us|here|visit|read|works?|people|site|store|listed|posted|online)$")
 CONTEXT = 40
@@ -114,7 +160,7 @@ def _iban_ok(text: str) -> bool:
 
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
     """Format and context of a candidate."""
-    span, before, after = text[start:end], text[max(0, start - CONTEXT) : start], text[end : end + 12]
+    span, before, after = text[start:end], text[max(0, start - CONTEXT) : start], text[end : end + 20]
     groups = [len(g) for g in re.findall(r"[0-9]+", span)]
     first, second, *_ = [*groups, 0, 0]
     name = re.match(r"[^\x20\[(]*", span)[0]
@@ -145,6 +191,12 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(kind == "email_text" and bool(TOP_LEVEL.search(span))),
         float(kind == "email_text" and bool(PLACED.match(name))),
         float(kind == "email_text" and bool(re.search(r"[._0-9%+-]", name))),
+        float(kind == "card_run" and luhn(digits_of(span))),
+        float(kind == "card_run" and len(groups) > 1 and (len({*groups[:-1]}) > 1 or groups[-1] > groups[0])),
+        float(bool(CARD_WORDS.search(before))),
+        float(bool(re.search(r"[0-9][\x20()./-]{0,2}$", before))),
+        float(bool(GOES_ON.match(after))),
+        float(bool(NEXT_IP.match(after))),
     ]
 
 
@@ -158,9 +210,70 @@ LEADS = {
     ("iban", False): ("serial", "model", "part", "key", "licence", "frame number"),
     ("email_text", True): ("mail", "write to", "reach me:", "contact", "e-mail", "drop a line to", "address:", "questions to"),
     ("email_text", False): ("yesterday", "the shop", "more of this", "come and", "they", "we all"),
+    ("card_run", True): ("card", "visa", "paid with", "credit card:", "tarjeta", "please charge", "karte", "on file"),
+    ("card_run", False): ("order", "serial", "tracking", "lot", "batch", "meter", "invoice", "barcode"),
+    ("phone_run", True): ("call", "phone:", "mobile", "dial", "from", "logged"),
+    ("phone_run", False): ("serial", "offset", "range", "values", "measured"),
 }
 
 
+def _card(rng: np.random.Generator, valid: bool) -> str:
+    """Digits with or without a valid check digit, as one group or in fours."""
+    n = int(rng.choice([16, 16, 16, 16, 15, 13, 19]))
+    head = "".join(map(str, rng.integers(0, 10, n - 1)))
+    check = next(d for d in "0123456789" if luhn(head + d))
+    digits = head + (check if valid else str((int(check) + int(rng.integers(1, 10))) % 10))
+    sign = str(rng.choice(["", "", " ", "-"]))
+    return sign.join(digits[i : i + 4] for i in range(0, n, 4)) if sign else digits
+
+
+def _run_examples(rng: np.random.Generator, kind: str) -> list[tuple[str, int, int, int]]:
+    """(text, start, end, label) for every candidate of a made-up run; positive are the numbers that it was made of."""
+    number = lambda: "".join(map(str, rng.integers(0, 10, int(rng.integers(1, 9)))))
+    parts: list[tuple[str, bool]] = []
+    if kind == "card_run":
+        form = int(rng.integers(8))
+        if form == 0:
+            parts = [(_card(rng, False), False)]
+        elif form == 1:
+            parts = [(_card(rng, bool(rng.integers(2))), True), (_card(rng, bool(rng.integers(2))), True)]
+        elif form == 2:
+            parts = [(_card(rng, True), True), (number(), False)]
+        elif form == 3:
+            parts = [(number(), False), (_card(rng, True), True)]
+        elif form == 4:
+            parts = [(_card(rng, False), False), (number(), False)]
+        elif form == 5:
+            parts = [("".join(map(str, rng.integers(0, 10, int(rng.integers(20, 34))))), False)]
+        else:  # groups of no card's form, whose check digit is right by chance
+            parts = [(str(rng.choice([" ", "-"])).join("".join(map(str, rng.integers(0, 10, int(rng.integers(2, 8))))) for _ in range(int(rng.integers(3, 7)))), False)]
+        parts = [(p, good and luhn(digits_of(p))) for p, good in parts]
+        body = str(rng.choice([" ", "-"])).join(p for p, _ in parts)
+    else:
+        d = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+        phone = str(rng.choice([f"+1 ({d(3)}) {d(3)}-{d(4)}", f"+1 {d(3)} {d(3)} {d(4)}", f"+49 {d(3)} {d(7)}", f"+33 {d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"+{d(2)}-{d(3)}-{d(3)}-{d(3)}", f"+{d(11)}"]))
+        ip = ".".join(map(str, rng.integers(0, 256, 4)))
+        form = int(rng.integers(4))
+        if form == 0:
+            parts, body = [(phone, True)], f"{phone} {ip}"
+        elif form == 1:
+            other = str(rng.choice([f"{d(3)}-{d(4)}-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(4)} {d(4)} {d(4)}"]))
+            parts, body = [(phone, True)], f"{phone} {other}"
+        else:  # a long number with a sign is no phone
+            parts, body = [("+", False)], "+" + str(rng.choice([".", "-", " ", ""])).join(d(int(rng.integers(3, 7))) for _ in range(int(rng.integers(5, 8))))
+    good = any(g for _, g in parts)
+    lead = str(rng.choice(LEADS[kind, good])) if rng.integers(2) else ""
+    # Digits amid letters, as in a digest, are no number.
+    text = f"some words {lead} {body} and more" if form or rng.random() < 0.7 else f"token {'abcdef'[int(rng.integers(6))]}{body}{'abcdef'[int(rng.integers(6))]} and more"
+    spans, at = set(), text.find(body)
+    for p, g in parts:
+        start = text.find(p, at)
+        spans |= {(start, start + len(p))} if g else set()
+        at = start + len(p)
+    found = dict(PROPOSERS)[kind](text)
+    return [(text, s, e, int((s, e) in spans)) for s, e in found]
+
+
 def _example(rng: np.random.Generator) -> tuple[str, str, int]:
     """A made-up sentence around a candidate: (text, kind, label)."""
     d = lambda n: "".join(map(str, rng.integers(0, 10, n)))
@@ -168,7 +281,7 @@ def _example(rng: np.random.Generator) -> tuple[str, str, int]:
     word = lambda: "".join(pick(*"abdeghiklmnoprstuvwy") for _ in range(int(rng.integers(2, 9))))
     fill = lambda: " ".join(word() for _ in range(int(rng.integers(2, 6))))
     number = lambda low, high: int(rng.integers(low, high))
-    kind, good, lead = pick(*MORE_KINDS), bool(rng.integers(2)), None
+    kind, good, lead = pick("email_text", "phone_local", "ssn", "iban"), bool(rng.integers(2)), None
     if kind == "phone_local":
         phone = lambda: pick(f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)} {d(3)} {d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"0{d(2)} {d(4)} {d(4)}", f"0{d(3)} {d(3)} {d(2)} {d(2)}")
         if good:
@@ -228,16 +341,29 @@ def _least(p: np.ndarray, t: np.ndarray, precision: float) -> float:
     return max(0.5, float(p[order][enough[-1]])) if len(enough) else 1.0
 
 
-def train(examples: int = EXAMPLES, precision: float = PRECISION, seed: int = 5) -> Detector:
-    """A detector from made-up examples alone; the same for the same arguments."""
+#: What proposes the numbers that run together.
+PROPOSERS = (("card_run", card_runs), ("phone_run", phone_runs))
+
+
+def train(examples: int = EXAMPLES, precision: float = PRECISION, seed: int = 5, negatives: list[list[float]] | None = None) -> Detector:
+    """A detector from made-up examples, and feature rows of refuted candidates; the same for the same arguments."""
     rng = np.random.default_rng(seed)
     rows, labels, kinds = [], [], []
     while len(rows) < examples:
-        text, kind, label = _example(rng)
-        if m := dict(GENERATORS)[kind].search(text):
-            rows.append(features(text, kind, *m.span()))
+        if rng.integers(3) == 0:
+            kind = MORE_KINDS[4 + int(rng.integers(2))]
+            made = _run_examples(rng, kind)
+        else:
+            text, kind, label = _example(rng)
+            made = [(text, *m.span(), label)] if (m := dict(GENERATORS)[kind].search(text)) else []
+        for text, start, end, label in made:
+            rows.append(features(text, kind, start, end))
             labels.append(label)
             kinds.append(kind)
+    for row in negatives or ():
+        rows.append(row)
+        labels.append(0)
+        kinds.append(MORE_KINDS[int(row[0])])
     x, y, kind, part = np.array(rows), np.array(labels, float), np.array(kinds), np.arange(len(rows)) % 6
     model = boosting.boost(x[part < 3], y[part < 3], rounds=80, depth=4)
     z, t = boosting.margin(model, x), y
@@ -279,18 +405,49 @@ class _Spans:
 
 def more_spans(text: str, base: list[tuple[str, int, int]], detector: Detector) -> list[tuple[str, int, int]]:
     """Selected spans of the other kinds, by kind as listed, then start."""
-    may = {"email_text": SPELLED.search(text)}
-    has_digit = DIGIT.search(text)
-    proposed = [(kind, *m.span()) for kind, pattern in GENERATORS if may.get(kind, has_digit) for m in pattern.finditer(text)]
-    held = _Spans([(s, e) for _, s, e in base])
-    proposed = [c for c in proposed if held.add(c[1], c[2], keep=False)]
+    proposed = candidates(text)
     if not proposed:
         return []
     scored = zip(detector.probability([features(text, *c) for c in proposed]), proposed, strict=True)
+    held = _Spans([(s, e) for _, s, e in base])
     chosen = [c for p, c in sorted(scored, key=lambda x: (-x[0], x[1][1], MORE_KINDS.index(x[1][0]))) if p >= detector.thresholds[c[0]] and held.add(c[1], c[2])]
     return sorted(chosen, key=lambda c: (MORE_KINDS.index(c[0]), c[1]))
 
 
+def candidates(text: str) -> list[tuple[str, int, int]]:
+    """Every span that a generator proposes, whatever it overlaps."""
+    may = {"email_text": SPELLED.search(text)}
+    has_digit = DIGIT.search(text)
+    found = [(kind, *m.span()) for kind, pattern in GENERATORS if may.get(kind, has_digit) for m in pattern.finditer(text)]
+    return found + [(kind, *span) for kind, propose in PROPOSERS if has_digit for span in propose(text)]
+
+
+def refuted(text: str, kind: str, start: int, end: int) -> bool:
+    """Whether a candidate's own check digits or reserved numbers say that it isn't what it looks like."""
+    span = text[start:end]
+    if kind == "card_run":
+        return not luhn(digits_of(span))
+    if kind == "iban":
+        return not _iban_ok(span)
+    return kind == "ssn" and (span[:3] in ("000", "666") or span[0] == "9" or span[4:6] == "00")
+
+
+def hard_negatives(df: DataFrame, text: str = "text", texts: int = NEGATIVE_TEXTS, most: int = NEGATIVES) -> list[list[float]]:
+    """Feature rows of refuted candidates in about ``texts`` texts, chosen by hash; equal texts count once, and ``most`` bounds what is collected."""
+    value = F.col(quoted(text))
+    chosen = df.select(value.alias("text"), F.pmod(F.xxhash64(F.lit(3), value), F.lit(1 << 30)).alias("at")).where(F.col("at") < F.lit((1 << 30) * min(1.0, texts / max(1, df.count()))))
+
+    def rows(values: pa.Array) -> pa.Array:
+        out = []
+        for v in values:
+            t = v.as_py() or ""
+            out.append([features(t, *c) for c in candidates(t) if refuted(t, *c)])
+        return pa.array(out, pa.list_(pa.list_(pa.float64())))
+
+    made = F.explode(F.arrow_udf(rows, "array<array<double>>")(F.col("text"))).alias("row")
+    return [list(r["row"]) for r in chosen.where("text IS NOT NULL").dropDuplicates(["at"]).select("at", made).orderBy("at", "row").limit(most).collect()]
+
+
 STRUCT = "array<struct<kind:string,start:int,end:int,base:boolean>>"
 
 

@@ -67,7 +67,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_pii")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = pii.scan(docs, pii.train(negatives=pii.hard_negatives(docs)))
     count = lambda kind: F.size(F.filter("pii_spans", lambda s: s["kind"] == kind)).cast("long")
     return found.select(
         "doc_id",

@@ -640,6 +640,63 @@ def test_pii_many_spans_take_little_time(detector):
     assert len(base) == len(found) == 3000 and all(k == "phone_local" for k, *_ in found)
 
 
+@pytest.mark.parametrize("text,want", [
+    ("so 7536784127813050 4845168114407329 it", ["7536784127813050", "4845168114407329"]),  # two valid numbers, which fail together
+    ("in 2353820953013749 4550997810720808 hand", ["4550997810720808"]),  # the first fails on its own
+    ("a 4111-1111-1111-1111 907 b", ["4111-1111-1111-1111"]),
+    ("Des +1 (826) 555-4081 190.137.223.204 du", ["+1 (826) 555-4081"]),  # an address of four numbers swallowed by a phone
+    ("un +1 (843) 555-7672 170.106.47.218 Et", ["+1 (843) 555-7672"]),
+    ("los 9807915762804490 en", []),  # no check digit, so no card
+    ("of 7086638319846192 the", []),
+    ("token a2100a60029d9170a161913d4d01993002631 and", []),
+    ("at +4821-19374-28456-99213-777 then", []),
+])
+def test_numbers_that_run_together(detector, text, want):
+    base = pii.base_spans(text)
+    assert [text[s:e] for k, s, e in pii.more_spans(text, base, detector) if k in ("card_run", "phone_run")] == want
+    assert all(luhn_by_hand(w) for w in want if not w.startswith("+"))
+
+
+def luhn_by_hand(number):
+    digits = [int(c) for c in number if c.isdigit()][::-1]
+    return sum(d if n % 2 == 0 else sum(divmod(2 * d, 10)) for n, d in enumerate(digits)) % 10 == 0
+
+
+def test_candidates_of_runs_are_all_stretches_of_a_length():
+    rng = random.Random(4)
+    for _ in range(300):
+        text = " ".join("".join(rng.choice("0123456789") for _ in range(rng.randint(1, 18))) for _ in range(rng.randint(1, 7)))
+        whole = sum(c != " " for c in text)
+        groups = [m.span() for m in re.finditer("[0-9]+", text)]
+        want = [(groups[a][0], groups[b][1]) for a in range(len(groups)) for b in range(a, len(groups)) if 13 <= sum(e - s for s, e in groups[a : b + 1]) <= 19]
+        assert list(pii.card_runs(text)) == ([] if 13 <= whole <= 19 and luhn_by_hand(text) else want)
+
+
+def test_pii_of_the_whole_corpus(spark, detector):
+    """Trees see candidates on real texts, take the numbers that run together, and leave failing numbers alone."""
+    seen, added = 0, {}
+    for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").toLocalIterator():
+        text = r.text or ""
+        seen += len(pii.candidates(text))
+        for kind, s, e in pii.more_spans(text, pii.base_spans(text), detector):
+            added.setdefault(r.doc_id, []).append(text[s:e])
+            assert kind != "card_run" or luhn_by_hand(text[s:e])
+    assert seen > 400
+    assert added == {46: ["7536784127813050", "4845168114407329"], 1262: ["4550997810720808"], 1377: ["+1 (826) 555-4081"], 7052: ["+1 (843) 555-7672"]}
+
+
+def test_hard_negatives_are_refuted_and_bounded(spark, odd, none):
+    rows = [(n, f"ref {9807915762804490 + 10 * n} and 000-12-34{n % 90 + 10} here" if n % 2 else "no number") for n in range(60)] + [(99, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pii.hard_negatives(df)
+    want = sorted({tuple(pii.features(t, *c)) for _, t in rows if t for c in pii.candidates(t) if pii.refuted(t, *c)})
+    assert sorted({tuple(r) for r in got}) == want and len(want) > 3
+    assert len(pii.hard_negatives(df, most=5)) == 5
+    assert pii.hard_negatives(none) == []
+    learnt = pii.train(3000, negatives=got)
+    assert pii.more_spans("los 9807915762804490 en", [], learnt) == []
+
+
 def test_bpe_equals_the_library(spark, documents):
     from tokenizers import Tokenizer
 
