@@ -35,6 +35,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,8 +44,8 @@ from millrace.llm.ordering import places
 from millrace.llm.text import drop, quoted, stored
 
 CAPACITY, END = 4096, 1
-#: Words whose ids a Python worker remembers; beyond it the memory starts anew.
-REMEMBERED = 1_000_000
+#: Words whose ids a Python worker remembers, and as many of those before.
+REMEMBERED = 500_000
 
 #: How a vocabulary file must split text for words to be encoded one by one.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -53,8 +54,51 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACE = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 #: White space to str.split alone.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
-PLAIN = regex.compile("[!-~]+")
-ASCII_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: Words of these characters are in composed form, and Python folds and classes them as the file's rules do.
+PLAIN = regex.compile(r"[!-~\xa1-\u012f\u0131-\u024f]+")
+PIECES = regex.compile(SPLIT)
+#: A piece of its own after a word of letters.
+MARKS = ".,;:!?"
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte: printable Latin-1 itself, the others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in plain)}
+
+
+class Words(dict):
+    """Ids of words as little-endian 32-bit integers; a word that is looked up for the first time is encoded.
+
+    What the memory before this one knows is taken from there, so that frequent words outlive it.
+    """
+
+    def __init__(self, encoder: Encoder, before: Words | None = None):
+        super().__init__()
+        self.encoder, self.letters = encoder, byte_letters()
+        self.before: dict[str, bytes] = dict(before or {})
+        self.pieces: dict[str, bytes] = before.pieces if before and len(before.pieces) < REMEMBERED else {}
+
+    def piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+            ids = self.pieces[piece] = array("I", [t.id for t in self.encoder.tokenize(shown)]).tobytes()
+        return ids
+
+    def __missing__(self, word: str) -> bytes:
+        """Plain words piece by piece, each distinct piece once; others by the library's whole path."""
+        found = self.before.get(word)
+        if found is None:
+            body, mark = (word, "") if word.isalpha() else (word[:-1], word[-1:])
+            if body.isalpha() and mark in MARKS and (body.isascii() or PLAIN.fullmatch(body)):
+                found = self.piece(body.lower()) + (self.piece(mark) if mark else b"")
+            elif PLAIN.fullmatch(word) and "<|" not in word:
+                found = b"".join([self.piece(p) for p in PIECES.findall(word.lower())])
+            else:
+                found = self.encoder.whole(word)
+        self[word] = found
+        return found
 
 
 class Encoder:
@@ -67,9 +111,9 @@ class Encoder:
         self.library = Tokenizer.from_str(spec)
         self.library.no_truncation()
         self.library.no_padding()
+        self.tokenize = self.library.model.tokenize
         self.by_word = self._by_word(json.loads(spec))
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words = Words(self)
 
     @staticmethod
     def _by_word(spec: dict) -> bool:
@@ -80,35 +124,41 @@ class Encoder:
         added = all("<|" in t["content"] and not SPACE.search(t["content"]) and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in spec["added_tokens"])
         return bool(plain and byte_level and added and (spec.get("normalizer") or {}).get("normalizers") == NORMALIZERS and model.get("type", "BPE") == "BPE" and not model.get("dropout"))
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, new: set[str]) -> None:
-        """Words of printable ASCII piece by piece, others by the library's whole path."""
-        known, pieces, tokenize, others = self.words, self.pieces, self.library.model.tokenize, []
-        for w in new:
-            if not PLAIN.fullmatch(w) or "<|" in w:
-                others.append(w)
-                continue
-            parts = []
-            for p in ASCII_PIECES.findall(w.lower()):
-                ids = pieces.get(p)
-                if ids is None:
-                    ids = pieces[p] = array("I", [t.id for t in tokenize(p)]).tobytes()
-                parts.append(ids)
-            known[w] = b"".join(parts)
-        known.update(zip(others, self._encode(others), strict=True))
+    def whole(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         if not self.by_word:
-            return self._encode([text])[0]
+            return self.whole(text)
         words = SPACE.split(text) if SEPARATORS.search(text) else text.split()
-        if len(self.words) > REMEMBERED:
-            self.words, self.pieces = {}, {}
-        if new := set(words).difference(self.words):
-            self.learn(new)
         return b"".join(map(self.words.__getitem__, words))
 
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and where each text's begin and end.
+
+        Words are split and numbered in Arrow; each distinct word of the texts is looked up once.
+        """
+        texts = texts.fill_null("")
+        if len(self.words) > REMEMBERED:
+            self.words = Words(self, self.words)
+        if not self.by_word or pc.any(pc.match_substring_regex(texts, SEPARATORS.pattern)).as_py():
+            each = [self.encode(t.as_py()) for t in texts]
+            return np.frombuffer(b"".join(each), "<u4"), np.cumsum([0, *(len(e) // 4 for e in each)])
+        split = pc.utf8_split_whitespace(texts)
+        numbered = split.flatten().dictionary_encode()
+        word = numbered.indices.to_numpy()
+        # No word holds a space, so the distinct words are one string, split once.
+        distinct = pc.binary_join(pa.ListArray.from_arrays([0, len(numbered.dictionary)], numbered.dictionary), " ")[0].as_py().split(" ") if len(word) else []
+        ids = list(map(self.words.__getitem__, distinct))
+        length = np.array([len(i) // 4 for i in ids], np.int64)
+        data = np.frombuffer(b"".join(ids), "<u4")
+        first = np.cumsum(length) - length
+        end = np.cumsum(length[word]) if len(word) else np.zeros(0, np.int64)
+        # The n-th token of a word lies n after the word's first in ``data``.
+        at = np.arange(end[-1] if len(end) else 0) + np.repeat(first[word] - end + length[word], length[word])
+        ends = np.concatenate(([0], end))
+        return data[at], ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+
 
 _ENCODERS: dict[int, Encoder] = {}
 
@@ -121,34 +171,53 @@ def encoder(spec: str) -> Encoder:
     return _ENCODERS[name]
 
 
+#: Texts that are encoded at once, in code points, so that the ids of few texts are in memory.
+STEP = 8_000_000
+
+
+def steps(sizes: list[int]):
+    """Ranges of rows of about STEP in all."""
+    begun = total = 0
+    for n, size in enumerate(sizes):
+        total += size
+        if total > STEP:
+            yield begun, n + 1
+            begun, total = n + 1, 0
+    if begun < len(sizes):
+        yield begun, len(sizes)
+
+
 def pieces(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END, ids: bool = True) -> DataFrame:
     """(key, piece, start, length, ids_crc32[, ids]) of each text's ids and the end token, cut at multiples of the capacity."""
     with open(path, encoding="utf-8") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file: its size is fixed
     kind = df.schema[key].dataType
-    last, step = array("I", [end]).tobytes(), 4 * capacity
+    last = np.array([end], "<u4")
+
+    def cut(key: pa.Array, texts: pa.Array, encoder: Encoder) -> pa.RecordBatch:
+        at, piece, start, length, crc, tokens = [], array("i"), array("q"), array("q"), array("q"), []
+        data, bounds = encoder.encode_all(texts)
+        for n, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist(), strict=False)):
+            whole = np.concatenate((data[a:b], last))
+            for k, c in enumerate(range(0, len(whole), capacity)):
+                part = whole[c : c + capacity]
+                at.append(n)
+                piece.append(k)
+                start.append(c)
+                length.append(len(part))
+                crc.append(zlib.crc32(part))
+                if ids:
+                    tokens.append(part.astype("i4"))
+        columns = [key.take(pa.array(at, pa.int64())), *(pa.array(np.array(c)) for c in (piece, start, length, crc))]
+        columns += [pa.array(tokens, pa.list_(pa.int32()))] if ids else []
+        return pa.RecordBatch.from_arrays(columns, names=["key", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
 
     def run(batches):
-        encode = encoder(shared.value).encode
+        known = encoder(shared.value)
         for batch in batches:
-            at, piece, start, length, crc, tokens = [], array("i"), array("q"), array("q"), array("q"), []
-            for n, value in enumerate(batch.column("text")):
-                data = encode(value.as_py() or "") + last
-                for k, a in enumerate(range(0, len(data), step)):
-                    part = data[a : a + step]
-                    at.append(n)
-                    piece.append(k)
-                    start.append(a // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-                    if ids:
-                        tokens.append(np.frombuffer(part, "<u4").astype("i4"))
-            columns = [batch.column("key").take(pa.array(at, pa.int64())), *(pa.array(np.array(c)) for c in (piece, start, length, crc))]
-            names = ["key", "piece", "start", "length", "ids_crc32"]
-            if ids:
-                columns.append(pa.array(tokens, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            for a, b in steps(pc.utf8_length(batch.column("text")).fill_null(0).to_pylist()):
+                some = batch.slice(a, b - a)
+                yield cut(some.column("key"), some.column("text"), known)
 
     schema = f"key {kind.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * ids
     out = df.select(F.col(quoted(key)).alias("key"), F.col(quoted(text)).alias("text")).mapInArrow(run, schema)
