@@ -24,4 +24,14 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table, read again: its lineage is cut, and a lost executor costs no more than one read."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/millrace-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.millrace_folder = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes ``stored`` tables that nothing still to be computed reads."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.millrace_folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

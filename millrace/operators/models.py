@@ -4,23 +4,28 @@ from __future__ import annotations
 
 import itertools
 import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml import regression as R
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import HashingTF, IDF, PCA, RegexTokenizer, VectorAssembler
+from pyspark.ml.feature import HashingTF, IDF, Imputer, PCA, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.storage import stored
 from millrace.operators import metrics
 from millrace.operators.split import folds
 
 SEED = 42
+#: Fits that run side by side.
+PARALLEL = 4
 
 
 @dataclass(frozen=True)
@@ -53,6 +58,9 @@ REGISTRY = {
         Entry("linear_svc", ("classification",), 5, _clf(C.LinearSVC), tags=("linear", "binary")),
         Entry("decision_tree_classifier", ("classification",), 4, _clf(C.DecisionTreeClassifier, seed=SEED), tags=("tree",)),
         Entry("naive_bayes", ("classification",), 3, _clf(C.NaiveBayes, modelType="gaussian"), tags=("bayes",)),
+        Entry("multinomial_naive_bayes", ("classification",), 2, _clf(C.NaiveBayes, modelType="multinomial"), tags=("bayes", "counts")),
+        Entry("bernoulli_naive_bayes", ("classification",), 2, _clf(C.NaiveBayes, modelType="bernoulli"), tags=("bayes", "flags")),
+        Entry("factorization_machine_classifier", ("classification",), 1, _clf(C.FMClassifier, seed=SEED), tags=("factors", "binary")),
         Entry("gradient_boosting_classifier", ("classification",), 7, _boosted, least=100, tags=("tree",)),
         Entry("random_forest_regressor", ("regression",), 8, _clf(R.RandomForestRegressor, numTrees=100, seed=SEED), tags=("tree",)),
         Entry("gradient_boosting_regressor", ("regression",), 7, _clf(R.GBTRegressor, maxIter=100, stepSize=0.1, maxDepth=3, seed=SEED), least=100, tags=("tree",)),
@@ -60,6 +68,9 @@ REGISTRY = {
         Entry("ridge", ("regression",), 5, _clf(R.LinearRegression, regParam=1.0, elasticNetParam=0.0), tags=("linear",)),
         Entry("lasso", ("regression",), 4, _clf(R.LinearRegression, regParam=0.1, elasticNetParam=1.0), tags=("linear",)),
         Entry("elastic_net", ("regression",), 4, _clf(R.LinearRegression, regParam=0.1, elasticNetParam=0.5), tags=("linear",)),
+        Entry("huber_regressor", ("regression",), 4, _clf(R.LinearRegression, loss="huber", epsilon=1.35), tags=("linear",)),
+        Entry("poisson_regressor", ("regression",), 2, _clf(R.GeneralizedLinearRegression, family="poisson", link="log"), tags=("linear", "counts")),
+        Entry("isotonic_regression", ("regression",), 1, _clf(R.IsotonicRegression), tags=("monotone",)),
         Entry("decision_tree_regressor", ("regression",), 3, _clf(R.DecisionTreeRegressor, seed=SEED), tags=("tree",)),
     )
 }
@@ -96,8 +107,11 @@ def registry_stats(registry: DataFrame) -> DataFrame:
 
 
 def pipeline(name: str, features: list[str], label: str) -> Pipeline:
-    assembled = VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="skip")
-    return Pipeline(stages=[assembled, REGISTRY[name].make("_features", label)])
+    """Missing features take their column's mean in the fitted data, so that no row is lost; then the model of that name."""
+    known = [f"_known_{n}" for n in range(len(features))]
+    filled = Imputer(inputCols=features, outputCols=known, strategy="mean")
+    assembled = VectorAssembler(inputCols=known, outputCol="_features")
+    return Pipeline(stages=[filled, assembled, REGISTRY[name].make("_features", label)])
 
 
 def fit(df: DataFrame, name: str, features: list[str], label: str) -> PipelineModel:
@@ -122,7 +136,7 @@ def predict(model: PipelineModel, df: DataFrame, key: str, label: str | None = N
 
 def importance(model: PipelineModel, features: list[str]) -> list[tuple[str, float]]:
     """Tree importances, or the mean absolute coefficient over classes."""
-    last = model.stages[-1]
+    last = next(s for s in reversed(model.stages) if any(hasattr(s, a) for a in ("featureImportances", "coefficientMatrix", "coefficients")))
     if hasattr(last, "featureImportances"):
         values = last.featureImportances.toArray()
     elif hasattr(last, "coefficientMatrix"):
@@ -132,19 +146,26 @@ def importance(model: PipelineModel, features: list[str]) -> list[tuple[str, flo
     return list(zip(features, map(float, values), strict=True))
 
 
+def folded(df: DataFrame, key: str, k: int, features: list[str], label: str, stratify: bool) -> DataFrame:
+    """(key, label, features, fold), ranked once and stored, so that no fit ranks or reads the table again."""
+    return stored(folds(df.select(*dict.fromkeys([key, label, *features])), key, k, SEED, label if stratify else None))
+
+
 def out_of_fold(df: DataFrame, name: str, features: list[str], label: str, key: str, k: int = 5, stratify: bool = True) -> DataFrame:
     """(key, label, fold, prediction[, probability]): each fold by a model that was fitted without it."""
-    folded = folds(df, key, k, SEED, label if stratify else None)
-    parts = []
-    for n in range(k):
-        model = fit(folded.where(F.col("fold") != n), name, features, label)
-        part = model.transform(folded.where(F.col("fold") == n))
+    return predicted_by_fold(folded(df, key, k, features, label, stratify), name, features, label, key, k)
+
+
+def predicted_by_fold(table: DataFrame, name: str, features: list[str], label: str, key: str, k: int) -> DataFrame:
+    """As ``out_of_fold`` of a table that has folds; the fits run side by side."""
+
+    def one(n: int) -> DataFrame:
+        part = fit(table.where(F.col("fold") != n), name, features, label).transform(table.where(F.col("fold") == n))
         extra = [vector_to_array("probability").alias("probability")] if "probability" in part.columns else []
-        parts.append(part.select(key, label, "fold", "prediction", *extra))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out
+        return part.select(key, label, "fold", "prediction", *extra)
+
+    with ThreadPoolExecutor(min(k, PARALLEL)) as pool:
+        return reduce(DataFrame.unionAll, pool.map(one, range(k)))
 
 
 def cross_validated(df: DataFrame, name: str, features: list[str], label: str, key: str, k: int = 5) -> DataFrame:
@@ -160,13 +181,13 @@ def searched(df: DataFrame, name: str, grid: dict[str, list], features: list[str
     The folds are the seeded ones of ``folds``; of equal scores the combination named first is best.
     """
     task = REGISTRY[name].tasks[0]
-    folded = folds(df, key, k, SEED, label if task == "classification" else None)
+    table = folded(df, key, k, features, label, task == "classification")
     pipe = pipeline(name, features, label)
     combos = [dict(zip(grid, values, strict=True)) for values in itertools.product(*grid.values())]
     model = pipe.getStages()[-1]
     maps = [{model.getParam(p): v for p, v in c.items()} for c in combos]
     metric, judge = ("rmse", RegressionEvaluator(labelCol=label, metricName="rmse")) if task == "regression" else ("f1", MulticlassClassificationEvaluator(labelCol=label, metricName="f1"))
-    judged = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=judge, numFolds=k, foldCol="fold", parallelism=4, seed=SEED).fit(folded)
+    judged = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=judge, numFolds=k, foldCol="fold", parallelism=PARALLEL, seed=SEED).fit(table)
     scores = [float(v) for v in judged.avgMetrics]
     best = (max if judge.isLargerBetter() else min)(range(len(scores)), key=lambda n: scores[n])
     rows = [(json.dumps(c), metric, v, n == best) for n, (c, v) in enumerate(zip(combos, scores, strict=True))]
@@ -175,10 +196,11 @@ def searched(df: DataFrame, name: str, grid: dict[str, list], features: list[str
 
 def stacked(df: DataFrame, bases: list[str], meta: str, features: list[str], label: str, key: str, k: int = 5) -> PipelineModel:
     """The meta model on the bases' out-of-fold predictions."""
-    table = df.select(key, label)
+    parted = folded(df, key, k, features, label, stratify=True)
+    table = parted.select(key, label)
     for b in bases:
-        table = table.join(out_of_fold(df, b, features, label, key, k).select(key, F.col("prediction").alias(b)), key)
-    return fit(table, meta, bases, label)
+        table = table.join(predicted_by_fold(parted, b, features, label, key, k).select(key, F.col("prediction").alias(b)), key)
+    return fit(stored(table), meta, bases, label)
 
 
 def clusters(df: DataFrame, features: list[str], k: int) -> PipelineModel:
