@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.functions.columns import half_up
+from millrace.functions.columns import half_up, only_row
 from millrace.functions.storage import stored
-from millrace.operators import metrics, models, split
+from millrace.operators import ensembles, metrics, models, search, split
 from millrace.plans.registry import query
 from millrace.plans.table_queries import ranked_sql
 
@@ -99,3 +99,50 @@ def _(t):
 def _(t):
     d = labelled(t)
     return models.clusters(d, FEATURES, 3).transform(d).groupBy("prediction").agg(F.count("*").alias("n"))
+
+
+HELD = "SELECT count(*) AS n FROM labels JOIN documents USING (doc_id)"
+
+
+def judged(t, make):
+    """(n, n_kept, better): rows, predictions, and whether a model of one half of the rows beats the majority class on the other."""
+    d = stored(split.random_split(labelled(t), "doc_id", 0.5, 0.0, 0.5))
+    out = stored(make(d.where("split = 'train'")).transform(d).select("y", "split", "prediction"))
+    test = out.where("split = 'test'").agg(F.avg((F.col("prediction") == F.col("y")).cast("int")).alias("right"), F.greatest(F.avg("y"), 1 - F.avg("y")).alias("most"))
+    n = out.agg(F.count("*").alias("n"), F.count("prediction").alias("n_kept"))
+    return n.select("n", "n_kept", only_row(test.select((F.col("right") > F.col("most")).alias("better")))["better"].alias("better"))
+
+
+@query("fit_ada_boost", f"SELECT n, n AS n_kept, true AS better FROM ({HELD})")
+def _(t):
+    return judged(t, lambda d: ensembles.ada_boost_classifier(d, FEATURES, "y", rounds=10))
+
+
+@query("fit_kernel_svc", f"SELECT n, n AS n_kept, true AS better FROM ({HELD})")
+def _(t):
+    return judged(t, lambda d: ensembles.kernel_svc(d, FEATURES, "y", "doc_id", components=100))
+
+
+CURVE = "WITH " + ranked_sql("orders", "o_orderkey") + """, c AS (SELECT *, count(*) OVER () - floor(count(*) OVER () * 0.2)::BIGINT AS able, o_totalprice AS y, o_custkey::DOUBLE AS x FROM r),
+s AS (SELECT unnest([0.1, 0.325, 0.55, 0.775, 1.0]::DOUBLE[]) AS share), p AS (SELECT share, greatest(1, floor(able * share))::BIGINT AS n, c.* FROM c, s),
+l AS (SELECT share, regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM p WHERE rk < n GROUP BY share)
+SELECT share, any_value(n) AS n, round(sqrt(avg((y - a * x - b) ** 2) FILTER (rk < n)), 4) AS train, round(sqrt(avg((y - a * x - b) ** 2) FILTER (rk >= able)), 4) AS validation FROM p JOIN l USING (share) GROUP BY share"""
+
+
+@query("learning_curve", CURVE)
+def _(t):
+    d = t("orders").select("o_orderkey", F.col("o_custkey").cast("double").alias("x"), F.col("o_totalprice").cast("double").alias("y"))
+    return search.learning_curve(d, "linear_regression", ["x"], "y", "o_orderkey")
+
+
+#: The same draws in SQL: a logarithmic range from a digest of seed, trial and name.
+DRAWS = "SELECT t::INTEGER AS trial, exp(ln(1e-3) + ('0x' || substr(md5('42:' || t || ':regParam'), 1, 8))::BIGINT / 4294967296.0::DOUBLE * (ln(1e12) - ln(1e-3))) AS p FROM range(6) r(t)"
+
+
+@query("random_search", f"SELECT trial, round(ln(p), 6) AS log_penalty, 3 AS folds, 'complete' AS state FROM ({DRAWS})")
+def _(t):
+    """Six seeded penalties, each scored on three folds."""
+    d = t("orders").select("o_orderkey", F.col("o_custkey").cast("double").alias("x"), F.col("o_totalprice").cast("double").alias("y"))
+    space = {"regParam": search.Param(1e-3, 1e12, log=True)}
+    out = search.searched(d, "ridge", space, ["x"], "y", "o_orderkey", trials=6, sampler="random", prune=False)
+    return out.select("trial", half_up(F.log(F.get_json_object("params", "$.regParam").cast("double"))).alias("log_penalty"), "folds", "state")
