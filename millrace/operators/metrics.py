@@ -7,6 +7,9 @@ first and accumulate over scores.
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -254,8 +257,44 @@ def for_task(task: str) -> list[tuple[str, bool]]:
     return [("accuracy", True), ("precision", True), ("recall", True), ("f1", True)]
 
 
-def evaluate(df: DataFrame, task: str, truth: str, pred: str) -> DataFrame:
-    """(metric, value, higher_is_better, is_primary) of a task; classes are weighted by support."""
+#: Metrics of one's own: name to (aggregate of truth and prediction, whether higher is better).
+CUSTOM: dict[str, tuple[Callable[[Column, Column], Column], bool]] = {}
+
+
+def register(name: str, build: Callable[[Column, Column], Column], higher_is_better: bool = True) -> None:
+    """Adds a metric: ``build(truth, prediction)`` is an aggregate expression over the rows. A name that a task has is refused."""
+    if name in {m for task in ("regression", "classification") for m, _ in for_task(task)}:
+        raise ValueError(f"{name!r} is a metric of a task")
+    CUSTOM[name] = (build, higher_is_better)
+
+
+def unregister(name: str) -> None:
+    CUSTOM.pop(name, None)
+
+
+def custom(df: DataFrame, truth: str, pred: str, names: list[str]) -> DataFrame:
+    """(metric, value, higher_is_better, is_primary) of registered metrics, all from one pass over the rows."""
+    if unknown := [n for n in names if n not in CUSTOM]:
+        raise ValueError(f"no metric {unknown}")
+    made = F.array(*(F.struct(F.lit(n).alias("metric"), half_up(CUSTOM[n][0](F.col(truth), F.col(pred))).alias("value"), F.lit(CUSTOM[n][1]).alias("higher_is_better"), F.lit(False).alias("is_primary")) for n in names))
+    return df.agg(made.alias("all")).select(F.inline("all"))
+
+
+def timed(predict: Callable[[DataFrame], DataFrame], df: DataFrame) -> DataFrame:
+    """(n, seconds, rows_per_second) of a prediction over all rows, which are made and dropped."""
+    began = time.perf_counter()
+    n = predict(df).agg(F.count("*").alias("n"), F.max(F.xxhash64("*")).alias("h")).first()["n"]  # the hash reads every column
+    took = time.perf_counter() - began
+    return df.sparkSession.createDataFrame([(n, took, n / took)], "n long, seconds double, rows_per_second double")
+
+
+def evaluate(df: DataFrame, task: str, truth: str, pred: str, also: list[str] = []) -> DataFrame:
+    """(metric, value, higher_is_better, is_primary) of a task; classes are weighted by support. ``also`` names registered metrics."""
+    out = _of_task(df, task, truth, pred)
+    return out.unionAll(custom(df, truth, pred, also)) if also else out
+
+
+def _of_task(df: DataFrame, task: str, truth: str, pred: str) -> DataFrame:
     if task == "regression":
         wide = regression(df, truth, pred)
     else:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import half_up
-from millrace.operators import anomaly, clustering, forecast, selection
+from millrace.operators import anomaly, clustering, forecast, images, metrics, models, robust, selection
 from millrace.plans.registry import query
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -184,3 +185,86 @@ def _(t):
 def _(t):
     """An even period, and a season that multiplies."""
     return decomposed(t, 14, True)
+
+
+# Images: embeddings as eight rows of eight pixels
+
+PIXELS = "e AS (SELECT vec_id, (k - 1) // 8 AS y, (k - 1) % 8 AS x, embedding[k]::DOUBLE AS v FROM embeddings, range(1, 65) r(k))"
+
+
+def picture(t):
+    return t("embeddings").select("vec_id", images.from_flat(F.col("embedding"), 8).alias("image"))
+
+
+def pixels(df):
+    rows = df.select("vec_id", F.posexplode("image").alias("i", "row"))
+    return rows.select("vec_id", "i", F.posexplode("row").alias("j", "v")).withColumn("v", half_up(F.col("v")))
+
+
+def warp_sql(y: str, x: str, height: int, width: int, near: bool) -> str:
+    """Each source pixel weighs as a tent of width one around the place that is looked up; ``near`` clamps that place."""
+    y, x = (f"least(greatest({p}, 0), 7)" if near else p for p in (y, x))
+    return f"""WITH {PIXELS}, g AS (SELECT i, j, {y} AS sy, {x} AS sx FROM range({height}) a(i), range({width}) b(j))
+SELECT vec_id, i::INTEGER AS i, j::INTEGER AS j, round(coalesce(sum(v * (1 - abs(sy - y)) * (1 - abs(sx - x))) FILTER (abs(sy - y) < 1 AND abs(sx - x) < 1), 0), 6) AS v FROM e, g GROUP BY vec_id, i, j"""
+
+
+@query("image_resize", warp_sql("(i + 0.5::DOUBLE) * (8 / 5.0::DOUBLE) - 0.5::DOUBLE", "(j + 0.5::DOUBLE) * (8 / 12.0::DOUBLE) - 0.5::DOUBLE", 5, 12, True))
+def _(t):
+    return pixels(picture(t).withColumn("image", images.resized(F.col("image"), 5, 12)))
+
+
+TURN = [f"{f}(radians(25))" for f in ("cos", "sin")]
+
+
+@query("image_rotate", warp_sql(f"(i - 3.5::DOUBLE) * {TURN[0]} + (j - 3.5::DOUBLE) * {TURN[1]} + 3.5", f"(j - 3.5::DOUBLE) * {TURN[0]} - (i - 3.5::DOUBLE) * {TURN[1]} + 3.5", 8, 8, False))
+def _(t):
+    return pixels(picture(t).withColumn("image", images.rotated(F.col("image"), 25, 8, 8)))
+
+
+@query("image_zoom_shift", warp_sql("(i - 3.5::DOUBLE - 1.25) / 1.5::DOUBLE + 3.5", "(j - 3.5::DOUBLE + 0.5) / 1.5::DOUBLE + 3.5", 8, 8, False))
+def _(t):
+    out = images.affine(F.col("image"), (1.5, 0.0, 0.0, 1.5), (1.25, -0.5), 8, 8)
+    return pixels(picture(t).withColumn("image", out))
+
+
+# Failing rows, registered metrics
+
+
+def reciprocal(prices: list[float]) -> list[float]:
+    """Fails for a whole list if one price ends in seven cents."""
+    for p in prices:
+        if round(p * 100) % 10 == 7:
+            raise ValueError(f"{p:.2f} can't be")
+    return [1000 / p for p in prices]
+
+
+BAD = "round(o_totalprice * 100)::BIGINT % 10 = 7"
+
+
+@query("row_failures", f"SELECT o_orderkey, CASE WHEN NOT ({BAD}) THEN round(1000 / o_totalprice, 6) END AS result, {BAD} AS failed FROM orders")
+def _(t):
+    """Poisoned rows are reported, all others have their results."""
+    out = robust.mapped(t("orders").select("o_orderkey", "o_totalprice"), "o_totalprice", reciprocal, "double")
+    return out.select("o_orderkey", half_up(F.col("result")).alias("result"), F.col("error").isNotNull().alias("failed"))
+
+
+@query("custom_metrics", "SELECT unnest(['within_a_tenth', 'bias', 'worst']) AS metric, unnest([round(avg((abs(l_extendedprice - p) <= 0.1 * l_extendedprice)::INT), 6), round(avg(p - l_extendedprice), 6), round(max(abs(p - l_extendedprice)), 6)]) AS value, unnest([true, false, false]) AS higher_is_better, false AS is_primary FROM (SELECT l_extendedprice, l_quantity * 1500.0 AS p FROM lineitem)")
+def _(t):
+    """Three metrics of one's own in one pass."""
+    metrics.register("within_a_tenth", lambda y, p: F.avg((F.abs(y - p) <= 0.1 * y).cast("int")))
+    metrics.register("bias", lambda y, p: F.avg(p - y), False)
+    metrics.register("worst", lambda y, p: F.max(F.abs(p - y)), False)
+    d = t("lineitem").select("l_extendedprice", (F.col("l_quantity") * 1500.0).alias("p"))
+    return metrics.custom(d, "l_extendedprice", "p", ["within_a_tenth", "bias", "worst"])
+
+
+# Principal components: as many as features, so that the total variance is that of the features
+
+
+@query("pca_variance", "SELECT count(*) AS n, round(var_samp(l_quantity) + var_samp(l_discount) + var_samp(l_tax), 4) AS variance FROM lineitem")
+def _(t):
+    """Components turn the features; what they vary in all stays."""
+    features = ["l_quantity", "l_discount", "l_tax"]
+    d = t("lineitem").select(*features)
+    out = models.components(d, features, 3).transform(d).select(vector_to_array("components").alias("c"))
+    return out.agg(F.count("*").alias("n"), half_up(sum((F.var_samp(F.col("c")[i]) for i in range(3)), F.lit(0.0)), 4).alias("variance"))
