@@ -267,13 +267,18 @@ def _(t):
 SUITE = "SELECT event_type AS name, round(avg(value), 6) AS duration, round(max(value), 6) AS memory FROM events WHERE event_id % 2 = {p} GROUP BY event_type"
 
 
-def suite(t, parity: int):
-    return t("events").where(F.col("event_id") % 2 == parity).groupBy(F.col("event_type").alias("name")).agg(half_up(F.avg("value")).alias("duration"), half_up(F.max("value")).alias("memory"))
+SUITE_OF_ALL = SUITE.replace(" WHERE event_id % 2 = {p}", "")
 
 
-@query("bench_summary", "SELECT count(*) AS benchmarks, round(sum(duration), 6) AS total, round(avg(duration), 6) AS mean, round(min(duration), 6) AS fastest, round(max(duration), 6) AS slowest FROM (" + SUITE.format(p=0) + ")")
+def suite(t, parity: int | None = None):
+    """Durations and memory by event type, of all events or of the even or odd ones: two runs to compare."""
+    events = t("events") if parity is None else t("events").where(F.col("event_id") % 2 == parity)
+    return events.groupBy(F.col("event_type").alias("name")).agg(half_up(F.avg("value")).alias("duration"), half_up(F.max("value")).alias("memory"))
+
+
+@query("bench_summary", "SELECT count(*) AS benchmarks, round(sum(duration), 6) AS total, round(avg(duration), 6) AS mean, round(min(duration), 6) AS fastest, round(max(duration), 6) AS slowest FROM (" + SUITE_OF_ALL + ")")
 def _(t):
-    return bench_compare.summary(suite(t, 0))
+    return bench_compare.summary(suite(t))
 
 
 @query("bench_compare", f"WITH a AS ({SUITE.format(p=0)}), b AS ({SUITE.format(p=1)}), c AS (SELECT a.name, (b.duration - a.duration) / a.duration AS d, (b.memory - a.memory) / a.memory AS m FROM a JOIN b ON a.name = b.name) SELECT name, round(d, 6) AS duration_change, round(m, 6) AS memory_change, CASE WHEN greatest(d, m) > 0.1 THEN 'regression' WHEN least(d, m) < -0.1 THEN 'improvement' ELSE 'same' END AS verdict FROM c")
