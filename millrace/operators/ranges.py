@@ -7,6 +7,10 @@ within their range, and the results are exact wherever the cuts lie.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -59,22 +63,41 @@ def numbered(df: DataFrame, order: list[str], by: list[str] = []) -> DataFrame:
     return placed.withColumn("_inner", inner).join(counts, _same_range(by)).select(*df.columns, (F.col("_before") + F.col("_inner")).alias("_rank"))
 
 
+#: How far beyond a share its bracket reaches on either side, in units of the cuts' accuracy; one unit is what they may be off by.
+REACH = 4
+
+
 def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> DataFrame:
     """One row with an array for each column: its exact quantiles, interpolated between neighbours; null without values.
 
-    Values are counted before the shuffle, and the counts accumulate over ranges.
+    Approximate quantiles on both sides of a share bracket the values that it may fall on; they are a few numbers, collected
+    at once. The rows below a bracket are counted, and only the values inside (2 * REACH / ACCURACY of the rows, and ties) are
+    gathered; a column of fewer than ACCURACY values is its own bracket. So the columns are read three times, and hardly
+    anything is shuffled.
     """
-    each = F.array(*(F.struct(F.lit(n).alias("column"), F.col(c).cast("double").alias("value")) for n, c in enumerate(columns)))
-    counts = df.select(F.inline(each)).where("value IS NOT NULL").groupBy("column", "value").agg(F.count("*").alias("n"))
-    place_of = lambda p: F.lit(float(p)) * (F.col("all_n") - 1)
-    least = lambda rank: F.min(F.when(F.col("upto_n") > rank, F.col("value")))
-    ends = []
-    for n, p in enumerate(shares):
-        ends += [least(F.floor(place_of(p))).alias(f"low{n}"), least(F.ceil(place_of(p))).alias(f"high{n}")]
-    found = cumulative(counts, "value", ["n"], ["column"]).groupBy("column").agg(F.max("all_n").alias("all_n"), *ends)
-    between = []
-    for n, p in enumerate(shares):
-        low, high, part = F.col(f"low{n}"), F.col(f"high{n}"), place_of(p) - F.floor(place_of(p))
-        between.append(F.when(low == high, low).otherwise((1 - part) * low + part * high))
-    rows = found.select("column", F.array(*between).alias("q"))
-    return rows.agg(*(F.max(F.when(F.col("column") == n, F.col("q"))).alias(c) for n, c in enumerate(columns)))
+    x = [F.col(c).cast("double") for c in columns]
+    ends = F.array(*(F.lit(min(1.0, max(0.0, p + side * REACH / ACCURACY))) for p in shares for side in (-1, 1)))
+    whole = df.agg(*(F.struct(F.count(v), F.min(v), F.max(v), F.percentile_approx(v, ends, ACCURACY)).alias(f"c{n}") for n, v in enumerate(x))).first()
+    bracket, place = {}, {}
+    for n, (size, least, most, found) in enumerate(whole):
+        for k, p in enumerate(shares if size else []):
+            bracket[n, k] = (least, most) if size < ACCURACY else (found[2 * k], found[2 * k + 1])
+            place[n, k] = float(p) * (size - 1)
+    if not bracket:
+        return df.sparkSession.createDataFrame([tuple(None for _ in columns)], ", ".join(f"c{n} array<double>" for n in range(len(columns)))).toDF(*columns)
+    inside = {at: x[at[0]].between(*map(F.lit, ends)) for at, ends in bracket.items()}
+    below = only_row(df.agg(*(F.count_if(x[n] < F.lit(low)).alias(f"b{n}_{k}") for (n, k), (low, _) in bracket.items())))
+    held = F.array(*(F.when(i, F.struct(F.lit(n).alias("column"), F.lit(k).alias("share"), x[n].alias("value"))) for (n, k), i in inside.items()))
+    counts = df.where(reduce(or_, inside.values())).select(F.inline(F.array_compact(held))).groupBy("column", "share", "value").agg(F.count("*").alias("n"))
+    before = F.array(*(below[f"b{n}_{k}"] if (n, k) in bracket else F.lit(0).cast("long") for n in range(len(columns)) for k in range(len(shares))))
+    before = F.get(before, F.col("column") * len(shares) + F.col("share"))
+    upto = counts.withColumn("upto", F.sum("n").over(W.partitionBy("column", "share").orderBy("value")) + before)
+    least = lambda n, k, rank: F.min(F.when((F.col("column") == n) & (F.col("share") == k) & (F.col("upto") > rank), F.col("value")))
+    row = upto.agg(*(e for (n, k), p in place.items() for e in (least(n, k, math.floor(p)).alias(f"low{n}_{k}"), least(n, k, math.ceil(p)).alias(f"high{n}_{k}"))))
+
+    def value(n: int, k: int) -> Column:
+        low, high, part = F.col(f"low{n}_{k}"), F.col(f"high{n}_{k}"), place[n, k] - math.floor(place[n, k])
+        return F.when(low == high, low).otherwise((1 - part) * low + part * high)
+
+    of = lambda n: F.array(*(value(n, k) for k in range(len(shares)))) if (n, 0) in place else F.lit(None).cast("array<double>")
+    return row.select(*(of(n).alias(c) for n, c in enumerate(columns)))

@@ -55,3 +55,16 @@ def test_rolling_mean_equals_a_loop(spark, width):
             seen = [v for *_, v in own[max(0, n + 1 - width) : n + 1] if v is not None]
             assert got[k] == (pytest.approx(sum(seen) / len(seen)) if seen else None)
     assert serving.rolling_mean(df.limit(0), "v", ["t", "k"], width).count() == 0
+
+
+def test_quantiles_in_brackets_equal_numpy(spark):
+    """More values than the accuracy, so that only those near each quantile are gathered."""
+    rng = random.Random(8)
+    a = [rng.gauss(0, 1) for _ in range(40_000)]
+    b = [float(rng.randrange(5)) for _ in range(40_000)]
+    c = [rng.random() ** 9 if n % 2 else None for n in range(40_000)]
+    df = spark.createDataFrame(list(zip(a, b, c, strict=True)), "a double, b double, c double").repartition(4)
+    shares = [0.0, 0.001, 0.25, 0.5, 0.77, 1.0]
+    row = ranges.quantiles(df, ["a", "b", "c"], shares).first()
+    for got, values in ((row.a, a), (row.b, b), (row.c, [v for v in c if v is not None])):
+        assert got == pytest.approx(list(np.quantile(values, shares)), rel=1e-12)
