@@ -107,6 +107,8 @@ def estimate(a: np.ndarray, b: np.ndarray, n: int, m: int) -> float:
     return max(0.0, ((a == b).mean() - by_chance) / (1 - by_chance))
 
 
+#: Rows with whole texts, sets or registers that go to Python at once.
+WIDE = 1_000
 SIGNATURE = "struct<n_shingles:bigint,set_key:binary,registers:binary,bands:array<bigint>>"
 
 
@@ -229,9 +231,9 @@ def classes(signed: DataFrame, texts: DataFrame, k: int, threshold: float) -> Da
     est = pairs.join(ru, pairs.u == ru.rid_u).join(rv, F.col("v") == rv.rid_v)
     est = est.select("u", "v", _estimated()("registers_u", "registers_v", "n_shingles_u", "n_shingles_v").alias("est")).where(F.col("est") >= threshold - SLACK)
     best = F.slice(F.sort_array(F.collect_list(F.struct("est", "v")), False), 1, LEADERS)  # at most BANDS in the list
-    chosen = stored(est.groupBy("u").agg(best.alias("best")).select("u", F.explode("best").alias("b")).select("u", "b.v"))
+    chosen = stored(est.groupBy("u").agg(best.alias("best")).select("u", F.explode("best").alias("b")).select("u", "b.v"), WIDE)
     sets = _sets(texts, chosen.select(F.explode(F.array("u", "v")).alias("rid")), k)
-    edges = stored(_check(chosen, sets, threshold))
+    edges = stored(_check(chosen, sets, threshold), WIDE)
     drop(sets, chosen, buckets)
     several = able.groupBy("doc_id").agg(F.min("set_key").alias("a"), F.max("set_key").alias("b")).where("a <> b").select("doc_id")
     if not several.isEmpty():  # a document of several texts ties their classes
@@ -252,7 +254,7 @@ def _sets(texts: DataFrame, needed: DataFrame, k: int) -> DataFrame:
     needed = F.broadcast(needed) if needed.count() <= BROADCAST else needed
     hashed = F.arrow_udf(_hashes(k), "binary")
     found = texts.join(needed, texts.doc_id == needed.rid).select("rid", hashed("text").alias("shingles"))
-    return stored(found.groupBy("rid", F.xxhash64("shingles").alias("h")).agg(F.any_value("shingles").alias("shingles")).select("rid", "shingles"))
+    return stored(found.groupBy("rid", F.xxhash64("shingles").alias("h")).agg(F.any_value("shingles").alias("shingles")).select("rid", "shingles"), WIDE)
 
 
 def _hashes(k: int):
@@ -274,12 +276,12 @@ def _check(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 def _minorities(shared: DataFrame, labels: DataFrame, regs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame | None:
     """Step 3: links across the components of a bucket, stored; None without any."""
     placed = stored(shared.join(labels, shared.rid == labels.node, "left").select("key", "rid", F.coalesce("component", "rid").alias("comp")))
-    near = stored(_in_blocks(placed, regs.select("rid", F.struct("n_shingles", "registers").alias("payload")), _promising(threshold), "rid bigint"))
+    near = stored(_in_blocks(placed, regs.select("rid", F.struct("n_shingles", "registers").alias("payload")), _promising(threshold), "rid bigint"), WIDE)
     if near.isEmpty():
         drop(placed, near)
         return None
     sets = _sets(texts, near, k)
-    links = stored(_in_blocks(placed.join(near, "rid").select("key", "rid", "comp"), sets.select("rid", F.struct("shingles").alias("payload")), _linking(threshold), "u bigint, v bigint"))
+    links = stored(_in_blocks(placed.join(near, "rid").select("key", "rid", "comp"), sets.select("rid", F.struct("shingles").alias("payload")), _linking(threshold), "u bigint, v bigint"), WIDE)
     drop(placed, near, sets)
     return links
 
@@ -309,7 +311,7 @@ def _in_blocks(placed: DataFrame, payload: DataFrame, compared, schema: str) ->
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """``df`` with n_shingles, component_id and kept (whether the row's key is its component's)."""
     texts = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = stored(texts.select("doc_id", _signed(words)("text").alias("s")).select("doc_id", "s.*"))
+    signed = stored(texts.select("doc_id", _signed(words)("text").alias("s")).select("doc_id", "s.*"), WIDE)
     found = classes(signed, texts, words, threshold)
     of = signed.select("doc_id", "n_shingles", "set_key").join(found.withColumnRenamed("set_key", "of_set"), F.col("set_key") == F.col("of_set"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

@@ -67,11 +67,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as a Parquet table in the shared folder and read again; its lineage is cut. ``drop`` deletes it."""
+#: How many rows go to Python at once.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stored(df: DataFrame, batch: int | None = None) -> DataFrame:
+    """``df`` written as a Parquet table in the shared folder and read again; its lineage is cut. ``drop`` deletes it.
+
+    With ``batch``, no more rows than this go to Python at once: wide rows fill an executor's memory in the session's number.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/millrace-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(BATCH)
+    if batch is not None and not 0 < int(before) <= batch:
+        spark.conf.set(BATCH, str(batch))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(BATCH, before)
     table = spark.read.schema(df.schema).parquet(path)
     table.millrace_folder = path
     return table
