@@ -197,12 +197,14 @@ def _mapped(df: DataFrame, column: str, fields: str, make) -> DataFrame:
     new = [f.split(":")[0] for f in fields.split(",")]
     keep = [c for c in df.columns if c.lower() not in new]
     plain = [f"c{n}" for n in range(len(keep))]
-    data = df.select(F.col(quoted(column)).alias("value"), *(F.col(quoted(c)).alias(n) for c, n in zip(keep, plain, strict=True)))
+    kept = [F.col(quoted(c)).alias(n) for c, n in zip(keep, plain, strict=True)]
+    source = plain[keep.index(column)] if column in keep else "value"
+    data = df.select(*kept) if column in keep else df.select(F.col(quoted(column)).alias("value"), *kept)
 
     def run(batches):
         f = make()
         for batch in batches:
-            values = batch.column("value").to_pylist()
+            values = batch.column(source).to_pylist()
             for a, b in _steps(values):
                 yield _with(batch.slice(a, b - a), plain, f(values[a:b]))
 
