@@ -14,7 +14,7 @@ Links are never spread out as all pairs of a group:
 2. In each band bucket every class meets one seeded leader; a class verifies
    its most promising leaders. Components follow.
 3. A bucket that still holds several components has its minorities compared
-   with all its members in blocks of bounded size: first on registers, and only
+   with all its members in blocks of bounded bytes: first on registers, and only
    classes that have a promising partner of another component then on full
    sets. Only links leave a block. So any two classes that share a band are
    either connected already or compared.
@@ -54,8 +54,8 @@ LEADERS = 3
 STEP = 500
 #: Keys, of 8 bytes each, that may be broadcast.
 BROADCAST = 1 << 22
-#: Sides of a block in step 3.
-FEW, MANY = 64, 512
+#: Bytes of a block's side in step 3, and what a class takes beside its set; a bucket whose sides fit is one block, and its rows aren't repeated.
+SIDE, CLASS = 1 << 22, 1 << 10
 #: For each bucket, the order in which it looks for another to borrow from.
 BORROW = np.random.default_rng(7).permuted(np.tile(np.arange(BUCKETS, dtype=np.int16), (BUCKETS, 1)), axis=1)
 
@@ -163,18 +163,16 @@ def _verified(threshold: float):
 def _promising(threshold: float):
     """The classes of a block whose registers estimate a likeness near ``threshold`` to a class of another component."""
 
-    def found(few: list, many: list):
-        out = set()
-        if few and many:
-            there, size, comp = np.stack([m[2] for m in many]), [m[3] for m in many], np.array([m[1] for m in many])
-            for u, c, regs, n in few:
-                equal = (there == regs).mean(1)
-                # Registers of unlike sets agree by chance too, so an estimate is never above the share that is equal.
-                near = [v for v in np.flatnonzero((equal >= threshold - SLACK) & (comp != c)) if estimate(regs, there[v], n, size[v]) >= threshold - SLACK]
-                if near:
-                    out.add((u,))
-                    out.update((many[v][0],) for v in near)
-        return sorted(out)
+    def found(few: list, many: list, told: set):
+        there, size, comp = _stacked(many)
+        for u, c, regs, n in few:
+            equal = _share(there, regs)
+            # Registers of unlike sets agree by chance too, so an estimate is never above the share that is equal.
+            near = [v for v in np.flatnonzero((equal >= threshold - SLACK) & (comp != c)) if estimate(regs, there[v], n, size[v]) >= threshold - SLACK]
+            for x in [u, *(many[v][0] for v in near)] if near else ():
+                if x not in told:
+                    told.add(x)
+                    yield (x,)
 
     return _over_blocks(found, lambda p: (np.frombuffer(p["registers"], np.uint16), p["n_shingles"]), ("rid",))
 
@@ -182,31 +180,43 @@ def _promising(threshold: float):
 def _linking(threshold: float):
     """Links between the minority classes (side 0) and all classes (side 1) of each block, at most one a class and component."""
 
-    def links(few: list, many: list):
-        for u, comp, s in few:
-            met = {comp}
-            for v, other, t in many:
-                if other not in met and linked(s, t, threshold):
-                    met.add(other)
-                    yield u, v
+    def links(few: list, many: list, told: set):
+        there, _, comp = _stacked(many)
+        for u, c, regs, _, s in few:
+            for v in np.flatnonzero((_share(there, regs) >= threshold - SLACK) & (comp != c)):
+                other = many[v][1]
+                if (u, other) not in told and linked(s, many[v][4], threshold):
+                    told.add((u, other))
+                    yield u, many[v][0]
 
-    return _over_blocks(links, lambda p: (np.frombuffer(p["shingles"], np.uint64),), ("u", "v"))
+    return _over_blocks(links, lambda p: (np.frombuffer(p["registers"], np.uint16), p["n_shingles"], np.frombuffer(p["shingles"], np.uint64)), ("u", "v"))
+
+
+def _stacked(many: list) -> tuple[np.ndarray, list[int], np.ndarray]:
+    return np.stack([m[2] for m in many]), [m[3] for m in many], np.array([m[1] for m in many])
+
+
+def _share(there: np.ndarray, regs: np.ndarray) -> np.ndarray:
+    return (there == regs).view(np.uint8).sum(1, dtype=np.uint16) / BUCKETS
 
 
 def _over_blocks(compared, opened, names: tuple[str, ...]):
-    """Rows come block by block, side 0 first; what ``compared`` finds among both sides' (class, component, *opened payload) leaves it."""
+    """Rows come block by block, side 0 first, which is held; side 1 passes by in stretches.
+
+    ``compared`` gets both sides' (class, component, *opened payload) and a set for what it told of the block before.
+    """
 
     def run(batches):
-        at, sides = None, ([], [])
+        at, few, told = None, [], set()
         for batch in batches:
-            out = []
+            out, many = [], []
             for block, side, rid, comp, payload in zip(*(batch.column(c).to_pylist() for c in ("block", "side", "rid", "comp", "payload")), strict=True):
                 if block != at:
-                    out += compared(*sides)
-                    at, sides = block, ([], [])
-                sides[side].append((rid, comp, *opened(payload)))
+                    out += compared(few, many, told) if few and many else ()
+                    at, few, many, told = block, [], [], set()
+                (many if side else few).append((rid, comp, *opened(payload)))
+            out += compared(few, many, told) if few and many else ()
             yield _table(out)
-        yield _table(list(compared(*sides)))
 
     def _table(rows: list) -> pa.RecordBatch:
         columns = zip(*dict.fromkeys(rows)) if rows else [()] * len(names)
@@ -275,25 +285,30 @@ def _check(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 def _minorities(shared: DataFrame, labels: DataFrame, regs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame | None:
     """Step 3: links across the components of a bucket, stored; None without any."""
-    placed = stored(shared.join(labels, shared.rid == labels.node, "left").select("key", "rid", F.coalesce("component", "rid").alias("comp")))
+    placed = stored(shared.join(labels, shared.rid == labels.node, "left").select("key", "rid", F.coalesce("component", "rid").alias("comp"), F.lit(CLASS).cast("long").alias("bytes")))
     near = stored(_in_blocks(placed, regs.select("rid", F.struct("n_shingles", "registers").alias("payload")), _promising(threshold), "rid bigint"), WIDE)
     if near.isEmpty():
         drop(placed, near)
         return None
     sets = _sets(texts, near, k)
-    links = stored(_in_blocks(placed.join(near, "rid").select("key", "rid", "comp"), sets.select("rid", F.struct("shingles").alias("payload")), _linking(threshold), "u bigint, v bigint"), WIDE)
+    some = placed.join(near.join(regs.select("rid", "n_shingles"), "rid"), "rid").select("key", "rid", "comp", (F.col("bytes") + 8 * F.col("n_shingles")).alias("bytes"))
+    payload = sets.join(regs, "rid").select("rid", F.struct("n_shingles", "registers", "shingles").alias("payload"))
+    links = stored(_in_blocks(some, payload, _linking(threshold), "u bigint, v bigint"), WIDE)
     drop(placed, near, sets)
     return links
 
 
 def _in_blocks(placed: DataFrame, payload: DataFrame, compared, schema: str) -> DataFrame:
-    """The distinct rows that ``compared`` finds in the blocks of buckets with several components; ``payload`` has a row or more for each class."""
-    sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    """The distinct rows that ``compared`` finds in the blocks of buckets with several components; ``payload`` has a row or more for each class.
+
+    Both sides are cut by what their classes take, so that a bucket's rows are repeated only where a side goes beyond SIDE.
+    """
+    sizes = placed.groupBy("key", "comp").agg(F.sum("bytes").alias("n"))
     mixed_ = stored(
         sizes.groupBy(F.col("key").alias("k"))
         .agg(F.sum("n").alias("total"), F.max(F.struct("n", "comp")).alias("main"), F.count("*").alias("comps"))
         .where("comps > 1")
-        .select("k", F.col("main.comp").alias("main"), F.ceil((F.col("total") - F.col("main.n")) / FEW).cast("int").alias("fews"), F.ceil(F.col("total") / MANY).cast("int").alias("manys"))
+        .select("k", F.col("main.comp").alias("main"), F.ceil((F.col("total") - F.col("main.n")) / SIDE).cast("int").alias("fews"), F.ceil(F.col("total") / SIDE).cast("int").alias("manys"))
     )
     rows = placed.join(mixed_, placed.key == mixed_.k)
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))

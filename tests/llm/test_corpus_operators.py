@@ -470,6 +470,20 @@ def test_near_dedup_query_brute_force(spark, documents):
     assert got == brute_components([(i, t) for i, t, *_ in documents], 2)
 
 
+def test_rows_of_a_mixed_bucket_are_not_repeated_and_any_cut_finds_the_same_links(spark, monkeypatch):
+    """Once a row and side in a bucket of 300 strangers; then blocks of a few classes against brute force."""
+    placed = near_dedup.stored(spark.range(300).selectExpr("1L AS key", "id AS rid", "id AS comp", f"{1 << 10}L AS bytes"))
+    seen = lambda batches: (b.select(["side", "rid", "block"]) for b in batches)
+    payload = spark.range(300).selectExpr("id AS rid", "struct(id) AS payload")
+    assert near_dedup._in_blocks(placed, payload, seen, "side int, rid bigint, block bigint").count() == 300 + 299
+    monkeypatch.setattr(near_dedup, "SIDE", 20 << 10)
+    rng = random.Random(5)
+    common = [f"b{i}" for i in range(100)]
+    rows = [(n, " ".join(common[: 100 - n % 9] + [f"o{rng.randrange(10**9)}" for _ in range(rng.randrange(60))])) for n in range(200)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()}
+    assert got == brute_components(rows, 2)
+
+
 def test_hyperminhash_estimates():
     rng = np.random.default_rng(2)
     for share in (0.3, 0.6, 0.8, 0.95):
