@@ -135,10 +135,10 @@ def merge_pieces(pieces: list[str], bpe: Bpe) -> list[list[int]]:
 
 
 class Encoder:
-    """Encodes batches of texts; pieces seen before in the partition are remembered."""
+    """Encodes batches of texts; what ``form`` makes of the ids of pieces seen before in the partition is remembered."""
 
-    def __init__(self, bpe: Bpe):
-        self.bpe, self.known = bpe, {}
+    def __init__(self, bpe: Bpe, form=lambda ids: array("i", ids)):  # compact: a partition has many
+        self.bpe, self.known, self.form = bpe, {}, form
         self.split = regex.compile(PIECES).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(bpe.special, key=len, reverse=True))) + ")") if bpe.special else None
 
@@ -154,8 +154,8 @@ class Encoder:
         if len(self.known) > REMEMBERED:
             self.known = {}
         new = sorted(set(chain.from_iterable(split)).difference(self.known, self.bpe.special))
-        self.known.update(zip(new, (array("i", ids) for ids in merge_pieces(new, self.bpe)), strict=True))  # compact: a partition has many
-        self.known.update({t: [i] for t, i in self.bpe.special.items()})
+        self.known.update(zip(new, map(self.form, merge_pieces(new, self.bpe)), strict=True))
+        self.known.update({t: self.form([i]) for t, i in self.bpe.special.items()})
         return split
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
@@ -164,10 +164,15 @@ class Encoder:
         return [list(chain.from_iterable([known[p] for p in ps])) for ps in split]
 
 
+def id_bytes(ids: list[int] | None, bpe: Bpe) -> bytes:
+    """The bytes that some ids stand for, in order; those of several stretches of ids join up to the whole's."""
+    get = bpe.tokens.get
+    return b"".join([get(i, b"") for i in ids or ()])
+
+
 def decode_ids(ids: list[int] | None, bpe: Bpe) -> str:
     """The text of some ids; bytes that aren't UTF-8 become U+FFFD."""
-    get = bpe.tokens.get
-    return b"".join([get(i, b"") for i in ids or ()]).decode("utf-8", "replace")
+    return id_bytes(ids, bpe).decode("utf-8", "replace")
 
 
 #: Texts that are encoded at once, in characters, so that ids of few texts are in memory.
@@ -240,22 +245,28 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
 
 def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """``df`` with n_tokens and the digests of its ids and of the text decoded from them; ids don't leave the task."""
+    """``df`` with n_tokens and the digests of its ids and of the text decoded from them; ids don't leave the task.
+
+    Ids are written out and decoded once for each distinct piece; a text joins what its pieces' ids gave.
+    """
     shared = df.sparkSession.sparkContext.broadcast(load(path))
 
     def make():
         bpe = shared.value
-        encoder = Encoder(bpe)
+        encoder = Encoder(bpe, lambda ids: (",".join(map(str, ids)).encode(), id_bytes(ids, bpe)))
         sha = lambda b: hashlib.sha256(b).hexdigest()
-        names = {i: str(i) for i in bpe.tokens}.__getitem__
+
+        def one(pieces: list[str]) -> tuple[int, str, str]:
+            known = encoder.known
+            found = [known[p] for p in pieces]
+            ids = b",".join([i for i, _ in found])
+            decoded = b"".join([d for _, d in found]).decode("utf-8", "replace")
+            return ids.count(b",") + 1 if found else 0, sha(ids), sha(decoded.encode())
 
         def f(texts):
-            encoded = encoder.encode(texts)
-            return {
-                "n_tokens": pa.array([len(i) for i in encoded], pa.int64()),
-                "ids_sha256": pa.array([sha(",".join(map(names, i)).encode()) for i in encoded], pa.string()),
-                "decoded_sha256": pa.array([sha(decode_ids(i, bpe).encode()) for i in encoded], pa.string()),
-            }
+            rows = [one(pieces) for pieces in encoder.learn([t or "" for t in texts])]
+            counts, ids, decoded = zip(*rows) if rows else ((), (), ())
+            return {"n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
 
         return f
 

@@ -484,6 +484,13 @@ def test_rows_of_a_mixed_bucket_are_not_repeated_and_any_cut_finds_the_same_link
     assert got == brute_components(rows, 2)
 
 
+def test_bpe_remembers_what_is_made_of_a_piece():
+    vocabulary = bpe.load(BPE_PATH)
+    encoder = bpe.Encoder(vocabulary, lambda ids: bpe.decode_ids(ids, vocabulary))
+    assert ["".join(map(encoder.known.get, ps)) for ps in encoder.learn(["one one two é\U0001f600", ""])] == ["one one two é\U0001f600", ""]
+    assert all(p == made for p, made in encoder.known.items())
+
+
 def test_hyperminhash_estimates():
     rng = np.random.default_rng(2)
     for share in (0.3, 0.6, 0.8, 0.95):
