@@ -24,6 +24,7 @@ from array import array
 from dataclasses import dataclass
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -222,11 +223,15 @@ def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(load(path))  # the vocabulary's size is fixed
 
     def make():
-        encoder = Encoder(shared.value)
+        encoder = Encoder(shared.value, lambda ids: array("i", ids).tobytes())
 
         def f(texts):
-            ids = encoder.encode(texts)
-            return {"n_tokens": pa.array([len(i) for i in ids], pa.int64()), "ids": pa.array(ids, pa.list_(pa.int32()))}
+            split = encoder.learn([t or "" for t in texts])
+            known = encoder.known
+            ids = [b"".join([known[p] for p in pieces]) for pieces in split]
+            ends = np.cumsum([0] + [len(i) // 4 for i in ids])
+            values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))])
+            return {"n_tokens": pa.array(np.diff(ends), pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)}
 
         return f
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +48,9 @@ def _hot(rows: DataFrame, key: str, n: int) -> DataFrame | None:
     most = max(HOT, n // (HOT_KEYS * parts))
     hot = rows.groupBy(F.col(key).alias("hot")).agg(F.count("*").alias("n")).where(F.col("n") > most)
     found = hot.select("hot", F.ceil(F.col("n") / most).cast("int").alias("parts")).collect()  # HOT_KEYS bounds them
-    return rows.sparkSession.createDataFrame(found, "hot bigint, parts int") if found else None
+    # As an Arrow table, which no Python worker reads.
+    table = pa.table({"hot": pa.array([r.hot for r in found], pa.int64()), "parts": pa.array([r.parts for r in found], pa.int32())})
+    return rows.sparkSession.createDataFrame(table) if found else None
 
 
 def spread(rows: DataFrame, key: str, unique: DataFrame, other: str, hot: DataFrame | None) -> DataFrame:

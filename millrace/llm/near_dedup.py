@@ -140,7 +140,8 @@ def _estimated():
             pa.float64(),
         )
 
-    return F.arrow_udf(run, "double")
+    # A filter on a deterministic one is moved below it and computes it again, with a second Python worker for every task.
+    return F.arrow_udf(run, "double").asNondeterministic()
 
 
 def linked(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:

@@ -484,6 +484,14 @@ def test_rows_of_a_mixed_bucket_are_not_repeated_and_any_cut_finds_the_same_link
     assert got == brute_components(rows, 2)
 
 
+def test_likeness_of_a_pair_is_computed_once(spark):
+    regs = near_dedup.registers(np.arange(1, 50, dtype=np.uint64) << np.uint64(50)).tobytes()
+    pairs = spark.createDataFrame([(1, bytearray(regs), 49)], "u long, r binary, n long").repartition(2)
+    est = pairs.select("u", near_dedup._estimated()("r", "r", "n", "n").alias("est")).where("est >= 0.5")
+    assert est._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert est.count() == 1
+
+
 def test_bpe_remembers_what_is_made_of_a_piece():
     vocabulary = bpe.load(BPE_PATH)
     encoder = bpe.Encoder(vocabulary, lambda ids: bpe.decode_ids(ids, vocabulary))
