@@ -32,19 +32,42 @@ def _mixed(image: Column, y: Column, x: Column, fill: float | None) -> Column:
     return (at(0, 0) * (1 - right) + at(0, 1) * right) * (1 - down) + (at(1, 0) * (1 - right) + at(1, 1) * right) * down
 
 
+def _once(image: Column, made: Callable[[Column], Column]) -> Column:
+    """``made`` of an image that is computed once: an expression that makes one would otherwise run again at every pixel looked up."""
+    return F.get(F.transform(F.array(image), made), F.lit(0))
+
+
 def warped(image: Column, source: Callable[[Column, Column], tuple[Column, Column]], height: int, width: int, fill: float | None = 0.0) -> Column:
     """An image of ``height`` by ``width``; ``source(i, j)`` is the (y, x) that target pixel (i, j) is looked up at."""
     if height < 1 or width < 1:
         raise ValueError("an image has a pixel at least")
     upto = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
-    made = F.transform(upto(height), lambda i: F.transform(upto(width), lambda j: _mixed(image, *source(i, j), fill)))
-    return F.when((F.size(image) > 0) & (F.size(F.get(image, F.lit(0))) > 0), made)
+    made = lambda image: F.transform(upto(height), lambda i: F.transform(upto(width), lambda j: _mixed(image, *source(i, j), fill)))
+    return _once(image, lambda held: F.when((F.size(held) > 0) & (F.size(F.get(held, F.lit(0))) > 0), made(held)))
 
 
 def resized(image: Column, height: int, width: int) -> Column:
     """The image at another size: pixel centres fall on each other at the corners of both."""
-    place = lambda n, of, to: (n + 0.5) * (of / F.lit(float(to))) - 0.5
-    return warped(image, lambda i, j: (place(i, F.size(image), height), place(j, F.size(image[0]), width)), height, width, None)
+    if height < 1 or width < 1:
+        raise ValueError("an image has a pixel at least")
+    return _once(image, lambda held: _resized(held, height, width))
+
+
+def _resized(image: Column, height: int, width: int) -> Column:
+    # A target row's two source rows are found once and not for every pixel.
+    tall, wide = _neighbours(F.size(image), height), _neighbours(F.size(F.get(image, F.lit(0))), width)
+    rows = F.transform(tall, lambda r: F.struct(F.get(image, r["near"]).alias("top"), F.get(image, r["next"]).alias("bottom"), r["share"].alias("share")))
+    across = lambda row, c: F.get(row, c["near"]) * (1 - c["share"]) + F.get(row, c["next"]) * c["share"]
+    made = F.transform(rows, lambda r: F.transform(wide, lambda c: across(r["top"], c) * (1 - r["share"]) + across(r["bottom"], c) * r["share"]))
+    return F.when((F.size(image) > 0) & (F.size(F.get(image, F.lit(0))) > 0), made)
+
+
+def _neighbours(n: Column, to: int) -> Column:
+    """For each of ``to`` places along ``n`` pixels: the pixel at or before it, the next, and how far it is towards that; the border's beyond the border."""
+    inside = lambda at: F.greatest(F.lit(0), F.least(at, n - 1))
+    place = lambda k: (k + 0.5) * (n / F.lit(float(to))) - 0.5
+    found = lambda y: F.struct(inside(F.floor(y).cast("int")).alias("near"), inside(F.floor(y).cast("int") + 1).alias("next"), (y - F.floor(y)).alias("share"))
+    return F.transform(F.array(*map(F.lit, range(to))), lambda k: found(place(k)))
 
 
 def affine(image: Column, matrix: tuple[float, float, float, float], shift: tuple[float, float], height: int, width: int, fill: float = 0.0) -> Column:

@@ -95,3 +95,11 @@ def test_registered_metrics_join_a_tasks_own(spark):
         metrics.register("rmse", lambda y, p: F.max(y))
     r = metrics.timed(lambda d: d.withColumn("q", F.col("p") * 2), df).first()
     assert r["n"] == 3 and r["seconds"] > 0 and r["rows_per_second"] == pytest.approx(3 / r["seconds"])
+
+
+def test_an_image_that_is_computed_is_computed_once(spark):
+    """Spark moves the expression of an image to where it is looked up, which was at every pixel."""
+    flat = spark.range(3).select(images.from_flat(F.transform(F.sequence(F.lit(1), F.lit(64)), lambda v: v + F.col("id")), 8).alias("image"))
+    for made in (images.resized(F.col("image"), 5, 12), images.rotated(F.col("image"), 25, 8, 8)):
+        plan = flat.select(made.alias("image"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("slice(") == 1
