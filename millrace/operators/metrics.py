@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import half_up, only_row
-from millrace.operators.ranges import cumulative, quantiles
+from millrace.operators.ranges import placed, quantiles, tallied
 
 EPS = 1e-15
 #: Primary metric and direction by kind of task.
@@ -82,15 +82,10 @@ def averages(df: DataFrame, truth: str, pred: str) -> DataFrame:
     return c.agg(made.alias("rows")).select(F.inline("rows"))
 
 
-def _by_score(df: DataFrame, positive: Column, score: Column, by: list[Column] = []) -> DataFrame:
-    """Rows and positives of each distinct score."""
-    return df.groupBy(*by, score.alias("score")).agg(F.count("*").alias("n"), F.sum(positive.cast("long")).alias("pos"))
-
-
 def auc(df: DataFrame, positive: Column, score: Column, by: list[Column] = [], names: list[str] = []) -> DataFrame:
-    """(by..., auc): the chance that a positive's score is above a negative's, ties counting half."""
-    c = _by_score(df, positive, score, by).withColumn("neg", F.col("n") - F.col("pos"))
-    won = cumulative(c, "score", ["neg"], names).withColumn("wins", F.col("pos") * (F.col("upto_neg") - F.col("neg") / 2))
+    """(by..., auc): the chance that a positive's score is above a negative's, ties counting half; rows without a truth don't count."""
+    held = df.select(*by, score.alias("score"), positive.cast("long").alias("pos")).where("pos IS NOT NULL").withColumn("neg", 1 - F.col("pos"))
+    won = tallied(held, "score", ["pos", "neg"], names).withColumn("wins", F.col("pos") * (F.col("upto_neg") - F.col("neg") / 2))
     return won.groupBy(*names).agg(half_up(F.try_divide(F.sum("wins"), F.sum("pos").cast("double") * F.sum("neg"))).alias("auc"))
 
 
@@ -100,6 +95,32 @@ def one_against_rest(df: DataFrame, truth: str, classes: list, scores: list[str]
     return df.select(F.inline(F.array(*each)))
 
 
+def _points_ovr(pairs: DataFrame) -> DataFrame:
+    """(label, score, pos, neg) of each distinct score of a class, with sums from that score on (``tp``, ``fp``) and in all, of
+    the class and of all classes (``any_``); ``first`` marks one row of each score.
+
+    Both are accumulated in the same ranges of the score, so that the pairs are grouped once and dealt out once.
+    """
+    values = ["pos", "neg"]
+    rows = placed(pairs.select("label", "score", F.col("is").cast("long").alias("pos"), (~F.col("is")).cast("long").alias("neg")), "score")
+    total = [F.sum(v).alias(v) for v in values]
+    own, below = W.partitionBy("label"), lambda w: w.orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, 0)
+    above = lambda of, w, name: (F.sum(of).over(below(w)) - F.col(of)).alias(name)
+    sums = rows.groupBy("label", "_range").agg(*total)
+    whole = sums.groupBy("_range").agg(*total)
+    own_sums = sums.select(F.col("label").alias("_label"), F.col("_range").alias("_own_range"), *(x for v in values for x in (above(v, own, f"_own_{v}"), F.sum(v).over(own).alias(f"all_{v}"))))
+    any_sums = whole.select(F.col("_range").alias("_any_range"), *(x for v in values for x in (above(v, W.partitionBy(), f"_any_{v}"), F.sum(v).over(W.partitionBy()).alias(f"any_all_{v}"))))
+    # Ties share what is summed over all classes; within a class there are none.
+    ties = W.partitionBy("_range").orderBy(F.desc("score"))
+    counts = rows.groupBy("label", "_range", "score").agg(*total)
+    upto = lambda w: w.rangeBetween(W.unboundedPreceding, W.currentRow)
+    held = counts.withColumns({f"_any_in_{v}": F.sum(v).over(upto(ties)) for v in values} | {"first": F.row_number().over(ties) == F.rank().over(ties)})
+    held = held.withColumns({f"_own_in_{v}": F.sum(v).over(upto(W.partitionBy("_range", "label").orderBy(F.desc("score")))) for v in values})
+    held = held.join(F.broadcast(own_sums), (F.col("label") == F.col("_label")) & (F.col("_range") == F.col("_own_range"))).join(F.broadcast(any_sums), F.col("_range") == F.col("_any_range"))
+    from_ = {f"{to}{name}": F.col(f"_{level}_{v}") + F.col(f"_{level}_in_{v}") for level, to in (("own", ""), ("any", "any_")) for v, name in (("pos", "tp"), ("neg", "fp"))}
+    return held.withColumns(from_).select("label", "score", "pos", "neg", "first", *from_, *(f"{a}all_{v}" for a in ("", "any_") for v in values))
+
+
 def auc_ovr(df: DataFrame, truth: str, classes: list, scores: list[str]) -> DataFrame:
     """Macro average of each class's AUC against the rest, and the micro one over all pairs."""
     pairs = one_against_rest(df, truth, classes, scores)
@@ -149,11 +170,11 @@ def losses(df: DataFrame, truth: str, score: str) -> DataFrame:
     )
 
 
-def _from_highest(df: DataFrame, positive: Column, score: Column, by: list[str] = []) -> DataFrame:
-    """Each distinct score (of each group of ``by``) with the positives and negatives at it (``pos``, ``neg``), from it on (``tp``, ``fp``) and in all."""
-    c = _by_score(df, positive, score, [F.col(b) for b in by]).withColumn("neg", F.col("n") - F.col("pos"))
+def _from_highest(df: DataFrame, positive: Column, score: Column) -> DataFrame:
+    """Each distinct score with the positives and negatives at it (``pos``, ``neg``), from it on (``tp``, ``fp``) and in all; without a truth a row is negative."""
+    held = df.select(score.alias("score"), F.coalesce(positive.cast("long"), F.lit(0)).alias("pos")).withColumn("neg", 1 - F.col("pos"))
     from_ = lambda v: F.col(f"all_{v}") - F.col(f"upto_{v}") + F.col(v)
-    return cumulative(c, "score", ["pos", "neg"], by).withColumns({"tp": from_("pos"), "fp": from_("neg")})
+    return tallied(held, "score", ["pos", "neg"]).withColumns({"tp": from_("pos"), "fp": from_("neg")})
 
 
 def roc_curve(df: DataFrame, positive: Column, score: Column) -> DataFrame:
@@ -164,11 +185,13 @@ def roc_curve(df: DataFrame, positive: Column, score: Column) -> DataFrame:
 
 def roc_curve_ovr(df: DataFrame, truth: str, classes: list, scores: list[str]) -> DataFrame:
     """(label, threshold, tpr, fpr): the curve of each class against the rest, and ``micro`` over all pairs of row and class."""
-    pairs = one_against_rest(df, truth, classes, scores)
-    both = pairs.withColumn("label", F.explode(F.array("label", F.lit("micro"))))
+    points = _points_ovr(one_against_rest(df, truth, classes, scores))
+    # Rates are rounded after the rows are doubled: a filter that is inferred before it would round them once more.
+    sums = ("tp", "fp", "all_pos", "all_neg")
+    point = lambda label, held, a: F.struct(label.alias("label"), F.col("score").alias("threshold"), held.alias("held"), *(F.col(f"{a}{v}").alias(v) for v in sums))
+    both = points.select(F.inline(F.array(point(F.col("label"), F.lit(True), ""), point(F.lit("micro"), F.col("first"), "any_")))).where("held")
     rate = lambda a, b: half_up(F.try_divide(F.col(a), F.col(b)))
-    points = _from_highest(both, F.col("is"), F.col("score"), ["label"])
-    return points.select("label", F.col("score").alias("threshold"), rate("tp", "all_pos").alias("tpr"), rate("fp", "all_neg").alias("fpr"))
+    return both.select("label", "threshold", rate("tp", "all_pos").alias("tpr"), rate("fp", "all_neg").alias("fpr"))
 
 
 def by_fold(df: DataFrame, task: str, truth: str, pred: str, fold: str = "fold") -> DataFrame:

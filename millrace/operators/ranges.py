@@ -23,12 +23,30 @@ RANGES = 256
 ACCURACY = 10_000
 
 
+def _cuts(df: DataFrame, order: str) -> Column:
+    shares = F.array(*(F.lit(n / RANGES) for n in range(1, RANGES)))
+    return only_row(df.agg(F.percentile_approx(order, shares, ACCURACY).alias("cuts")))["cuts"]
+
+
+def _further(at: Column, step: int, cuts: Column, value: Column) -> Column:
+    """One step of a binary search: on by ``step`` where as many more cuts lie below the value."""
+    return at + F.when(F.get(cuts, at + (step - 1)) < value, step).otherwise(0)
+
+
+#: The steps of the search, which end at the number of cuts below a value.
+STEPS = [RANGES >> n for n in range(1, RANGES.bit_length())]
+
+
 def place(df: DataFrame, order: str) -> Column:
     """The range of a row of ``df`` along ``order``, a number or a time; equal values share one, missing ones are in the first."""
-    shares = F.array(*(F.lit(n / RANGES) for n in range(1, RANGES)))
-    cuts = only_row(df.agg(F.percentile_approx(order, shares, ACCURACY).alias("cuts")))["cuts"]
-    # The value's place among the cuts: as many lie below it.
-    return F.coalesce(F.array_position(F.sort_array(F.array_append(cuts, F.col(order))), F.col(order)) - 1, F.lit(0))
+    cuts = _cuts(df, order)
+    return reduce(lambda at, step: _further(at, step, cuts, F.col(order)), STEPS, F.lit(0))
+
+
+def placed(df: DataFrame, order: str) -> DataFrame:
+    """``df`` with ``place`` as ``_range``; a column for each step keeps every step to one comparison."""
+    begun = df.withColumns({"_cuts": _cuts(df, order), "_range": F.lit(0)})
+    return reduce(lambda out, step: out.withColumn("_range", _further(F.col("_range"), step, F.col("_cuts"), F.col(order))), STEPS, begun).drop("_cuts")
 
 
 def _same_range(by: list[str]) -> Column:
@@ -40,27 +58,45 @@ def _same_range(by: list[str]) -> Column:
 
 def cumulative(df: DataFrame, order: str, values: list[str], by: list[str] = []) -> DataFrame:
     """``df`` with ``upto_v`` (the sum of v over rows of ``order`` as low or lower) and ``all_v`` for each value."""
-    placed = df.withColumn("_range", place(df, order))
-    sums = placed.groupBy(*by, "_range").agg(*(F.sum(v).alias(v) for v in values))
+    rows = placed(df, order)
+    sums = rows.groupBy(*by, "_range").agg(*(F.sum(v).alias(v) for v in values))
+    return _accumulated(rows, sums, order, values, by).select(*df.columns, *(f"{at}_{v}" for at in ("upto", "all") for v in values))
+
+
+def tallied(df: DataFrame, order: str, values: list[str], by: list[str] = []) -> DataFrame:
+    """``cumulative`` of one row for each value of ``order`` within ``by``, which has the sums of ``values`` there.
+
+    Cuts and the ranges' sums come from ``df`` itself, so that the grouped rows, nearly as many, are made once. No range holds
+    more of them than rows between two cuts.
+    """
+    rows = placed(df.select(*by, order, *values), order)
+    total = [F.sum(v).alias(v) for v in values]
+    sums = rows.groupBy(*by, "_range").agg(*total)
+    counts = rows.groupBy(*by, "_range", order).agg(*total)
+    return _accumulated(counts, sums, order, values, by).drop("_range")
+
+
+def _accumulated(rows: DataFrame, sums: DataFrame, order: str, values: list[str], by: list[str]) -> DataFrame:
+    """``rows`` with ``upto_v`` and ``all_v``, from the ranges' sums and those within each."""
     along, every = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, 0), W.partitionBy(*by)
     before = sums.select(
         *(F.col(c).alias(f"_by{n}") for n, c in enumerate(by)), F.col("_range").alias("_r"),
         *(x for v in values for x in ((F.sum(v).over(along) - F.col(v)).alias(f"_before_{v}"), F.sum(v).over(every).alias(f"all_{v}"))),
     )
     inner = W.partitionBy(*by, "_range").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    held = placed.withColumns({f"_in_{v}": F.sum(v).over(inner) for v in values})
+    held = rows.withColumns({f"_in_{v}": F.sum(v).over(inner) for v in values})
     upto = ((F.col(f"_before_{v}") + F.col(f"_in_{v}")).alias(f"upto_{v}") for v in values)
-    return held.join(before, _same_range(by)).select(*df.columns, *upto, *(f"all_{v}" for v in values))
+    return held.join(F.broadcast(before), _same_range(by)).select(*rows.columns, *upto, *(f"all_{v}" for v in values))
 
 
 def numbered(df: DataFrame, order: list[str], by: list[str] = []) -> DataFrame:
     """``df`` with ``_rank`` (from 0) in the order of ``order`` within ``by``; the first of ``order`` is a number or a time."""
-    placed = df.withColumn("_range", place(df, order[0]))
-    counts = placed.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
+    rows = placed(df, order[0])
+    counts = rows.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(W.partitionBy(*by).orderBy("_range")) - F.col("_n")
     counts = counts.select(*(F.col(c).alias(f"_by{n}") for n, c in enumerate(by)), F.col("_range").alias("_r"), before.alias("_before"))
     inner = F.row_number().over(W.partitionBy(*by, "_range").orderBy(*order)) - 1
-    return placed.withColumn("_inner", inner).join(counts, _same_range(by)).select(*df.columns, (F.col("_before") + F.col("_inner")).alias("_rank"))
+    return rows.withColumn("_inner", inner).join(counts, _same_range(by)).select(*df.columns, (F.col("_before") + F.col("_inner")).alias("_rank"))
 
 
 #: How far beyond a share its bracket reaches on either side, in units of the cuts' accuracy; one unit is what they may be off by.

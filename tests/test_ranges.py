@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from millrace.operators import ranges, serving
+from millrace.operators import metrics, ranges, serving
 
 
 def bunched(n: int) -> list[float]:
@@ -68,3 +68,51 @@ def test_quantiles_in_brackets_equal_numpy(spark):
     row = ranges.quantiles(df, ["a", "b", "c"], shares).first()
     for got, values in ((row.a, a), (row.b, b), (row.c, [v for v in c if v is not None])):
         assert got == pytest.approx(list(np.quantile(values, shares)), rel=1e-12)
+
+
+def pairs_of(rows, scores=3):
+    """(label, is, score) of each row and class, as plain tuples, and those of all classes as micro."""
+    each = [(c, y == c, s[n]) for y, *s in rows for n, c in enumerate("FOP"[:scores])]
+    return each + [("micro", p, s) for _, p, s in each]
+
+
+def test_curves_and_areas_of_classes_equal_a_loop(spark):
+    """Ties within and between classes, a score that most rows share, missing truths."""
+    rng = random.Random(11)
+    score = lambda: 0.5 if rng.random() < 0.6 else round(rng.random(), 2)
+    rows = [(None if n % 17 == 0 else "FOP"[n % 3], score(), score(), score()) for n in range(700)]
+    df = spark.createDataFrame(rows, "y string, s0 double, s1 double, s2 double")
+    want, areas = {}, {}
+    for label in ("F", "O", "P", "micro"):
+        own = [(s, p) for c, p, s in pairs_of(rows) if c == label]
+        pos, neg = [s for s, p in own if p], [s for s, p in own if not p]
+        for t in {s for s, _ in own}:
+            want[label, t] = (round(sum(s >= t for s in pos) / len(pos), 6), round(sum(s >= t for s in neg) / len(neg), 6))
+        areas[label] = sum((a > b) + (a == b) / 2 for a in pos for b in neg) / len(pos) / len(neg)
+    got = metrics.roc_curve_ovr(df, "y", list("FOP"), ["s0", "s1", "s2"]).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert (r.tpr, r.fpr) == pytest.approx(want[r.label, r.threshold], abs=2e-6)
+    auc = {r.average: r.auc for r in metrics.auc_ovr(df, "y", list("FOP"), ["s0", "s1", "s2"]).collect()}
+    assert auc["micro"] == pytest.approx(areas["micro"], abs=2e-6) and auc["macro"] == pytest.approx(sum(areas[c] for c in "FOP") / 3, abs=2e-6)
+    none = metrics.auc_ovr(df.limit(0), "y", list("FOP"), ["s0", "s1", "s2"]).collect()
+    assert [(r.average, r.auc) for r in none] == [("macro", None), ("micro", None)]
+
+
+def test_ranges_are_found_without_sorting_the_cuts(spark):
+    """No row sorts the cuts, and the pairs of classes are grouped by score once, whatever is read from them."""
+    df = spark.createDataFrame([("F", 0.1, 0.2, 0.3)], "y string, s0 double, s1 double, s2 double")
+    for made in (metrics.roc_curve_ovr,):
+        plan = made(df, "y", list("FOP"), ["s0", "s1", "s2"])._jdf.queryExecution().optimizedPlan().toString()
+        assert "sort_array" not in plan
+        assert sum("Aggregate [label" in line and " score#" in line.split("],")[0] for line in plan.splitlines()) == 1
+
+
+def test_the_place_is_the_number_of_cuts_below(spark):
+    values = [None, -math.inf, -1.0, 0.0, 0.0, 5.0, math.inf, math.nan] + [float(n) for n in range(2000)]
+    df = spark.createDataFrame([(v,) for v in values], "a double")
+    rows = ranges.placed(df.withColumn("column", ranges.place(df, "a")), "a").collect()
+    assert all(r["column"] == r["_range"] for r in rows)
+    held = sorted((r for r in rows if r["a"] is not None and not math.isnan(r["a"])), key=lambda r: r["a"])
+    assert [r["_range"] for r in held] == sorted(r["_range"] for r in held) and len({r["_range"] for r in held}) > 200
+    assert [r["_range"] for r in rows if r["a"] is None] == [0]
