@@ -123,10 +123,13 @@ def _points_ovr(pairs: DataFrame) -> DataFrame:
 
 def auc_ovr(df: DataFrame, truth: str, classes: list, scores: list[str]) -> DataFrame:
     """Macro average of each class's AUC against the rest, and the micro one over all pairs."""
-    pairs = one_against_rest(df, truth, classes, scores)
-    each = auc(pairs, F.col("is"), F.col("score"), [F.col("label")], ["label"])
-    micro = auc(pairs, F.col("is"), F.col("score"))
-    return each.agg(half_up(F.avg("auc")).alias("auc")).select(F.lit("macro").alias("average"), "auc").unionAll(micro.select(F.lit("micro"), "auc"))
+    points = _points_ovr(one_against_rest(df, truth, classes, scores))
+    # Twice the wins: each positive against the negatives below its score, and against those at it or below.
+    wins = lambda a: F.sum(F.col("pos") * (F.col(f"{a}all_neg") - F.col(f"{a}fp")).cast("double") + F.col("neg") * F.col(f"{a}tp").cast("double"))
+    cells = lambda a: 2 * F.max(F.col(f"{a}all_pos").cast("double") * F.col(f"{a}all_neg"))
+    each = points.groupBy("label").agg(half_up(F.try_divide(wins(""), cells(""))).alias("auc"), wins("any_").alias("wins"), cells("any_").alias("cells"))
+    both = each.agg(half_up(F.avg("auc")).alias("macro"), half_up(F.try_divide(F.sum("wins"), F.max("cells"))).alias("micro"))
+    return both.select(F.inline(F.array(*(F.struct(F.lit(n).alias("average"), F.col(n).alias("auc")) for n in ("macro", "micro")))))
 
 
 def log_loss(df: DataFrame, positive: Column, score: Column, eps: float = EPS) -> DataFrame:

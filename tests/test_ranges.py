@@ -102,7 +102,7 @@ def test_curves_and_areas_of_classes_equal_a_loop(spark):
 def test_ranges_are_found_without_sorting_the_cuts(spark):
     """No row sorts the cuts, and the pairs of classes are grouped by score once, whatever is read from them."""
     df = spark.createDataFrame([("F", 0.1, 0.2, 0.3)], "y string, s0 double, s1 double, s2 double")
-    for made in (metrics.roc_curve_ovr,):
+    for made in (metrics.roc_curve_ovr, metrics.auc_ovr):
         plan = made(df, "y", list("FOP"), ["s0", "s1", "s2"])._jdf.queryExecution().optimizedPlan().toString()
         assert "sort_array" not in plan
         assert sum("Aggregate [label" in line and " score#" in line.split("],")[0] for line in plan.splitlines()) == 1
