@@ -20,11 +20,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table, read again: its lineage is cut, and a lost executor costs no more than one read."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/millrace-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    table = df.sparkSession.read.schema(df.schema).parquet(path)
+#: How many rows go to Python at once.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stored(df: DataFrame, batch: int | None = None) -> DataFrame:
+    """``df`` as a Parquet table, read again: its lineage is cut, and a lost executor costs no more than one read.
+
+    With ``batch``, no more rows than this go to Python at once.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/millrace-{uuid.uuid4().hex}"
+    before = spark.conf.get(BATCH)
+    if batch is not None and not 0 < int(before) <= batch:
+        spark.conf.set(BATCH, str(batch))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH, before)
+    table = spark.read.schema(df.schema).parquet(path)
     table.millrace_folder = path
     return table
 

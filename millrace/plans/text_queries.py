@@ -98,8 +98,7 @@ def _(t):
 
 @query("text_token_ids", f"WITH {VOCAB}, w AS (SELECT doc_id, unnest({TOKENS}) AS token, generate_subscripts({TOKENS}, 1) AS pos FROM documents), i AS (SELECT doc_id, pos, coalesce(id, 0) AS id FROM w LEFT JOIN v USING (token)) SELECT d.doc_id, coalesce(string_agg(id::VARCHAR, ',' ORDER BY pos), '') AS ids FROM documents d LEFT JOIN i USING (doc_id) GROUP BY d.doc_id")
 def _(t):
-    d = t("documents")
-    ids = text.token_ids(d, "text", "doc_id", text.vocabulary(d, "text"))
+    ids = text.token_ids(t("documents"), "text", "doc_id")
     return ids.select("doc_id", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))
 
 

@@ -264,3 +264,17 @@ def test_tokens_beyond_the_vocabulary_are_unknown(spark):
     assert [(r.token, r.id) for r in vocab.orderBy("id").collect()] == [("a", 0), ("b", 1), ("c", 2)]
     got = {r.doc_id: r.ids for r in text.token_ids(docs, "text", "doc_id", vocab, unknown=9).collect()}
     assert got == {1: [1, 0, 2], 2: [9, 0], 3: [], 4: []}
+
+
+def test_only_distinct_tokens_of_a_chunk_are_looked_up(spark, monkeypatch):
+    """Chunks that end within and between rows, hot tokens, rows without any; no occurrence is exploded."""
+    monkeypatch.setattr(text, "CHUNK_TOKENS", 40)
+    rows = [(n, None if n % 13 == 0 else "" if n % 11 == 0 else " ".join(["the", f"w{n % 7}", "The"] * (n % 5) + [f"\u00e9{n}"] * 60 * (n % 17 == 0))) for n in range(200)]
+    df = spark.createDataFrame(rows, "k long, t string").repartition(3)
+    words = {k: (t or "").lower().split() for k, t in rows}
+    place = {w: n for n, w in enumerate(sorted({w for ws in words.values() for w in ws}))}
+    own = text.token_ids(df, "t", "k")
+    assert {r.k: r.ids for r in own.collect()} == {k: [place[w] for w in ws] for k, ws in words.items()} and own.count() == 200
+    assert "Generate" not in own._jdf.queryExecution().optimizedPlan().toString()
+    some = spark.createDataFrame([("the", 5)], "token string, id long")
+    assert {r.k: r.ids for r in text.token_ids(df, "t", "k", some, unknown=-1).collect()} == {k: [5 if w == "the" else -1 for w in ws] for k, ws in words.items()}
