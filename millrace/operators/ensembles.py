@@ -8,11 +8,13 @@ round's plan doesn't hold all rounds before it.
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import add
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml import regression as R
@@ -25,6 +27,8 @@ from millrace.functions.storage import drop, stored
 from millrace.operators.split import folds
 
 SEED = 42
+#: Fits that run side by side.
+PARALLEL = 4
 
 
 def _inputs(df: DataFrame, features: list[str]) -> tuple[PipelineModel, DataFrame]:
@@ -161,10 +165,15 @@ class KernelMachine:
 
 def fourier(unit: Column, waves: np.ndarray, phases: np.ndarray) -> Column:
     """sqrt(2 / D) cos(w.x + b) for each of D waves; their products near a Gaussian kernel of the inputs as D grows."""
-    x, scale = vector_to_array(unit), math.sqrt(2 / len(waves))
-    held = F.array(*(F.struct(F.array(*map(F.lit, map(float, w))).alias("w"), F.lit(float(b)).alias("b")) for w, b in zip(waves, phases, strict=True)))
-    dot = lambda w: F.aggregate(F.zip_with(x, w["w"], lambda a, b: a * b), w["b"], lambda s, v: s + v)
-    return array_to_vector(F.transform(held, lambda w: scale * F.cos(dot(w))))
+    scale = math.sqrt(2 / len(waves))
+
+    @F.arrow_udf("array<double>")
+    def mapped(x: pa.Array) -> pa.Array:
+        rows = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1) if len(x) else np.empty((0, waves.shape[1]))
+        out = scale * np.cos(rows @ waves.T + phases)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(waves), pa.int32()), pa.array(out.ravel()))
+
+    return array_to_vector(mapped(vector_to_array(unit)))
 
 
 def kernel_svc(df: DataFrame, features: list[str], label: str, key: str, components: int = 200, gamma: float | None = None, penalty: float = 0.001, k: int = 3, seed: int = SEED) -> KernelMachine:
@@ -184,10 +193,15 @@ def kernel_svc(df: DataFrame, features: list[str], label: str, key: str, compone
     rows = stored(folds(able, key, k, seed, "_label"))
     mapped = inputs.transform(rows).withColumn("_waves", fourier(F.col("_unit"), waves, phases))
     svc = C.LinearSVC(featuresCol="_waves", labelCol="_label", regParam=penalty, maxIter=50)
-    margins = []
-    for n in range(k):
+
+    def margin(n: int) -> DataFrame:
         machine = svc.fit(mapped.where(F.col("fold") != n))
-        margins.append(machine.transform(mapped.where(F.col("fold") == n)).select("_label", F.get(vector_to_array("rawPrediction"), F.lit(1)).alias("margin")))
+        return machine.transform(mapped.where(F.col("fold") == n)).select("_label", F.get(vector_to_array("rawPrediction"), F.lit(1)).alias("margin"))
+
+    with ThreadPoolExecutor(min(k + 1, PARALLEL)) as pool:
+        whole = pool.submit(svc.fit, mapped)
+        margins = list(pool.map(margin, range(k)))
+        machine = whole.result()
     held = VectorAssembler(inputCols=["margin"], outputCol="_margin").transform(stored(reduce(DataFrame.unionAll, margins)))
     curve = C.LogisticRegression(featuresCol="_margin", labelCol="_label").fit(held)
-    return KernelMachine(inputs, waves, phases, svc.fit(mapped), float(curve.coefficients[0]), float(curve.intercept))
+    return KernelMachine(inputs, waves, phases, machine, float(curve.coefficients[0]), float(curve.intercept))

@@ -120,3 +120,16 @@ def test_predictions_of_raw_rows_are_those_evaluated(spark, tmp_path, kind):
     again = api.predicted(api.PipelineModel.load(path), df.drop("y"), "k")
     assert sorted(map(str, again.collect())) == sorted(map(str, out.collect()))
     assert len(got.importance()) == 2
+
+
+def test_waves_of_a_batch_are_one_product(spark):
+    """Waves equal numpy's, and no row evaluates them one by one in an interpreted lambda."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rng = np.random.default_rng(4)
+    waves, phases, x = rng.normal(0, 1, (20, 3)), rng.uniform(0, 6, 20), rng.normal(0, 1, (50, 3))
+    df = spark.createDataFrame([(n, list(map(float, r))) for n, r in enumerate(x)], "k int, x array<double>")
+    out = df.select("k", vector_to_array(ensembles.fourier(array_to_vector("x"), waves, phases)).alias("v"))
+    got = np.array([r["v"] for r in out.orderBy("k").collect()])
+    assert got == pytest.approx(math.sqrt(2 / 20) * np.cos(x @ waves.T + phases), abs=1e-12)
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString() and out.where("k < 0").count() == 0
