@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.components import components
-from millrace.llm.shingles import BASE, Hasher, mixed, overlap
+from millrace.llm.shingles import BASE, Hasher, mixed, overlap, overlaps
 from millrace.llm.text import drop, fresh, others, quoted, stored
 
 WORDS, THRESHOLD = 5, 0.8
@@ -56,6 +56,8 @@ STEP = 500
 BROADCAST = 1 << 22
 #: Bytes of a block's side in step 3, and what a class takes beside its set; a bucket whose sides fit is one block, and its rows aren't repeated.
 SIDE, CLASS = 1 << 22, 1 << 10
+#: Pairs whose registers are compared at once, and hashes of sets that are looked up in another at once.
+TILE, STRETCH = 1 << 12, 1 << 13
 #: For each bucket, the order in which it looks for another to borrow from.
 BORROW = np.random.default_rng(7).permuted(np.tile(np.arange(BUCKETS, dtype=np.int16), (BUCKETS, 1)), axis=1)
 
@@ -94,17 +96,23 @@ def bands(table: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def chance(n: int, m: int) -> float:
-    """How often registers of unlike sets of sizes n and m agree by chance."""
+def chances(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """How often registers of unlike sets of sizes n and m agree by chance, for each pair of sizes."""
     zeros = np.arange(53)
-    share = [np.exp(-max(s, 1) / BUCKETS / 2.0 ** (zeros + 1)) - np.exp(-max(s, 1) / BUCKETS / 2.0**zeros) for s in (n, m)]
-    return float((share[0] * share[1]).sum() / 2**MANTISSA)
+    scaled = [np.maximum(s, 1)[:, None] / BUCKETS for s in (n, m)]
+    share = [np.exp(-s / 2.0 ** (zeros + 1)) - np.exp(-s / 2.0**zeros) for s in scaled]
+    return (share[0] * share[1]).sum(1) / 2**MANTISSA
+
+
+def estimates(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Jaccard similarity of each pair from rows of registers of sets of sizes n and m."""
+    by_chance = chances(n, m)
+    return np.maximum(0.0, ((a == b).mean(1) - by_chance) / (1 - by_chance))
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n: int, m: int) -> float:
     """Jaccard similarity from the registers of sets of sizes n and m."""
-    by_chance = chance(n, m)
-    return max(0.0, ((a == b).mean() - by_chance) / (1 - by_chance))
+    return float(estimates(a[None], b[None], np.array([n]), np.array([m]))[0])
 
 
 #: Rows with whole texts, sets or registers that go to Python at once.
@@ -135,10 +143,8 @@ def _signed(k: int):
 
 def _estimated():
     def run(a: pa.Array, b: pa.Array, n: pa.Array, m: pa.Array) -> pa.Array:
-        return pa.array(
-            [estimate(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16), i, j) for x, y, i, j in zip(a.to_pylist(), b.to_pylist(), n.to_pylist(), m.to_pylist(), strict=True)],
-            pa.float64(),
-        )
+        tables = (np.frombuffer(b"".join(x.to_pylist()), np.uint16).reshape(-1, BUCKETS) for x in (a, b))
+        return pa.array(estimates(*tables, n.to_numpy(zero_copy_only=False), m.to_numpy(zero_copy_only=False)), pa.float64())
 
     # A filter on a deterministic one is moved below it and computes it again, with a second Python worker for every task.
     return F.arrow_udf(run, "double").asNondeterministic()
@@ -150,8 +156,12 @@ def linked(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
     hundredths = round(threshold * 100)
     if 100 * least < hundredths * most:
         return False
-    both = overlap(a, b)
-    return 100 * both >= hundredths * (len(a) + len(b) - both)
+    return enough(len(a), len(b), overlap(a, b), threshold)
+
+
+def enough(n: int, m: int, both: int, threshold: float) -> bool:
+    """Whether sets of sizes n and m that share ``both`` are linked."""
+    return 100 * both >= round(threshold * 100) * (n + m - both)
 
 
 def _verified(threshold: float):
@@ -162,15 +172,11 @@ def _verified(threshold: float):
 
 
 def _promising(threshold: float):
-    """The classes of a block whose registers estimate a likeness near ``threshold`` to a class of another component."""
-
-    def found(few: list, many: list, told: set):
-        there, size, comp = _stacked(many)
-        for u, c, regs, n in few:
-            equal = _share(there, regs)
-            # Registers of unlike sets agree by chance too, so an estimate is never above the share that is equal.
-            near = [v for v in np.flatnonzero((equal >= threshold - SLACK) & (comp != c)) if estimate(regs, there[v], n, size[v]) >= threshold - SLACK]
-            for x in [u, *(many[v][0] for v in near)] if near else ():
+    """The classes of a block whose registers and sizes allow a link to a class of another component."""
+
+    def found(key: int, few: list, many: list, told: set):
+        for i, j in _near(key, few, many, threshold):
+            for x in [*(few[u][0] for u in np.unique(i)), *(many[v][0] for v in np.unique(j))]:
                 if x not in told:
                     told.add(x)
                     yield (x,)
@@ -181,42 +187,72 @@ def _promising(threshold: float):
 def _linking(threshold: float):
     """Links between the minority classes (side 0) and all classes (side 1) of each block, at most one a class and component."""
 
-    def links(few: list, many: list, told: set):
-        there, _, comp = _stacked(many)
-        for u, c, regs, _, s in few:
-            for v in np.flatnonzero((_share(there, regs) >= threshold - SLACK) & (comp != c)):
-                other = many[v][1]
-                if (u, other) not in told and linked(s, many[v][4], threshold):
-                    told.add((u, other))
-                    yield u, many[v][0]
+    def links(key: int, few: list, many: list, told: set):
+        for i, j in _near(key, few, many, threshold):
+            for own in np.split(np.arange(len(i)), np.flatnonzero(np.diff(i)) + 1) if len(i) else ():
+                u, _, _, _, s = few[i[own[0]]]
+                partners = [many[v] for v in j[own]]
+                for some in _stretches([len(v[4]) for v in partners]):
+                    asked = [v for v in partners[some] if (u, v[1]) not in told]
+                    for v, both in zip(asked, overlaps(s, [v[4] for v in asked]), strict=True):
+                        if (u, v[1]) not in told and enough(len(s), len(v[4]), both, threshold):
+                            told.add((u, v[1]))
+                            yield u, v[0]
 
     return _over_blocks(links, lambda p: (np.frombuffer(p["registers"], np.uint16), p["n_shingles"], np.frombuffer(p["shingles"], np.uint64)), ("u", "v"))
 
 
-def _stacked(many: list) -> tuple[np.ndarray, list[int], np.ndarray]:
-    return np.stack([m[2] for m in many]), [m[3] for m in many], np.array([m[1] for m in many])
+def _stretches(sizes: list[int]) -> list[slice]:
+    """Sets that are compared with another at once: STRETCH hashes and one set at most."""
+    ends = [*(np.flatnonzero(np.diff(np.cumsum(sizes) // STRETCH)) + 1), len(sizes)]
+    return [slice(a, b) for a, b in zip([0, *ends], ends)]
+
+
+def _near(key: int, few: list, many: list, threshold: float):
+    """Index arrays of the pairs of ``few`` and ``many``, of different components, whose registers and sizes allow a link.
+
+    A pair meets in the bucket of every band that it shares; only the first one's has it.
+    """
+    (mine, n, comp), (there, m, other) = _stacked(few), _stacked(many)
+    my_bands, their_bands = bands(mine), bands(there)
+    at = np.nonzero(my_bands == key)[1][:1]  # the bucket's band
+    hundredths, step = round(threshold * 100), max(1, TILE // len(many))
+    for start in range(0, len(few), step):
+        own = slice(start, start + step)
+        sizes = 100 * np.minimum(n[own, None], m) >= hundredths * np.maximum(n[own, None], m)
+        near = (_equal(mine[own], there) >= BUCKETS * (threshold - SLACK)) & (comp[own, None] != other) & sizes
+        i, j = np.nonzero(near)
+        if len(at) and len(i):
+            first = (my_bands[own][i] == their_bands[j]).argmax(1) == at
+            i, j = i[first], j[first]
+        yield i + start, j
+
+
+def _stacked(side: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.stack([x[2] for x in side]), np.array([x[3] for x in side]), np.array([x[1] for x in side])
 
 
-def _share(there: np.ndarray, regs: np.ndarray) -> np.ndarray:
-    return (there == regs).view(np.uint8).sum(1, dtype=np.uint16) / BUCKETS
+def _equal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many registers each row of ``a`` has in common with each row of ``b``."""
+    return np.bitwise_count(np.packbits(a[:, None] == b, axis=2).view(np.uint64)).sum(2, dtype=np.uint16)
 
 
 def _over_blocks(compared, opened, names: tuple[str, ...]):
     """Rows come block by block, side 0 first, which is held; side 1 passes by in stretches.
 
-    ``compared`` gets both sides' (class, component, *opened payload) and a set for what it told of the block before.
+    ``compared`` gets the bucket's key, both sides' (class, component, *opened payload) and a set for what it told of the block before.
     """
 
     def run(batches):
-        at, few, told = None, [], set()
+        at, of, few, told = None, None, [], set()
         for batch in batches:
             out, many = [], []
-            for block, side, rid, comp, payload in zip(*(batch.column(c).to_pylist() for c in ("block", "side", "rid", "comp", "payload")), strict=True):
+            for block, key, side, rid, comp, payload in zip(*(batch.column(c).to_pylist() for c in ("block", "key", "side", "rid", "comp", "payload")), strict=True):
                 if block != at:
-                    out += compared(few, many, told) if few and many else ()
-                    at, few, many, told = block, [], [], set()
+                    out += compared(of, few, many, told) if few and many else ()
+                    at, of, few, many, told = block, key, [], [], set()
                 (many if side else few).append((rid, comp, *opened(payload)))
-            out += compared(few, many, told) if few and many else ()
+            out += compared(of, few, many, told) if few and many else ()
             yield _table(out)
 
     def _table(rows: list) -> pa.RecordBatch:
@@ -318,7 +354,7 @@ def _in_blocks(placed: DataFrame, payload: DataFrame, compared, schema: str) ->
     few = rows.where("comp <> main").select("key", "rid", "comp", mine(F.col("fews"), 1).alias("few"), every(F.col("manys")).alias("many"))
     many = rows.select("key", "rid", "comp", every(F.col("fews")).alias("few"), mine(F.col("manys"), 2).alias("many"))
     blocks = few.select(block, F.lit(0).alias("side"), "rid", "comp").unionAll(many.select(block, F.lit(1).alias("side"), "rid", "comp"))
-    carried = blocks.join(payload, "rid").select(F.xxhash64("block.key", "block.few", "block.many").alias("block"), "side", "rid", "comp", "payload")
+    carried = blocks.join(payload, "rid").select(F.xxhash64("block.key", "block.few", "block.many").alias("block"), "block.key", "side", "rid", "comp", "payload")
     parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = carried.repartition(parts, "block").sortWithinPartitions("block", "side", "rid")
     return dealt.mapInArrow(compared, schema).distinct()

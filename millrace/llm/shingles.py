@@ -69,3 +69,14 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     at = np.searchsorted(b, a)
     at[at == len(b)] = 0
     return int((b[at] == a).sum())
+
+
+def overlaps(a: np.ndarray, others: list[np.ndarray]) -> list[int]:
+    """Sizes of the intersections of a sorted distinct array with each of others; none is empty."""
+    if not others:
+        return []
+    flat = np.concatenate(others)
+    at = np.searchsorted(a, flat)
+    at[at == len(a)] = 0
+    starts = np.cumsum([0, *(len(b) for b in others[:-1])])
+    return np.add.reduceat(a[at] == flat, starts, dtype=np.int64).tolist()

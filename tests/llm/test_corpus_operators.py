@@ -6,10 +6,12 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -484,6 +486,32 @@ def test_rows_of_a_mixed_bucket_are_not_repeated_and_any_cut_finds_the_same_link
     assert got == brute_components(rows, 2)
 
 
+def test_near_but_unlinked_classes_are_compared_in_batches_and_once(monkeypatch):
+    """150 classes of likeness 0.78 in all their band buckets: a fraction of a second, where a call a pair and bucket took many; links as by brute force."""
+    rng = np.random.default_rng(9)
+    common = rng.integers(0, 2**64, 100, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([common, rng.integers(0, 2**64, 4 if n % 30 == 7 else 14, dtype=np.uint64)])) for n in range(150)]
+    table = near_dedup.filled(np.stack([near_dedup.registers(s) for s in sets]))
+    buckets = {}
+    for rid, keys in enumerate(near_dedup.bands(table).tolist()):
+        for key in keys:
+            buckets.setdefault(key, []).append(rid)
+    rows = [(key, side, rid) for key, rids in sorted(buckets.items()) if len(rids) > 1 for side in (0, 1) for rid in rids[1 - side :]]
+    key, side, rid = (list(c) for c in zip(*rows))
+    payload = [{"registers": table[r].tobytes(), "n_shingles": len(sets[r]), "shingles": sets[r].tobytes()} for r in rid]
+    batches = pa.table({"block": key, "key": key, "side": side, "rid": rid, "comp": rid, "payload": payload}).to_batches(max_chunksize=1000)
+    asked, overlaps = [], getattr(near_dedup, "overlaps", None)
+    monkeypatch.setattr(near_dedup, "overlaps", lambda a, others: asked.extend(others) or overlaps(a, others), raising=False)
+    began = time.process_time()
+    near = {r["rid"] for b in near_dedup._promising(0.8)(iter(batches)) for r in b.to_pylist()}
+    links = {frozenset(r.values()) for b in near_dedup._linking(0.8)(iter(batches)) for r in b.to_pylist()}
+    assert time.process_time() - began < 4
+    want = {frozenset((a, b)) for a in range(150) for b in range(a) if near_dedup.linked(sets[a], sets[b], 0.8)}
+    assert links == want and len(want) >= 10
+    assert near == set(range(150))
+    assert len(asked) <= 150 * 149
+
+
 def test_likeness_of_a_pair_is_computed_once(spark):
     regs = near_dedup.registers(np.arange(1, 50, dtype=np.uint64) << np.uint64(50)).tobytes()
     pairs = spark.createDataFrame([(1, bytearray(regs), 49)], "u long, r binary, n long").repartition(2)
